@@ -5,10 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_accents(names: pd.Series) -> pd.Series:
     return names.map(
         lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode() if s else ""
@@ -28,7 +28,7 @@ def surname(normalised: Column) -> Column:
 
 def unescape_name(name: Column) -> Column:
     r"""Turn literal ``\uXXXX`` text into characters and leave every other byte alone."""
-    safe = F.regexp_replace(name, r'\\(?!u[0-9a-fA-F]{4})', r'\\\\\\\\')
-    safe = F.regexp_replace(safe, '"', '\\\\\\\\"')
+    safe = F.regexp_replace(name, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
+    safe = F.regexp_replace(safe, '"', r'\\"')
     decoded = F.get_json_object(F.concat(F.lit('{"v":"'), safe, F.lit('"}')), "$.v")
-    return F.when(name.rlike(r"\\u[0-9a-fA-F]{4}"), decoded).otherwise(name)
+    return F.when(name.rlike(r"\\u[0-9a-fA-F]{4}"), F.coalesce(decoded, name)).otherwise(name)

@@ -1,12 +1,13 @@
 """Run registered queries beside their SQL on DuckDB and compare whole results.
 
-usage: python tests/compare.py [--sf sf0.01] [name-substring ...]
+usage: python tests/compare.py [--sf sf0.01] [name-pattern ...]
 """
 
 from __future__ import annotations
 
 import math
 import os
+import re
 import sys
 import time
 
@@ -92,7 +93,7 @@ def main(arguments):
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(folder), entry.oracle_sql(), []
     for name, query in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(re.search(w, name) for w in wanted):
             continue
         try:
             text, good = run(spark, con, name, query, sqls.get(name), folder)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
+from pitchloom.runtime import durable
 
 
 def _require(df: DataFrame, columns, what: str) -> None:
@@ -73,6 +74,7 @@ def position_residual(
     moment row into coefficients, and those join back to the players.
     """
     _require(df, position, "position columns")
+    df = durable(df)  # read three times below
     group, present = list(group), [m for m in metrics if m in df.columns]
 
     def finite(column):
@@ -235,7 +237,7 @@ def average_ranks(df: DataFrame, metrics, buckets: int = 512) -> DataFrame:
 def spearman_pairs(df: DataFrame, metrics, row_keys=("season", "provider", "player_id")) -> DataFrame:
     """Spearman correlation of every metric pair, as Pearson on average ranks."""
     metrics, keys = list(metrics), list(row_keys)
-    long = _long_metrics(df, metrics, *keys)
+    long = durable(_long_metrics(df, metrics, *keys))
     ranks = long.join(average_ranks(long, metrics), ["metric", "value"])
     wide = ranks.groupBy(*keys).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("rank"))).alias(m) for m in metrics]
@@ -261,6 +263,7 @@ def mean_pairwise_spearman(df: DataFrame, metrics, row_keys=("season", "provider
 
 def volume_proxy_report(df: DataFrame, r2: DataFrame, metrics, anchor: str = "degree_total", top: int = 50) -> DataFrame:
     """Role make-up of the top, correlation with degree and position share, per metric."""
+    df = durable(df)
     shares = role_composition(df, metrics, top)
     others = [m for m in metrics if m != anchor]
     pairs = spearman_pairs(df, [anchor, *others]).where(F.col("left") == anchor).select(

@@ -44,6 +44,12 @@ def outcome_balance(outcomes: DataFrame) -> DataFrame:
 _SUMS = ("shots", "passes", "passes_ok", "comparable_actions", "actions", "sum_x", "xt")
 
 
+def _every_window():
+    return F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(S.WINDOW_COUNT - 1).cast("long"))
+    ).alias("window_index")
+
+
 def _upto(window_keys):
     return (
         Window.partitionBy(*window_keys).orderBy("window_index")
@@ -72,9 +78,7 @@ def cumulative_stats(actions: DataFrame) -> DataFrame:
             F.sum(threat).alias("xt"),
         )
     )
-    grid = per.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(S.WINDOW_COUNT - 1))).cast("int").alias("_i")
-    ).select(*keys, F.col("_i").cast("long").alias("window_index"))
+    grid = per.select(*keys).distinct().select(*keys, _every_window())
     full = grid.join(per, [*keys, "window_index"], "left").fillna(0, list(_SUMS))
     running = full.select(
         *keys, "window_index", *[F.sum(c).over(_upto(keys)).alias(c) for c in _SUMS]
@@ -164,12 +168,9 @@ def state_table(
     folded to home and away columns by a single aggregation instead of one join per side.
     """
     spark = actions.sparkSession
-    grid = outcomes.select(
-        "game_id", "home_team_id", "away_team_id",
-        F.explode(F.sequence(F.lit(0), F.lit(S.WINDOW_COUNT - 1))).alias("_i"),
-    )
+    grid = outcomes.select("game_id", "home_team_id", "away_team_id", _every_window())
     sides = grid.select(
-        "game_id", F.col("_i").cast("long").alias("window_index"),
+        "game_id", "window_index",
         F.explode(
             F.array(
                 F.struct(F.col("home_team_id").alias("team_id"), F.lit("home").alias("side")),

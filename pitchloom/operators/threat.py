@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
 from pitchloom.operators.network import lane_passes
+from pitchloom.runtime import durable
 
 
 class ThreatError(ValueError):
@@ -102,7 +103,7 @@ def fit_xthreat(actions: DataFrame, train_games: DataFrame, **grid) -> DataFrame
     train = actions.join(train_games.select("game_id").distinct(), "game_id", "left_semi")
     if train.isEmpty():
         raise ThreatError("no action belongs to a training match; assign the split first")
-    return rate_actions(actions, fit_surface(train, **grid))
+    return rate_actions(actions, durable(fit_surface(train, **grid)))
 
 
 def _gain() -> Column:

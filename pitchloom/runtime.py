@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,6 +36,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table that several later plans read, once, as parquet in the shared folder.
+
+    Unlike a checkpoint the copy is columnar, so each reader still prunes and filters.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def oversized_groups(df: DataFrame, keys, limit: int = GROUP_ROW_LIMIT) -> DataFrame | None:
     """Keys holding more than ``limit`` rows, or None. One map-side-combined count."""
     found = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)

@@ -34,9 +34,9 @@ def _cell(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):
-        return "~" if math.isnan(value) else f"{round(value, 6) + 0.0:.6f}"
+        return "~" if math.isnan(value) else f"{round(value, 9) + 0.0:.9f}"
     if isinstance(value, int):
-        return f"{float(value):.6f}"
+        return f"{float(value):.9f}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(_cell(v) for v in value) + "]"
     if hasattr(value, "toArray"):

@@ -11,28 +11,36 @@ def _c(column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def action_minute(period="period_id", seconds="time_seconds") -> Column:
+def _one_of(column, names) -> Column:
+    """Membership as one SQL text where possible (a single call into the JVM)."""
+    if not isinstance(column, str):
+        return column.isin(*names)
+    listed = ", ".join(f"'{n}'" for n in names)
+    return F.expr(f"{column} IN ({listed})")
+
+
+_OFFSETS = " ".join(f"WHEN {p} THEN {m}D" for p, m in S.PERIOD_OFFSETS.items())
+
+
+def action_minute(period: str = "period_id", seconds: str = "time_seconds") -> Column:
     """Match minute: period offset (0 for an unknown period) plus the period clock."""
-    offset = F.lit(0.0)
-    for number, minutes in S.PERIOD_OFFSETS.items():
-        offset = F.when(_c(period) == number, F.lit(minutes)).otherwise(offset)
-    return offset + _c(seconds) / F.lit(60.0)
+    return F.expr(f"CASE {period} {_OFFSETS} ELSE 0D END + {seconds} / 60D")
 
 
 def is_pass_like(type_name="type_name") -> Column:
-    return _c(type_name).isin(*S.PASS_LIKE_TYPES)
+    return _one_of(type_name, S.PASS_LIKE_TYPES)
 
 
 def is_comparable(type_name="type_name") -> Column:
-    return _c(type_name).isin(*S.PROVIDER_COMPARABLE_TYPES)
+    return _one_of(type_name, S.PROVIDER_COMPARABLE_TYPES)
 
 
 def is_set_piece(type_name="type_name") -> Column:
-    return _c(type_name).isin(*S.POSSESSION_SET_PIECES)
+    return _one_of(type_name, S.POSSESSION_SET_PIECES)
 
 
 def is_contest(type_name="type_name") -> Column:
-    return _c(type_name).isin(*S.CONTEST_TYPES)
+    return _one_of(type_name, S.CONTEST_TYPES)
 
 
 def is_shot(type_name="type_name") -> Column:
@@ -45,7 +53,7 @@ def is_success(result="result_name") -> Column:
 
 
 def is_completed_pass() -> Column:
-    return is_pass_like() & is_success()
+    return is_pass_like() & F.expr("result_name = 'success'")
 
 
 def dx() -> Column:
@@ -57,7 +65,7 @@ def dy() -> Column:
 
 
 def step_length() -> Column:
-    return F.hypot(dx(), dy())
+    return F.expr("hypot(end_x - start_x, end_y - start_y)")
 
 
 def is_progressive() -> Column:

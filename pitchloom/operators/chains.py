@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
 from pitchloom.operators.sequence import shot_possessions
+from pitchloom.runtime import attach_row
 
 CHAIN_KEYS = ("game_id", "possession_id")
 
@@ -83,15 +84,11 @@ def shot_chain_involvement(actions: DataFrame, keys=S.NETWORK_KEYS) -> DataFrame
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("_group"))
     )
     any_shot = shots.limit(1).select(F.lit(True).alias("_any"))
-    return (
-        own.join(group, keys, "left")
-        # No shot chain anywhere gives an empty table; the right side is at most one row.
-        .join(F.broadcast(any_shot), how="cross")
-        .select(
-            *keys, "player_id",
-            X.safe_ratio("_shots", "_group").alias("shot_involvement"),
-            X.safe_ratio("_shots", "_touched").alias("shot_conversion"),
-        )
+    # No shot chain anywhere gives an empty table.
+    return attach_row(own.join(group, keys, "left"), any_shot).select(
+        *keys, "player_id",
+        X.safe_ratio("_shots", "_group").alias("shot_involvement"),
+        X.safe_ratio("_shots", "_touched").alias("shot_conversion"),
     )
 
 

@@ -9,7 +9,7 @@ from pitchloom.functions import expressions as X
 from pitchloom.operators.ordering import (
     POSITION, block_neighbours, block_running, dense_position,
 )
-from pitchloom.runtime import BLOCK_ROWS, GROUP_ROW_LIMIT, split_by_size
+from pitchloom.runtime import BLOCK_ROWS, GROUP_ROW_LIMIT, attach_row, split_by_size
 
 
 def _by_size(df, keys, order, limit, small, large):
@@ -38,33 +38,62 @@ def _pick_receiver(team, player, period, lookahead: int) -> Column:
     return F.when(X.is_completed_pass(), F.coalesce(*hits))
 
 
-def infer_recipients(
-    actions: DataFrame, lookahead: int = S.LOOKAHEAD, limit: int = GROUP_ROW_LIMIT,
-    block: int = BLOCK_ROWS,
-) -> DataFrame:
-    """First different team-mate among the next actions of the same period."""
-    keys = ["game_id"]
-    specs = {
+def _receiver_specs(lookahead: int) -> dict:
+    return {
         f"_{short}{n}": (column, n)
         for n in range(1, lookahead + 1)
         for short, column in (("team", "team_id"), ("player", "player_id"), ("period", "period_id"))
     }
 
-    def finish(df):
-        return df.withColumn(
-            "recipient_id", _pick_receiver("team_id", "player_id", "period_id", lookahead)
-        ).withColumn("recipient_confident", F.col("recipient_id").isNotNull()).drop(*specs)
 
-    def small(df):
-        window = Window.partitionBy(*keys).orderBy(*S.ACTION_ORDER)
-        return finish(
-            df.withColumns({name: F.lead(c, n).over(window) for name, (c, n) in specs.items()})
-        )
+def _with_receiver(df: DataFrame, lookahead: int) -> DataFrame:
+    receiver = _pick_receiver("team_id", "player_id", "period_id", lookahead)
+    return (
+        df.withColumn("recipient_id", receiver)
+        .withColumn("recipient_confident", F.col("recipient_id").isNotNull())
+        .drop(*_receiver_specs(lookahead))
+    )
+
+
+def _recipients_small(df: DataFrame, keys, lookahead: int) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*S.ACTION_ORDER)
+    specs = _receiver_specs(lookahead)
+    ahead = df.withColumns({name: F.lead(c, n).over(window) for name, (c, n) in specs.items()})
+    return _with_receiver(ahead, lookahead)
+
+
+def _recipients_large(df: DataFrame, keys, lookahead: int, block: int) -> DataFrame:
+    return _with_receiver(
+        block_neighbours(df, keys, _receiver_specs(lookahead), block), lookahead
+    )
 
-    def large(df):
-        return finish(block_neighbours(df, keys, specs, block))
 
-    return _by_size(actions, keys, S.ACTION_ORDER, limit, small, large)
+def infer_recipients(
+    actions: DataFrame, lookahead: int = S.LOOKAHEAD, limit: int = GROUP_ROW_LIMIT,
+    block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """First different team-mate among the next actions of the same period."""
+    keys = ["game_id"]
+    return _by_size(
+        actions, keys, S.ACTION_ORDER, limit,
+        lambda df: _recipients_small(df, keys, lookahead),
+        lambda df: _recipients_large(df, keys, lookahead, block),
+    )
+
+
+def annotate_actions(
+    actions: DataFrame, lookahead: int = S.LOOKAHEAD, min_hold: int = S.MIN_HOLD,
+    limit: int = GROUP_ROW_LIMIT, block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Recipients and possessions together: one size check, one shuffle by match."""
+    keys = ["game_id"]
+    return _by_size(
+        actions, keys, S.ACTION_ORDER, limit,
+        lambda df: _possessions_small(_recipients_small(df, keys, lookahead), keys, min_hold),
+        lambda df: _possessions_large(
+            _recipients_large(df, keys, lookahead, block), keys, min_hold, block
+        ),
+    )
 
 
 def next_other_speaker(
@@ -119,8 +148,7 @@ def degraded_recipient_accuracy(
             "actions_per_game"
         )
     )
-    # Both sides are a single aggregate row.
-    return score_recipients(infer_recipients(thin), truth).crossJoin(density)
+    return attach_row(score_recipients(infer_recipients(thin), truth), density)
 
 
 # --- possessions -------------------------------------------------------------------------
@@ -343,7 +371,7 @@ def adjusted_rand(df: DataFrame, left: str, right: str, keys=()) -> DataFrame:
     if keys:
         joined = both.join(side(left, "_a"), keys).join(side(right, "_b"), keys)
     else:
-        joined = both.crossJoin(side(left, "_a")).crossJoin(side(right, "_b"))
+        joined = attach_row(attach_row(both, side(left, "_a")), side(right, "_b"))
     every = _pairs("_size")
     expected = F.col("_a") * F.col("_b") / F.nullif(every, F.lit(0.0))
     ceiling = (F.col("_a") + F.col("_b")) / 2.0

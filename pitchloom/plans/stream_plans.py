@@ -25,7 +25,7 @@ def passes(spark, sf):
 
 
 def chained(spark, sf):
-    return Q.reconstruct_possessions(passes(spark, sf))
+    return Q.annotate_actions(read_actions(spark, sf))
 
 
 @q("top_receivers", with_sql("all_edges", """

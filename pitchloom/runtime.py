@@ -65,3 +65,8 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     """Broadcast hint only after counting; otherwise the planner is left to shuffle."""
     small = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if small else df
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate on every row. The right side is a single row."""
+    return df.join(F.broadcast(row), F.lit(True))

@@ -7,7 +7,7 @@ with the stream; a season is 38 matches; clubs and players belong to a cohort of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitchloom import schema as S
 
@@ -36,96 +36,77 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _band_type() -> Column:
-    out = F.lit("non_action")
-    for event_type, bands in TYPE_BANDS.items():
-        chain = F.when(F.col("k") < bands[0][0], bands[0][1])
-        for bound, name in bands[1:]:
-            chain = chain.when(F.col("k") < bound, name)
-        out = F.when(F.col("event_type") == event_type, chain.otherwise("non_action")).otherwise(out)
-    return out
+# The projections below are SQL text: one parse in the JVM instead of hundreds of small calls.
 
 
-def _position_in(names, column) -> Column:
-    return (F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)) - 1).cast("int")
+def _band_type() -> str:
+    """CASE text for the action type."""
+    parts = []
+    for event_type, bands in TYPE_BANDS.items():
+        inner = " ".join(f"WHEN k < {bound} THEN '{name}'" for bound, name in bands)
+        parts.append(f"WHEN event_type = '{event_type}' THEN CASE {inner} ELSE 'non_action' END")
+    return "CASE " + " ".join(parts) + " ELSE 'non_action' END"
 
 
-def _div(a, b) -> Column:
-    return F.floor(F.col(a) / b).cast("long")
+def _position_in(names, column: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"CAST(array_position(array({listed}), {column}) - 1 AS int)"
 
 
 def season_columns(df: DataFrame) -> DataFrame:
     """Season, provider, matchday and the two clubs of a match, from its id."""
-    df = df.withColumn("_season", _div("game_id", SEASON_MATCHES))
-    df = df.withColumn("_cohort", _div("_season", COHORT_SEASONS))
-    home = F.col("game_id") % CLUBS
-    away = (home + 1 + _div("game_id", CLUBS) % (CLUBS - 1)) % CLUBS
-    return df.withColumns(
-        {
-            "season": (F.lit(2000) + F.col("_season")).cast("string"),
-            "provider": F.when(F.col("_season") % 2 == 0, "alpha").otherwise("beta"),
-            "game_day": (F.col("game_id") % SEASON_MATCHES + 1).cast("int"),
-            "home_team_id": F.col("_cohort") * 10 + home + 1,
-            "away_team_id": F.col("_cohort") * 10 + away + 1,
-        }
-    ).drop("_season", "_cohort")
+    season = f"(game_id div {SEASON_MATCHES})"
+    cohort = f"({season} div {COHORT_SEASONS})"
+    home = f"(game_id % {CLUBS})"
+    away = f"(({home} + 1 + (game_id div {CLUBS}) % {CLUBS - 1}) % {CLUBS})"
+    return df.selectExpr(
+        "*",
+        f"CAST(2000 + {season} AS string) AS season",
+        f"CASE WHEN {season} % 2 = 0 THEN 'alpha' ELSE 'beta' END AS provider",
+        f"CAST(game_id % {SEASON_MATCHES} + 1 AS int) AS game_day",
+        f"{cohort} * 10 + {home} + 1 AS home_team_id",
+        f"{cohort} * 10 + {away} + 1 AS away_team_id",
+    )
 
 
 def actions_from_events(events: DataFrame) -> DataFrame:
     """Narrow projection only: no shuffle, columns prune down to what a query uses."""
-    df = events.select(
-        "event_id", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        _div("event_id", MATCH_EVENTS).alias("game_id"),
-        (F.col("event_id") % MATCH_EVENTS).alias("_at"),
+    df = season_columns(
+        events.selectExpr(
+            "event_id", "user_id", "event_type", "value",
+            "CAST(get_json_object(props, '$.k') AS int) AS k",
+            f"event_id div {MATCH_EVENTS} AS game_id", f"event_id % {MATCH_EVENTS} AS _at",
+        )
     )
-    df = season_columns(df)
-    side = (_div("_at", 5) + (F.col("user_id") % 3 == 0).cast("int")) % 2
-    slot = _div("user_id", 2) % SQUAD
-    df = df.withColumns(
-        {
-            "team_id": F.when(side == 0, F.col("home_team_id")).otherwise(F.col("away_team_id")),
-            "_slot": slot,
-            "type_name": _band_type(),
-        }
+    df = df.selectExpr(
+        "*",
+        "CASE WHEN (_at div 5 + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) % 2 = 0 "
+        "THEN home_team_id ELSE away_team_id END AS team_id",
+        f"(user_id div 2) % {SQUAD} AS _slot",
+        f"{_band_type()} AS type_name",
+        f"(user_id div 2) % {SQUAD} * 7D + (event_id * 37 % 350) / 10D AS start_x",
     )
-    start_x = F.col("_slot") * F.lit(7.0) + (F.col("event_id") * 37 % 350) / F.lit(10.0)
-    df = df.withColumns(
-        {
-            "result_name": F.when(
-                F.col("type_name").startswith("shot"),
-                F.when(F.col("value") < 10, "success").otherwise("fail"),
-            )
-            .when((F.col("type_name") == "bad_touch") & (F.col("value") >= 80), "owngoal")
-            .when(F.col("value") < 80, "success")
-            .otherwise("fail"),
-            "player_id": F.when(
-                F.col("event_id") % 97 != 0, F.col("team_id") * 100 + F.col("_slot")
-            ),
-            "start_x": start_x,
-            "end_x": F.greatest(
-                F.lit(0.0),
-                F.least(
-                    F.lit(105.0),
-                    start_x + ((F.col("event_id") * 53 + 17) % 400) / F.lit(10.0) - F.lit(15.0),
-                ),
-            ),
-        }
+    df = df.selectExpr(
+        "*",
+        "CASE WHEN startswith(type_name, 'shot') THEN IF(value < 10, 'success', 'fail') "
+        "WHEN type_name = 'bad_touch' AND value >= 80 THEN 'owngoal' "
+        "WHEN value < 80 THEN 'success' ELSE 'fail' END AS result_name",
     )
-    return df.select(
+    return df.selectExpr(
         "game_id",
-        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("original_event_id"),
-        F.when(F.col("_at") < HALF_EVENTS, 1).otherwise(2).cast("long").alias("period_id"),
-        (F.col("_at") % HALF_EVENTS * F.lit(SECONDS_PER_EVENT)).alias("time_seconds"),
-        "team_id", "player_id", "start_x",
-        (F.col("k") * F.lit(0.68)).alias("start_y"),
-        "end_x",
-        ((F.col("k") * 7 + 13) % 100 * F.lit(0.68)).alias("end_y"),
-        _position_in(S.ACTION_TYPES, "type_name").alias("type_id"),
-        _position_in(S.RESULT_TYPES, "result_name").alias("result_id"),
-        (F.col("event_id") % 3).cast("int").alias("bodypart_id"),
-        F.col("event_id").alias("action_id"),
-        "type_name", "result_name", "season", "provider",
+        "concat('e', CAST(event_id AS string)) AS original_event_id",
+        f"CAST(IF(_at < {HALF_EVENTS}, 1, 2) AS bigint) AS period_id",
+        f"_at % {HALF_EVENTS} * {SECONDS_PER_EVENT}D AS time_seconds",
+        "team_id",
+        "CASE WHEN event_id % 97 <> 0 THEN team_id * 100 + _slot END AS player_id",
+        "start_x",
+        "k * 0.68D AS start_y",
+        "greatest(0D, least(105D, start_x + ((event_id * 53 + 17) % 400) / 10D - 15D)) AS end_x",
+        "(k * 7 + 13) % 100 * 0.68D AS end_y",
+        f"{_position_in(S.ACTION_TYPES, 'type_name')} AS type_id",
+        f"{_position_in(S.RESULT_TYPES, 'result_name')} AS result_id",
+        "CAST(event_id % 3 AS int) AS bodypart_id",
+        "event_id AS action_id", "type_name", "result_name", "season", "provider",
     )
 
 
@@ -137,7 +118,7 @@ def read_games(spark: SparkSession, folder: str) -> DataFrame:
     """One row per match. Scores are missing for every eleventh match."""
     games = (
         read_table(spark, folder, "events")
-        .groupBy(_div("event_id", MATCH_EVENTS).alias("game_id"))
+        .groupBy(F.expr(f"event_id div {MATCH_EVENTS}").alias("game_id"))
         .agg(F.min("ts").alias("game_date"))
     )
     known = F.col("game_id") % 11 != 0
@@ -153,7 +134,7 @@ def read_truth(spark: SparkSession, folder: str) -> DataFrame:
     """Validation-only columns per event: a recipient and a possession counter."""
     df = read_table(spark, folder, "events").select(
         "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id",
-        _div("event_id", MATCH_EVENTS).alias("game_id"),
+        F.expr(f"event_id div {MATCH_EVENTS}").alias("game_id"),
     )
     df = season_columns(df)
     return df.select(
@@ -163,7 +144,7 @@ def read_truth(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("k") % 2 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id"))
             * 100 + F.col("k") % SQUAD,
         ).alias("true_recipient_id"),
-        F.when(F.col("event_id") % 19 != 0, _div("event_id", 4)).alias("statsbomb_possession"),
+        F.when(F.col("event_id") % 19 != 0, F.expr("event_id div 4")).alias("statsbomb_possession"),
     )
 
 

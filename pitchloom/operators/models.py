@@ -128,8 +128,10 @@ def fit_boosted(
         models.append(
             GBTClassifier(
                 featuresCol="features", labelCol="_y", maxDepth=3, stepSize=0.06, maxIter=rounds,
-                seed=seed, probabilityCol=f"_p{c}", rawPredictionCol=f"_r{c}", predictionCol=f"_k{c}",
-            ).fit(target)
+                seed=seed, predictionCol=f"_k{c}",
+            )
+            .setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_r{c}")
+            .fit(target)
         )
 
     def predict(df: DataFrame, out: str = "probabilities") -> DataFrame:

@@ -232,7 +232,10 @@ def _small_scores(nodes, edges, keys, weight_column) -> DataFrame:
             )
         ).alias("_edges")
     )
-    squads = nodes.groupBy(*keys).agg(
+    # A fixed partition count: the UDF is the heavy part, so its stage must not be coalesced
+    # down to the few tasks that its small input bytes suggest.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    squads = nodes.repartition(parts, *keys).groupBy(*keys).agg(
         F.sort_array(F.collect_list("player_id")).alias("_players")
     )
     packed = squads.join(lanes, list(keys), "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
-from pitchloom.runtime import durable
+from pitchloom.operators.ordering import block_running, dense_position
+from pitchloom.runtime import BLOCK_ROWS, durable
 
 
 def basic_counts(actions: DataFrame) -> DataFrame:
@@ -81,48 +81,33 @@ def shift_values(actions: DataFrame, left: str, right: str, column: str = "provi
     ).select("is_left", "_f.*").where(F.col("value").isNotNull())
 
 
-def ks_statistic(values: DataFrame, buckets: int = 256, digits: int = 9) -> DataFrame:
+def ks_statistic(values: DataFrame, digits: int = 9, block: int = BLOCK_ROWS) -> DataFrame:
     """Exact two-sample Kolmogorov-Smirnov distance and both means, per feature.
 
-    Values collapse to (feature, value, counts). Quantile edges cut them into buckets, bucket
-    totals give the cumulative counts at each bucket's start, and only the values inside one
-    bucket meet in a window. A value held by a third of all rows is one row by then.
+    Values collapse to (feature, value, counts) first, so a value held by a third of all rows
+    is one row. Cumulative counts then run over equal-sized blocks of the distinct values.
     """
     counted = durable(
         values.groupBy("feature", F.round("value", digits).alias("value")).agg(
             F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r")
         )
     )
-    probabilities = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(counted.approxQuantile("value", probabilities, 0.001)))
-    splits = [-float("inf"), *edges, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="value", outputCol="_b").transform(counted)
-    keys = ["feature", "_b"]
-    totals = cut.groupBy(*keys).agg(F.sum("l").alias("_tl"), F.sum("r").alias("_tr"))
-    before = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *keys,
-        F.coalesce(F.sum("_tl").over(before), F.lit(0)).alias("_bl"),
-        F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_br"),
-    )
     sizes = counted.groupBy("feature").agg(
         F.sum("l").alias("_nl"), F.sum("r").alias("_nr"),
         (F.sum(F.col("l") * F.col("value")) / F.nullif(F.sum("l"), F.lit(0))).alias("mean_left"),
         (F.sum(F.col("r") * F.col("value")) / F.nullif(F.sum("r"), F.lit(0))).alias("mean_right"),
     )
-    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    running = block_running(
+        dense_position(counted, ["feature"], ["value"]), ["feature"],
+        {"_cl": (F.col("l"), "sum"), "_cr": (F.col("r"), "sum")}, block,
+    )
     gap = F.abs(
-        (F.col("_bl") + F.sum("l").over(upto)) / F.nullif(F.col("_nl"), F.lit(0))
-        - (F.col("_br") + F.sum("r").over(upto)) / F.nullif(F.col("_nr"), F.lit(0))
+        F.col("_cl") / F.nullif(F.col("_nl"), F.lit(0)) - F.col("_cr") / F.nullif(F.col("_nr"), F.lit(0))
     )
-    return (
-        cut.join(starts, keys).join(sizes, "feature")
-        .withColumn("_gap", gap)
-        .groupBy("feature")
-        .agg(
-            F.max("_gap").alias("ks_statistic"), F.max("mean_left").alias("mean_left"),
-            F.max("mean_right").alias("mean_right"),
-        )
+    # Four features: the sizes are four rows.
+    return running.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
+        F.max(gap).alias("ks_statistic"), F.max("mean_left").alias("mean_left"),
+        F.max("mean_right").alias("mean_right"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
+from pitchloom.operators.ordering import block_running, dense_position
 from pitchloom.runtime import durable
 
 
@@ -208,29 +209,17 @@ def role_composition(df: DataFrame, metrics, top: int = 50) -> DataFrame:
     return best.groupBy("metric").agg(*shares).unionByName(everyone)
 
 
-def average_ranks(df: DataFrame, metrics, buckets: int = 512) -> DataFrame:
-    """(row id, metric, rank) with ties on their mean rank.
+def average_ranks(df: DataFrame, metrics) -> DataFrame:
+    """(metric, value, rank) with ties on their mean rank.
 
-    Values collapse to (metric, value, count), are cut into value ranges, and ranks are the
-    count before the range plus the count inside it: no window spans a whole metric.
+    Values collapse to (metric, value, count); the running count comes from equal-sized
+    blocks of that table, so no window spans a whole metric.
     """
     values = df.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("_n"))
-    edges = values.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    placed = values.join(edges, "metric").withColumn(
-        "_b",
-        F.least(
-            F.lit(buckets - 1),
-            F.floor(X.safe_ratio((F.col("value") - F.col("_lo")) * buckets, F.col("_hi") - F.col("_lo"))),
-        ),
-    )
-    before = Window.partitionBy("metric").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("metric", "_b").agg(F.sum("_n").alias("_t")).select(
-        "metric", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base")
-    )
-    inside = Window.partitionBy("metric", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(starts, ["metric", "_b"]).select(
-        "metric", "value",
-        (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias("rank"),
+    placed = dense_position(values, ["metric"], ["value"])
+    running = block_running(placed, ["metric"], {"_upto": (F.col("_n"), "sum")})
+    return running.select(
+        "metric", "value", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("rank")
     )
 
 

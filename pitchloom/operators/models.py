@@ -222,7 +222,8 @@ def sampled_matches(states: DataFrame, fraction: float, seed: int, least: int =
     """A seeded share of the matches, never fewer than ``least`` if there are that many."""
     games = states.select("game_id").distinct()
     wanted = max(least, math.ceil(fraction * games.count()))
-    return games.orderBy(mix("game_id", seed=seed), "game_id").limit(wanted)
+    ordered = games.withColumn("_h", mix("game_id", seed=seed))
+    return global_position(ordered, ["_h", "game_id"]).where(F.col(POSITION) < wanted).select("game_id")
 
 
 def learning_curve(
@@ -235,7 +236,7 @@ def learning_curve(
     out = []
     for fraction in fractions:
         for draw in range(draws if fraction < 1.0 else 1):
-            chosen = sampled_matches(train, fraction, seed + 101 * draw, least)
+            chosen = durable(sampled_matches(train, fraction, seed + 101 * draw, least))
             part = train.join(chosen, "game_id", "left_semi")
             for rung in rungs:
                 predict = fit_logistic(part, S.FEATURE_LADDER[rung])

@@ -195,7 +195,9 @@ def wilson(successes, total, z: float = 1.96):
     base = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / base
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / base
-    return F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    low, high = F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    filled = F.col(total) > 0
+    return F.when(filled, low), F.when(filled, high)
 
 
 def shot_lift(labelled: DataFrame, keys=()) -> DataFrame:

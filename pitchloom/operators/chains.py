@@ -19,34 +19,44 @@ def _place() -> Column:
 def chain_table(rated: DataFrame, min_actions: int = S.MIN_CHAIN_ACTIONS) -> DataFrame:
     """One row per chain of comparable actions, with the fourteen features.
 
-    The shot flag looks at all actions, before the comparable filter. First and last values
-    come from an ordered min/max aggregate, so no chain is collected or sorted.
+    One aggregation over all actions: the shot flag sees every action, everything else only
+    the comparable ones. First and last values come from an ordered min/max aggregate, so no
+    chain is collected or sorted.
     """
     keys = list(CHAIN_KEYS)
     threat = F.col("xt_value") if "xt_value" in rated.columns else F.lit(0.0)
-    rows = rated.where(X.is_comparable()).withColumns(
-        {"_m": X.action_minute(), "_step": X.step_length(), "_at": _place()}
+    kept = F.col("_kept")
+    rows = rated.withColumns(
+        {
+            "_kept": X.is_comparable(), "_m": X.action_minute(), "_step": X.step_length(),
+            "_at": _place(),
+        }
     )
 
     def first(column):
-        return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_at")))
+        return F.min_by(column, F.when(kept & F.col(column).isNotNull(), F.col("_at")))
 
     def last(column):
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_at")))
+        return F.max_by(column, F.when(kept & F.col(column).isNotNull(), F.col("_at")))
+
+    def only(column):
+        return F.when(kept, column)
 
     table = rows.groupBy(*keys).agg(
         *[first(c).alias(c) for c in ("season", "provider", "team_id", "period_id")],
-        F.min("_m").alias("start_minute"), F.max("_m").alias("end_minute"),
-        F.count(F.lit(1)).alias("n_actions"),
+        F.min(only(F.col("_m"))).alias("start_minute"), F.max(only(F.col("_m"))).alias("end_minute"),
+        F.count_if(kept).alias("n_actions"),
         first("start_x").alias("start_x"), first("start_y").alias("start_y"),
         last("end_x").alias("end_x"), last("end_y").alias("end_y"),
-        F.sum("_step").alias("path_length"), F.avg("_step").alias("mean_pass_length"),
-        F.sum(F.coalesce(threat, F.lit(0.0))).alias("xt_gain"),
+        F.sum(only(F.col("_step"))).alias("path_length"),
+        F.avg(only(F.col("_step"))).alias("mean_pass_length"),
+        F.sum(only(F.coalesce(threat, F.lit(0.0)))).alias("xt_gain"),
         first("type_name").alias("_first_type"),
-        X.share(F.col("start_x") >= S.ZONE_EDGES[1]).alias("share_final_third"),
-        (F.max("start_y") - F.min("start_y")).alias("width_used"),
+        F.avg(only((F.col("start_x") >= S.ZONE_EDGES[1]).cast("double"))).alias("share_final_third"),
+        (F.max(only(F.col("start_y"))) - F.min(only(F.col("start_y")))).alias("width_used"),
+        F.bool_or(X.is_shot()).alias("ends_in_shot"),
     ).where(F.col("n_actions") >= min_actions)
-    table = table.withColumns(
+    return table.withColumns(
         {
             "duration_seconds": (F.col("end_minute") - F.col("start_minute")) * 60.0,
             "net_dx": F.col("end_x") - F.col("start_x"),
@@ -54,13 +64,7 @@ def chain_table(rated: DataFrame, min_actions: int = S.MIN_CHAIN_ACTIONS) -> Dat
             "start_zone": X.zone_of("start_x"),
             "end_zone": X.zone_of("end_x"),
         }
-    ).withColumn("directness", X.directness("net_dx", "path_length"))
-    shots = shot_possessions(rated).withColumn("_shot", F.lit(True))
-    return (
-        table.join(shots, keys, "left")
-        .withColumn("ends_in_shot", F.coalesce("_shot", F.lit(False)))
-        .drop("_shot", "_first_type")
-    )
+    ).withColumn("directness", X.directness("net_dx", "path_length")).drop("_first_type")
 
 
 def shot_chain_involvement(actions: DataFrame, keys=S.NETWORK_KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
 from pitchloom.operators.network import lane_passes
-from pitchloom.runtime import attach_row, durable
+from pitchloom.runtime import durable
 
 
 class ThreatError(ValueError):
@@ -77,26 +77,27 @@ def fit_surface(
                 break
         return pd.DataFrame({"cell": np.arange(cells), "xt": value})
 
-    return counted.groupBy(F.lit(0).alias("_one")).applyInPandas(
-        lambda pdf: iterate(pdf), schema="cell long, xt double"
+    # Fitting is eager, as with any model: the surface is read by every later plan.
+    return durable(
+        counted.groupBy(F.lit(0).alias("_one")).applyInPandas(
+            lambda pdf: iterate(pdf), schema="cell long, xt double"
+        )
     )
 
 
 def rate_actions(actions: DataFrame, surface: DataFrame) -> DataFrame:
     """Add ``xt_value``: gain of each successful move, null for everything else."""
-    # The surface has one row per grid cell: packed into a single array it is attached as one
-    # row, at any scale, and both ends of a move look their value up in it.
-    packed = surface.agg(F.sort_array(F.collect_list(F.struct("cell", "xt"))).alias("_grid"))
-    gain = F.get("_grid", F.col("_b").cast("int"))["xt"] - F.get("_grid", F.col("_a").cast("int"))["xt"]
+    origin = surface.select(F.col("cell").alias("_a"), F.col("xt").alias("_xa"))
+    target = surface.select(F.col("cell").alias("_b"), F.col("xt").alias("_xb"))
+    # The surface has exactly one row per grid cell, so both sides broadcast at any scale.
     return (
-        attach_row(
-            actions.withColumns(
-                {"_a": cell_of("start_x", "start_y"), "_b": cell_of("end_x", "end_y")}
-            ),
-            packed,
+        actions.withColumns(
+            {"_a": cell_of("start_x", "start_y"), "_b": cell_of("end_x", "end_y")}
         )
-        .withColumn("xt_value", F.when(is_move() & X.is_success(), gain))
-        .drop("_a", "_b", "_grid")
+        .join(F.broadcast(origin), "_a", "left")
+        .join(F.broadcast(target), "_b", "left")
+        .withColumn("xt_value", F.when(is_move() & X.is_success(), F.col("_xb") - F.col("_xa")))
+        .drop("_a", "_b", "_xa", "_xb")
     )
 
 
@@ -105,7 +106,7 @@ def fit_xthreat(actions: DataFrame, train_games: DataFrame, **grid) -> DataFrame
     train = actions.join(train_games.select("game_id").distinct(), "game_id", "left_semi")
     if train.isEmpty():
         raise ThreatError("no action belongs to a training match; assign the split first")
-    return rate_actions(actions, durable(fit_surface(train, **grid)))
+    return rate_actions(actions, fit_surface(train, **grid))
 
 
 def _gain() -> Column:

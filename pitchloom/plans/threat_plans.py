@@ -729,6 +729,15 @@ def coarse_roles(spark, sf):
     return table.drop("fine_position")
 
 
+@q("role_index_b7", with_sql("lineup", f"""
+SELECT season, role_index, count(*) AS players FROM (SELECT season, {_ROLE_INDEX} FROM lineup) GROUP BY 1, 2"""))
+def role_indexes(spark, sf):
+    return (
+        directory(spark, sf).groupBy("season", I.role_index().alias("role_index"))
+        .agg(F.count(F.lit(1)).alias("players"))
+    )
+
+
 @q("mapping_coverage_b8", """
 SELECT DISTINCT p_type AS label FROM part WHERE p_type NOT IN ('GK', 'DF', 'MD', 'FW')""")
 def mapping_coverage(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitchloom.llm import simhash
+from pitchloom.llm import mixing, packing, simhash, toxicity
 from pitchloom.llm.common import table
 
 QUERIES: dict = {}
@@ -14,6 +14,22 @@ def query(function):
     return function
 
 
+@query
+def op1_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.scored_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_pack_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -87,9 +87,13 @@ def bucket_keys():
 
 def planes_of(values: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints, whose number is a multiple of 64: [word, plane] over 64 lanes."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lanes = bits.reshape(-1, 64, 64).transpose(0, 2, 1)
-    return np.packbits(lanes, axis=2, bitorder="little").reshape(-1, 64, 8).view(np.uint64)[:, :, 0]
+    planes = np.empty((len(values) // 64, 64), np.uint64)
+    for at in range(0, len(planes), 2048):
+        part = values[at * 64:(at + 2048) * 64]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lanes = np.ascontiguousarray(bits.reshape(-1, 64, 64).transpose(0, 2, 1))
+        planes[at:at + 2048] = np.packbits(lanes, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return planes
 
 
 def within(values, planes, probe, word, valid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitchloom.llm import mixing, packing, simhash, toxicity
+from pitchloom.llm import mixing, packing, repetition, simhash, toxicity, warc
 from pitchloom.llm.common import table
 
 QUERIES: dict = {}
@@ -30,6 +30,16 @@ def op4_toxicity(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_warc_archives(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_repetition_rules(spark, sf_dir):
+    return repetition.quality(table(spark, sf_dir, "documents"))

@@ -6,7 +6,11 @@ from pitchloom.llm import pipeline_stages as stages
 from pitchloom.runtime import staged
 
 STAGES = [
-    ("near_dedup", stages.near_dedup),
+    ("toxicity", stages.reject_toxic),
+    ("simhash_near_dedup", stages.near_dedup),
+    ("personal_data", stages.redact_personal_data),
+    ("mix_sources", stages.mix_sources),
+    ("pack_sequences", stages.pack_sequences),
 ]
 
 # Fitted models and tokenizers are beyond SQL; tests hold each stage against brute force.

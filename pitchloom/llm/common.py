@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -119,6 +120,22 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(roots)
 
 
+def union_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the labels of linked rows a[k] and b[k], in place, to the smallest of each linked set."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(
         F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")),

@@ -148,6 +148,17 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     )
 
 
+def mixed_documents(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """``docs`` in the order of the mixture, a document once for each pass, with its own columns only.
+
+    Rows are ranged by slot, so each file holds a stretch of the mixture in its order.
+    """
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    placed = mix(whole, weights, carry=("_row",))
+    ordered = placed.repartitionByRange("slot").sortWithinPartitions("slot", "offset")
+    return ordered.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def deviation(slots: list, given: dict) -> Fraction:
     """The largest distance in blocks between a source's blocks so far and its share of the slots."""
     period, had, worst = sum(given.values()), dict.fromkeys(given, 0), Fraction(0)

@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
-from pitchloom.llm import simhash
+from pyspark.sql import functions as F
+
+from pitchloom.llm import mixing, packing, pii_bootstrap, simhash, toxicity
+from pitchloom.llm.common import table
+
+
+def reject_toxic(spark, docs, sf_dir):
+    """Documents that the toxicity model, fitted on labels that are not held out, does not reject."""
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each SimHash component: the one with the smallest id."""
     return simhash.representatives(docs)
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    """All documents, with personal data replaced by its kind."""
+    return pii_bootstrap.redact(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """All documents in the order of the mixture, small sources once for each of their passes."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """The pieces of all documents in training sequences."""
+    return packing.pack(docs)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pitchloom.llm import mixing, packing, repetition, simhash, toxicity, warc
+from pitchloom.llm import (
+    maxent_lm, mixing, packing, pii_bootstrap, repetition, secret_scan, simhash, subspace_join, toxicity, warc,
+)
 from pitchloom.llm.common import table
 
 QUERIES: dict = {}
@@ -24,12 +26,22 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.scored_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_maxent_lm(spark, sf_dir):
+    return maxent_lm.scored_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_warc_archives(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
@@ -43,3 +55,13 @@ def op7_pack_sequences(spark, sf_dir):
 @query
 def op8_repetition_rules(spark, sf_dir):
     return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_embedding_near_dedup(spark, sf_dir):
+    return subspace_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_pii_bootstrap(spark, sf_dir):
+    return pii_bootstrap.report(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pitchloom.llm.common import byte_values, components, word_slices
+from pitchloom.llm.common import byte_values, components, union_labels, word_slices
 from pitchloom.runtime import staged
 
 SHINGLE_WORDS = 4
@@ -168,26 +168,11 @@ def _link(values: np.ndarray, units: np.ndarray) -> np.ndarray:
             some = hit[at:at + (1 << 14)]
             bits = np.unpackbits(lanes[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, j = np.nonzero(bits)
-            _union(label, probe[some][i], row_at[word[some][i] * 64 + j])
+            union_labels(label, probe[some][i], row_at[word[some][i] * 64 + j])
         begin = end
     return label
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    while True:
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that join all linked sets: no link is lost.
 

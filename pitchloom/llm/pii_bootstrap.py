@@ -32,6 +32,8 @@ CONTEXT_CHARS = 80
 # Rounds; different known instances and share of a pattern's uses that make it confident; patterns
 # that are weighed in full, by support; certainty that makes an instance known.
 ROUNDS, LEAST_SUPPORT, LEAST_PRECISION, PATTERN_POOL, LEAST_CERTAINTY = 3, 3, 0.5, 2_000, 0.7
+# The lower bound of a pattern's uses comes from one of so many parts of the documents.
+BOUND_PARTS = 8
 
 SPAN = "array<struct<s:int,e:int,k:int,m:string,c:string>>"
 
@@ -135,6 +137,23 @@ def pattern_uses(docs: DataFrame, pool: DataFrame) -> DataFrame:
     return used.join(F.broadcast(pool), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
 
 
+def _possible(docs: DataFrame, pool: DataFrame, edges: DataFrame, least_precision: float) -> DataFrame:
+    """The patterns that can still be confident. This drops none that could.
+
+    A pattern's uses in a part of the documents are a lower bound of its uses in all, and its mentions
+    are an upper bound of what it may ever extract; if even these bounds give too low a precision,
+    its uses need not be counted in full. Most pairs of common words go here.
+    """
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(BOUND_PARTS)) == 0)
+    at_least = pattern_uses(part, pool)
+    at_most = edges.groupBy("pattern").agg(F.sum("n").alias("mentions"))
+    return (
+        at_most.join(at_least, "pattern", "left")
+        .where(F.col("mentions") >= least_precision * F.coalesce("uses", F.lit(0)))
+        .select("pattern")
+    )
+
+
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = LEAST_SUPPORT,
                    least_precision: float = LEAST_PRECISION) -> list[tuple[str, int]]:
     """Confident (pattern, kind), at most PATTERN_POOL of them, learnt over all rows of ``docs``."""
@@ -147,8 +166,9 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = L
     )
     if pool.isEmpty():
         return []
-    uses = staged(pattern_uses(docs, pool))
     edges = staged(graph.join(F.broadcast(pool), "pattern"))
+    pool = staged(_possible(docs, pool, edges, least_precision))
+    uses = staged(pattern_uses(docs, pool))
     known = seeds.select("instance", "kind").distinct().withColumn("certainty", F.lit(1.0))
     confident = None
     for _ in range(rounds):

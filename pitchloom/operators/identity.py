@@ -129,8 +129,8 @@ def match_players(
 ) -> DataFrame:
     """Pairs by full normalised name, then by a surname that is unique on both sides.
 
-    Full names that several players share give every pair, as an equi join does; empty
-    surnames never match.
+    Full names that several players share give every pair, as an equi join does. Names that
+    normalise to nothing (no Latin letter) never match.
     """
     def prepare(df, name, tag):
         full = normalise_name(F.col(name))
@@ -139,7 +139,7 @@ def match_players(
         ).distinct().select(f"player_id_{tag}", normalise_name(F.col("_raw")).alias("_full"))
 
     a, b = prepare(left, left_name, "left"), prepare(right, right_name, "right")
-    exact = a.join(b, "_full").select(
+    exact = a.where(F.col("_full") != "").join(b, "_full").select(
         "player_id_left", "player_id_right", F.lit("full_name").alias("match_rule")
     )
 

@@ -17,9 +17,11 @@ class ThreatError(ValueError):
 
 
 def _axis(column: str, size: float, cells: int) -> Column:
-    return F.greatest(
+    # Without the guard least and greatest would skip a null and give the last cell.
+    known = F.col(column).isNotNull() & ~F.isnan(column)
+    return F.when(known, F.greatest(
         F.lit(0), F.least(F.lit(cells - 1), F.floor(F.col(column) / F.lit(size) * F.lit(cells)))
-    ).cast("long")
+    ).cast("long"))
 
 
 def cell_of(x: str, y: str, length: int = S.GRID_LENGTH, width: int = S.GRID_WIDTH) -> Column:
@@ -85,14 +87,22 @@ def fit_surface(
     )
 
 
-def rate_actions(actions: DataFrame, surface: DataFrame) -> DataFrame:
-    """Add ``xt_value``: gain of each successful move, null for everything else."""
+def rate_actions(
+    actions: DataFrame, surface: DataFrame, length: int = S.GRID_LENGTH, width: int = S.GRID_WIDTH
+) -> DataFrame:
+    """Add ``xt_value``: gain of each successful move, null for everything else.
+
+    ``length`` and ``width`` are those of the grid that the surface was fitted on.
+    """
     origin = surface.select(F.col("cell").alias("_a"), F.col("xt").alias("_xa"))
     target = surface.select(F.col("cell").alias("_b"), F.col("xt").alias("_xb"))
     # The surface has exactly one row per grid cell, so both sides broadcast at any scale.
     return (
         actions.withColumns(
-            {"_a": cell_of("start_x", "start_y"), "_b": cell_of("end_x", "end_y")}
+            {
+                "_a": cell_of("start_x", "start_y", length, width),
+                "_b": cell_of("end_x", "end_y", length, width),
+            }
         )
         .join(F.broadcast(origin), "_a", "left")
         .join(F.broadcast(target), "_b", "left")
@@ -106,7 +116,8 @@ def fit_xthreat(actions: DataFrame, train_games: DataFrame, **grid) -> DataFrame
     train = actions.join(train_games.select("game_id").distinct(), "game_id", "left_semi")
     if train.isEmpty():
         raise ThreatError("no action belongs to a training match; assign the split first")
-    return rate_actions(actions, fit_surface(train, **grid))
+    sides = {k: v for k, v in grid.items() if k in ("length", "width")}
+    return rate_actions(actions, fit_surface(train, **grid), **sides)
 
 
 def _gain() -> Column:

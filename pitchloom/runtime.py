@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 GROUP_ROW_LIMIT = 1_000_000
 # Rows per block once an oversized group has been cut into blocks.
 BLOCK_ROWS = 250_000
-# Keys a side may hold before it is no longer broadcast.
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -61,12 +59,6 @@ def split_by_size(df: DataFrame, keys, limit: int = GROUP_ROW_LIMIT):
     return df.join(big, keys, "left_anti"), df.join(big, keys, "left_semi")
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after counting; otherwise the planner is left to shuffle."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
-
-
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Put the columns of a one-row aggregate on every row. The right side is a single row."""
     return df.join(F.broadcast(row), F.lit(True))

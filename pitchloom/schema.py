@@ -19,8 +19,8 @@ BODYPARTS = ("foot", "head", "other")
 
 # --- fixed values: type families ---------------------------------------------------------
 PASS_LIKE_TYPES = (
-    "pass", "cross", "throw_in", "freekick_short", "freekick_crossed", "corner_short",
-    "corner_crossed", "goalkick",
+    "pass", "cross", "throw_in", "freekick_crossed", "freekick_short", "corner_crossed",
+    "corner_short", "goalkick",
 )
 PROVIDER_COMPARABLE_TYPES = (
     "pass", "cross", "throw_in", "corner_crossed", "corner_short", "freekick_short",

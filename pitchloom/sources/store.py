@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pitchloom import schema as S
@@ -76,17 +78,20 @@ def upsert_by_provider(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_games(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """Rewrite a match index in place. The old rows are staged before the overwrite."""
-    from pyspark.errors import AnalysisException
-
-    from pitchloom.runtime import durable
-
-    try:
-        existing = durable(spark.read.parquet(path))
-    except AnalysisException:
-        fresh.write.mode("overwrite").parquet(path)
+    """Rewrite a match index. The new index is written beside the old one and then takes its place,
+    so a failure loses neither; an index that cannot be read raises and stays as it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        fresh.write.parquet(path)
         return
-    upsert_by_provider(existing, fresh).write.mode("overwrite").parquet(path)
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    upsert_by_provider(spark.read.parquet(path), fresh).write.parquet(beside)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}-old")
+    files.rename(target, old)
+    files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target)
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def inventory(actions: DataFrame) -> DataFrame:
@@ -145,7 +150,11 @@ def season_action_key(
     out = bounded.withColumn(POSITION, (F.row_number().over(w) - 1).cast("long"))
     if huge is not None:
         out = out.unionByName(dense_position(huge, ["game_id"], S.ACTION_ORDER))
-    return out.withColumn("season_action_id", F.col(POSITION) + F.col("game_id") * stride).drop(POSITION)
+    # A match beyond the stride would share keys with the next one, so it is refused.
+    place = F.when(F.col(POSITION) < stride, F.col(POSITION)).otherwise(
+        F.raise_error(F.lit(f"a match has more than {stride} actions; raise the stride")).cast("long")
+    )
+    return out.withColumn("season_action_id", place + F.col("game_id") * stride).drop(POSITION)
 
 
 def only_available(games: DataFrame, landed: DataFrame) -> DataFrame:

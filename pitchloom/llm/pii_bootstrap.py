@@ -29,11 +29,13 @@ IDENTIFIER = (
 )
 # Characters before a match from which its two words of context are taken.
 CONTEXT_CHARS = 80
-# Rounds; different known instances and share of a pattern's uses that make it confident; patterns
-# that are weighed in full, by support; certainty that makes an instance known.
-ROUNDS, LEAST_SUPPORT, LEAST_PRECISION, PATTERN_POOL, LEAST_CERTAINTY = 3, 3, 0.5, 2_000, 0.7
-# The lower bound of a pattern's uses comes from one of so many parts of the documents.
-BOUND_PARTS = 8
+# Rounds; different known instances and share of a pattern's uses that make it confident; certainty
+# that makes an instance known.
+ROUNDS, LEAST_SUPPORT, LEAST_PRECISION, LEAST_CERTAINTY = 3, 3, 0.5, 0.7
+# Word pairs fall into so many buckets; pairs in a bucket without a pattern are not counted.
+BUCKETS = 16_384
+# Confident patterns that are put into the plan as a map; if there are more, they are joined.
+MAP_PATTERNS = 2_000
 
 SPAN = "array<struct<s:int,e:int,k:int,m:string,c:string>>"
 
@@ -126,48 +128,38 @@ def mentions(docs: DataFrame) -> DataFrame:
     return found.where("pattern <> ''").groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bucket(pattern: str) -> Column:
+    return F.pmod(F.xxhash64(pattern), F.lit(BUCKETS)).cast("int")
+
+
 def pattern_uses(docs: DataFrame, pool: DataFrame) -> DataFrame:
-    """(pattern, uses): how often the patterns of ``pool`` stand before any word. ``pool`` has at most
-    PATTERN_POOL rows, so it is sent to the tasks."""
+    """(pattern, uses): how often the patterns of ``pool`` stand before any word.
+
+    Pairs are counted before they meet the pool, so the join sees each pair once. The buckets that
+    the pool falls into, BUCKETS at most, keep most other pairs from being counted.
+    """
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}=:#]*[\x20\x09-\x0D]+[^\p{L}\p{N}=:#]*", " "), " ")
     pairs = docs.select(F.explode(F.arrays_zip(
         words.alias("a"), F.slice(words, 2, 1 << 30).alias("b"))).alias("z")).select("z.a", "z.b")
-    used = pairs.where("b is not null").select(F.concat_ws(" ", "a", "b").alias("pattern"))
-    return used.join(F.broadcast(pool), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
-
-
-def _possible(docs: DataFrame, pool: DataFrame, edges: DataFrame, least_precision: float) -> DataFrame:
-    """The patterns that can still be confident. This drops none that could.
-
-    A pattern's uses in a part of the documents are a lower bound of its uses in all, and its mentions
-    are an upper bound of what it may ever extract; if even these bounds give too low a precision,
-    its uses need not be counted in full. Most pairs of common words go here.
-    """
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(BOUND_PARTS)) == 0)
-    at_least = pattern_uses(part, pool)
-    at_most = edges.groupBy("pattern").agg(F.sum("n").alias("mentions"))
-    return (
-        at_most.join(at_least, "pattern", "left")
-        .where(F.col("mentions") >= least_precision * F.coalesce("uses", F.lit(0)))
-        .select("pattern")
+    buckets = [row[0] for row in pool.select(_bucket("pattern")).distinct().collect()]
+    used = (
+        pairs.where("b is not null").select(F.concat_ws(" ", "a", "b").alias("pattern"))
+        .where(_bucket("pattern").isin(buckets))
     )
+    return used.groupBy("pattern").agg(F.count(F.lit(1)).alias("uses")).join(pool, "pattern")
 
 
-def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = LEAST_SUPPORT,
-                   least_precision: float = LEAST_PRECISION) -> list[tuple[str, int]]:
-    """Confident (pattern, kind), at most PATTERN_POOL of them, learnt over all rows of ``docs``."""
+def confident_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = LEAST_SUPPORT,
+                       least_precision: float = LEAST_PRECISION) -> DataFrame:
+    """(pattern, kind) of the confident patterns, learnt over all rows of ``docs``."""
     graph = staged(mentions(docs))
     seeds = graph.where("kind >= 0")
     support = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("support"))
-    pool = staged(
-        support.where(F.col("support") >= least_support)
-        .orderBy(F.desc("support"), "pattern").limit(PATTERN_POOL).select("pattern")
-    )
+    pool = staged(support.where(F.col("support") >= least_support).select("pattern"))
     if pool.isEmpty():
-        return []
-    edges = staged(graph.join(F.broadcast(pool), "pattern"))
-    pool = staged(_possible(docs, pool, edges, least_precision))
+        return pool.select("pattern", F.lit(0).alias("kind"))
+    edges = staged(graph.join(pool, "pattern"))
     uses = staged(pattern_uses(docs, pool))
     known = seeds.select("instance", "kind").distinct().withColumn("certainty", F.lit(1.0))
     confident = None
@@ -186,7 +178,7 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = L
                                           F.max("precision").alias("precision"))
         )
         new = (
-            edges.where("kind < 0").join(F.broadcast(confident.withColumnRenamed("kind", "k")), "pattern")
+            edges.where("kind < 0").join(confident.withColumnRenamed("kind", "k"), "pattern")
             .groupBy("instance", F.col("k").alias("kind"))
             .agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("precision"))))).alias("certainty"))
             .where(F.col("certainty") >= LEAST_CERTAINTY)
@@ -195,22 +187,43 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int = L
             seeds.select("instance", "kind", F.lit(1.0).alias("certainty")).unionByName(new)
             .groupBy("instance", "kind").agg(F.max("certainty").alias("certainty"))
         )
-    return [(row["pattern"], row["kind"]) for row in confident.orderBy("pattern").collect()]
+    return confident.select("pattern", "kind")
 
 
-def spans_of(text: Column, patterns: list[tuple[str, int]]) -> tuple[Column, Column]:
-    """(base spans, spans that the patterns add) of a text."""
-    base = base_spans(text)
+def learn_patterns(docs: DataFrame, **options) -> list[tuple[str, int]]:
+    """The confident patterns as a sorted list, to look at."""
+    return [(row["pattern"], row["kind"]) for row in confident_patterns(docs, **options).orderBy("pattern").collect()]
+
+
+def _typed(span: Column, kind: Column) -> Column:
+    return F.struct(span["s"].alias("s"), span["e"].alias("e"), kind.alias("k"), span["m"].alias("m"), span["c"].alias("c"))
+
+
+def _by_map(docs: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:
+    """``docs`` with _more, the candidates that a pattern of a short list precedes. Moves no row."""
     if not patterns:
-        return base, F.array().cast(SPAN)
+        return docs.withColumn("_more", F.array().cast(SPAN))
     kinds = F.map_from_arrays(F.array(*[F.lit(p) for p, _ in patterns]), F.array(*[F.lit(k) for _, k in patterns]))
+    typed = F.transform(candidate_spans(F.coalesce(F.col("text"), F.lit(""))), lambda span: _typed(
+        span, F.coalesce(F.element_at(kinds, _pattern(span["c"])), F.lit(-1))))
+    return docs.withColumn("_more", F.filter(typed, lambda span: span["k"] >= 0))
 
-    def typed(span):
-        return F.struct(span["s"].alias("s"), span["e"].alias("e"),
-                        F.coalesce(F.element_at(kinds, _pattern(span["c"])), F.lit(-1)).alias("k"),
-                        span["m"].alias("m"), span["c"].alias("c"))
 
-    return base, F.filter(F.transform(candidate_spans(text), typed), lambda span: span["k"] >= 0)
+def _by_join(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The same for a table of patterns of any length. Spans depend on the text alone, so the text's
+    digest is their key and the copies of a text share one row of spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = (
+        docs.where(F.col("text").rlike("[0-9]"))
+        .select(F.sha2("text", 256).alias("_digest"), F.explode(candidate_spans(F.col("text"))).alias("x"))
+        .withColumn("pattern", _pattern(F.col("x.c"))).where("pattern <> ''")
+        .join(patterns, "pattern")
+        .groupBy("_digest").agg(F.array_sort(F.collect_set(_typed(F.col("x"), F.col("kind")))).alias("_more"))
+    )
+    return (
+        docs.withColumn("_digest", F.sha2(text, 256)).join(found, "_digest", "left").drop("_digest")
+        .withColumn("_more", F.coalesce("_more", F.array().cast(SPAN)))
+    )
 
 
 def _listed(spans: Column) -> Column:
@@ -219,15 +232,16 @@ def _listed(spans: Column) -> Column:
         ":", F.element_at(kind, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, patterns: list[tuple[str, int]] | None = None) -> DataFrame:
+def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """The columns of ``docs`` (text and any others) with _base and _all, arrays of spans.
 
-    Null texts count as empty. Spans that patterns add never overlap a base span. Patterns are learnt
-    from ``docs`` itself if none are given.
+    Null texts count as empty. Spans that patterns add never overlap a base span. ``patterns`` are
+    rows (pattern, kind), each pattern once; they are learnt from ``docs`` itself if none are given.
     """
-    patterns = learn_patterns(docs) if patterns is None else patterns
-    base, more = spans_of(F.coalesce(F.col("text"), F.lit("")), patterns)
-    found = docs.withColumn("_base", base).withColumn("_more", more)
+    patterns = confident_patterns(docs) if patterns is None else patterns
+    few = patterns.limit(MAP_PATTERNS + 1).collect()
+    found = _by_map(docs, [tuple(row) for row in few]) if len(few) <= MAP_PATTERNS else _by_join(docs, patterns)
+    found = found.withColumn("_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
     free = F.filter("_more", lambda o: ~_overlaps(o, F.col("_base")))
     return found.withColumn("_all", F.array_sort(F.concat("_base", free))).drop("_more")
 

@@ -287,7 +287,7 @@ def test_personal_data_base_matches_python(spark, edges, none):
     assert clean[10] == "mail <EMAIL> or <PHONE> now <CARD> at <IP>" and clean[4] is None
 
 
-def test_contexts_discover_unseen_identifiers(spark):
+def test_contexts_discover_unseen_identifiers(spark, monkeypatch):
     docs = [(i, f"words here please call +1 (017) 555-77{i:02d} today v1.{i}.22x") for i in range(10, 30)]
     docs += [(i, f"words here please call 555-0{i}-44 today") for i in range(30, 36)]
     docs += [(i, f"words and then the 555-0{i}-44 of it") for i in range(40, 60)]
@@ -295,6 +295,13 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii_bootstrap.learn_patterns(table) == [("please call", 3)]
     spans = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(table).collect()}
     assert spans[30] == "phone:23:33" and spans[41] == "" and spans[12] == "phone:23:40"
+    # Patterns beyond the bound of the map are joined; repeated rows and nulls keep their spans.
+    doubled = table.union(table).union(spark.createDataFrame([(None, None), (7, "")], table.schema))
+    by_map = Counter(map(tuple, pii_bootstrap.report(doubled).collect()))
+    monkeypatch.setattr(pii_bootstrap, "MAP_PATTERNS", 0)
+    assert Counter(map(tuple, pii_bootstrap.report(doubled).collect())) == by_map
+    monkeypatch.setattr(pii_bootstrap, "BUCKETS", 1)
+    assert pii_bootstrap.learn_patterns(table) == [("please call", 3)]
 
 
 def test_language_model_counts_and_beats_its_base(spark, edges, none, monkeypatch):

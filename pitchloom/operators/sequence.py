@@ -419,17 +419,12 @@ def score_possessions(
     return counts.join(adjusted_rand(actions, truth_column, "possession_id", keys), keys)
 
 
-def possession_agreement(
-    actions: DataFrame, truth: DataFrame, n_games: int | None = None
-) -> DataFrame:
+def possession_agreement(actions: DataFrame, truth: DataFrame) -> DataFrame:
     """Score freshly rebuilt chains on the rows that have a native possession number."""
     known = truth.where(F.col("statsbomb_possession").isNotNull()).select(
         "original_event_id", "statsbomb_possession"
     )
     rows = actions.drop("possession_id", "possession_team_id")
-    if n_games is not None:
-        first = rows.select("game_id").distinct().orderBy("game_id").limit(n_games)
-        rows = rows.join(first, "game_id", "left_semi")
     return score_possessions(reconstruct_possessions(rows.join(known, "original_event_id")))
 
 

@@ -25,6 +25,8 @@ PERIOD = 1_000
 POWER = 0.7
 # Buckets of the order in which a source's documents are placed, and rows aimed at in each.
 LEAST_BUCKETS, BUCKET_ROWS = 256, 20_000
+# Passes of a document that one step lists.
+PASSES = 4_096
 SEED = 11
 
 
@@ -133,11 +135,15 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     same = placed["_source"].eqNullSafe(plan["_source"])
     placed = placed.join(F.broadcast(plan), same).drop(plan["_source"])
     first = F.col("_start") + F.col("_within")
-    passes = F.expr("sequence(0L, (_until - 1 - _first) div _all)")
+    # In two steps, so that the arrays stay short however often a source is placed.
+    last = F.expr("(_until - 1 - _first) div _all")
+    some = F.expr(f"sequence(_from, least(_last, _from + {PASSES - 1}))")
     block = F.expr("_at div %d" % block_chars)
     return (
         placed.withColumn("_first", first).where("_first < _until")
-        .withColumn("pass", F.explode(passes))
+        .withColumn("_last", last)
+        .withColumn("_from", F.explode(F.expr(f"sequence(0L, _last, {PASSES}L)")))
+        .withColumn("pass", F.explode(some))
         .withColumn("_at", F.expr("_first + pass * _all"))
         .withColumn("_block", block)
         .select(

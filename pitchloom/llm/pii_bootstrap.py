@@ -37,7 +37,8 @@ BUCKETS = 16_384
 # Confident patterns that are put into the plan as a map; if there are more, they are joined.
 MAP_PATTERNS = 2_000
 
-SPAN = "array<struct<s:int,e:int,k:int,m:string,c:string>>"
+# Fields stand in the order that spans are sorted by: start, kind, end.
+SPAN = "array<struct<s:int,k:int,e:int,m:string,c:string>>"
 
 
 def _matches(text: Column, kind: int, pattern: str) -> Column:
@@ -52,7 +53,7 @@ def _matches(text: Column, kind: int, pattern: str) -> Column:
     def step(held, pair):
         start = held["at"] + F.length(pair["p"])
         end = start + F.length(pair["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), F.lit(kind).alias("k"), pair["m"].alias("m"),
+        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), pair["m"].alias("m"),
                         F.substring(pair["p"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("c"))
         return F.when(pair["m"].isNull(), held).otherwise(F.struct(
             end.alias("at"), F.concat(held["out"], F.array(span)).alias("out")))
@@ -75,8 +76,9 @@ def _luhn(text: Column) -> Column:
 
 def _valid(kind: str):
     def ip(span):
-        return F.forall(F.split(span["m"], r"\."),
-                        lambda part: F.regexp_replace(part, "^0+(?=[0-9])", "").cast("decimal(38,0)") <= 255)
+        # Up to three digits once leading zeros are gone, so that no long run is cast.
+        return F.forall(F.split(span["m"], r"\."), lambda part: part.rlike(
+            "^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
     def card(span):
         return F.length(_digits(span["m"])).between(14, 19) & _luhn(span["m"])
@@ -196,7 +198,7 @@ def learn_patterns(docs: DataFrame, **options) -> list[tuple[str, int]]:
 
 
 def _typed(span: Column, kind: Column) -> Column:
-    return F.struct(span["s"].alias("s"), span["e"].alias("e"), kind.alias("k"), span["m"].alias("m"), span["c"].alias("c"))
+    return F.struct(span["s"].alias("s"), kind.alias("k"), span["e"].alias("e"), span["m"].alias("m"), span["c"].alias("c"))
 
 
 def _by_map(docs: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:

@@ -194,14 +194,11 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFra
     compared once and count as often as they come; repeated rows are such copies. Rows with a null
     id take part and get their component's smallest id.
     """
-    square = F.expr("aggregate(embedding, 0D, (s, x) -> s + cast(x as double) * cast(x as double))")
-    rows = rows.select("vec_id", "embedding", "label").withColumn("_sq", square)
-    good = (
-        F.col("label").isNotNull() & F.col("_sq").isNotNull() & ~F.isnan("_sq")
-        & (F.col("_sq") > 0) & (F.col("_sq") < float("inf"))
-    )
-    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
-    valid = rows.where("_good").drop("_sq", "_good")
+    # A component that is null makes the first test null or false; NaN is above every number.
+    finite = F.expr("forall(embedding, x -> x is not null and abs(x) < double('inf'))")
+    good = F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
+    rows = rows.select("vec_id", "embedding", "label").withColumn("_good", F.coalesce(good, F.lit(False)))
+    valid = rows.where("_good").drop("_good")
     distinct = staged(
         valid.groupBy("label", "embedding")
         .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))

@@ -236,7 +236,7 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
     rows += [(200, rows[0][1], 0), (201, (2 * x[0]).tolist(), 0), (201, rows[0][1], 0)]
     bad = [(300, None, 0), (301, [], 0), (302, [0.0] * 16, 0), (303, [float("nan")] * 16, 0), (304, rows[0][1], None),
-           (305, [None, 1.0], 0), (306, [float("inf")] * 16, 0), (307, [1.0, 2.0], 0)]
+           (305, [None, 1.0], 0), (306, [float("inf")] * 16, 0), (307, [1.0, 2.0], 0), (308, [float("nan"), 1.0], 0)]
     table = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id bigint, embedding array<float>, label int, node string")
     monkeypatch.setattr(subspace_join, "PART", 8)
     found = subspace_join.near_vectors(table).collect()
@@ -275,6 +275,7 @@ def brute_spans(text):
 def test_personal_data_base_matches_python(spark, edges, none):
     hard = ["a@b.c_d@e.f x@y.z", "1.2.3.4.5.6.7.8 256.1.1.1 " + "0" * 50 + "1.2.3.4", "4845168114407329 7536784127813050",
             "+1 (017) 555-7713++1 (974) 555-3436 ", "é中 a.b@c-d.e.f😀 10.0.0.1", "a@b a@b. @x.y a@@b.c", "5" * 5000,
+            "4845168114407329@x.org", "0" * 16 + "4.1.1.1", "00004845168114407329.1.1.1", "1.2.3." + "9" * 60,
             "a" * 50_000, "1 " * 5000, "+1" + " " * 5000 + "2", "a@b.c" * 300]
     docs = edges.select("doc_id", "text", "n").union(spark.createDataFrame(
         [(100 + i, t, "") for i, t in enumerate(hard)], "doc_id bigint, text string, n string"))
@@ -320,6 +321,40 @@ def test_language_model_counts_and_beats_its_base(spark, edges, none, monkeypatc
     assert maxent_lm.scored_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("known", [3, 40, 1_000])
+def test_language_model_is_a_distribution(known):
+    """The words after a context, and the unknown word, have probabilities that add up to one."""
+    counts = np.arange(known, 0, -1)
+    words = maxent_lm.Words([str(i).encode() for i in range(known)], counts)
+    trainer = maxent_lm.Trainer(words, None)
+    rng = np.random.default_rng(1)
+    trainer.add(rng.choice(known, 20_000, p=counts / counts.sum()))
+    trainer.flush()
+    ids = np.append(np.arange(known), words.rare)
+    hashes = np.repeat(maxent_lm.contexts(np.array([1, 2, 0, 1]), words.begin)[-1:], len(ids), axis=0)
+    scores = maxent_lm.log10_head(words, trainer.weights, ids, hashes)
+    tail = np.append(counts[maxent_lm.HEAD:] + 1, 1)
+    scores[ids >= maxent_lm.HEAD] += np.log10(tail / tail.sum())
+    assert abs((10 ** scores).sum() - 1) < 1e-4
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 2e-200], 0), (2, [1e200, 2e200], 0), (3, [2e200, 4e200], 0), (4, [1.0, -2.0], 0)]
+    found = subspace_join.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect()) == [
+        (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_mixing_lists_every_pass_of_a_small_source(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 999, "big") for i in range(400)] + [(900, "tiny", "small")],
+                                 "doc_id bigint, text string, source string")
+    whole = Counter(map(tuple, mixing.mix(docs, {"big": 1, "small": 1}, block_chars=1_000).collect()))
+    passes = sorted(r[2] for r in whole if r[0] == 900)
+    assert passes == list(range(len(passes))) and len(passes) > 10_000
+    monkeypatch.setattr(mixing, "PASSES", 7)
+    assert Counter(map(tuple, mixing.mix(docs, {"big": 1, "small": 1}, block_chars=1_000).collect())) == whole
+
+
 def test_toxicity_on_held_out_labels(spark, sf, edges, none):
     rng = np.random.default_rng(5)
     vocabulary = ["alpha", "beta", "gamma", "delta", "river", "stone"]

@@ -43,6 +43,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, list[int]] = {}
+        # One number object for each id, which all words that hold the id share.
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))
         self.mark = self._encode(MARK.decode())[0]
 
     def _encode(self, text: str) -> list[int]:
@@ -67,7 +69,8 @@ class WordTokenizer:
             if fresh:
                 found = self._fresh(fresh)
                 if len(known) + len(found) <= CACHE_WORDS:
-                    known.update(found)
+                    numbers = self.numbers
+                    known.update((w, [numbers[i] for i in ids]) for w, ids in found.items())
                 else:
                     known = {w: found[w] if w in found else known[w] for w in set(words)}
             parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32))
@@ -79,7 +82,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that tasks share the ids it keeps."""
+    """One for each worker process; a task frees the ids that it kept when it ends."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
@@ -232,6 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
                 if len(rows) > 5_000:
                     yield from flush()
         packer.finish()
+        tokenizer.known.clear()
         yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

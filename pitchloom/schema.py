@@ -111,11 +111,6 @@ TOPOLOGY_FEATURES = (
     "degree_in_norm", "degree_out_norm", "strength_in_norm", "strength_out_norm",
     "edge_share_in", "edge_share_out",
 )
-FEATURE_SETS = {
-    "position": POSITION_FEATURES,
-    "topology": TOPOLOGY_FEATURES,
-    "both": POSITION_FEATURES + TOPOLOGY_FEATURES,
-}
 DIRECTION_FEATURES = (
     "progression_made", "progression_received", "pass_length_made", "progressive_share",
 )
@@ -123,16 +118,19 @@ THREAT_FEATURES = (
     "xt_generated", "shot_involvement", "xt_strength_in_norm", "xt_strength_out_norm",
 )
 CONVERSION_FEATURES = ("shot_conversion",)
-FEATURE_SETS.update({
+FEATURE_SETS = {
+    "position": POSITION_FEATURES,
+    "topology": TOPOLOGY_FEATURES,
+    "both": POSITION_FEATURES + TOPOLOGY_FEATURES,
     "direction": DIRECTION_FEATURES,
     "topology+direction": TOPOLOGY_FEATURES + DIRECTION_FEATURES,
-    "all": FEATURE_SETS["both"] + DIRECTION_FEATURES,
+    "all": POSITION_FEATURES + TOPOLOGY_FEATURES + DIRECTION_FEATURES,
     "threat": THREAT_FEATURES,
-    "all+threat": FEATURE_SETS["both"] + DIRECTION_FEATURES + THREAT_FEATURES,
+    "all+threat": POSITION_FEATURES + TOPOLOGY_FEATURES + DIRECTION_FEATURES + THREAT_FEATURES,
     "all+threat+conv": (
-        FEATURE_SETS["both"] + DIRECTION_FEATURES + THREAT_FEATURES + CONVERSION_FEATURES
+        POSITION_FEATURES + TOPOLOGY_FEATURES + DIRECTION_FEATURES + THREAT_FEATURES + CONVERSION_FEATURES
     ),
-})
+}
 
 # --- fixed values: validation-only columns that must never reach a model -----------------
 ENRICHMENT_ONLY_COLUMNS = (

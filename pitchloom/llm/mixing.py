@@ -2,25 +2,32 @@
 
 Every source's documents are dealt into blocks of equal size. Block j of a source with weight w may
 be placed from slot floor((j - 1) / w) on and must be by slot ceil(j / w); the earliest deadline goes
-first. At any slot every source has then had its share to within one block. With weights of whole
-numbers over a period the schedule repeats, so one period is computed and every block finds its slot
-by arithmetic. Sources that end before the longest one has been placed once begin again, so no
-document is left out and the shares hold to the end.
+first. Weights are exact fractions, so at any slot every source has had its share of the given weights
+to within one block. One task walks the slots and writes a row for each block, which the documents
+join; it holds one entry per source. Sources that end before the longest one has been placed once
+begin again, so no document is left out and the shares hold to the end.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pitchloom.runtime import staged
 
 # Characters of a block, about one training sequence.
 BLOCK_CHARS = 16_384
-# Slots of a period, at least; also the resolution of the weights.
+# Slots of a period where whole slots are wanted (``shares``); the mixture has no period.
 PERIOD = 1_000
+# Slots that are handed on at once.
+BATCH_SLOTS = 1 << 16
 # Default weights are the source's size to this power.
 POWER = 0.7
 # Buckets of the order in which a source's documents are placed, and rows aimed at in each.
@@ -46,24 +53,72 @@ def shares(weights: dict, period: int) -> dict:
     return given
 
 
-def schedule(given: dict) -> list:
-    """The sources of one period's slots: earliest deadline first among the released blocks."""
-    period = sum(given.values())
-    releases: list[list] = [[] for _ in range(period)]
-    for rank, source in enumerate(sorted(given, key=str)):
-        for j in range(1, given[source] + 1):
-            released = (j - 1) * period // given[source]
-            deadline = -(-j * period // given[source])
-            releases[released].append((deadline, rank, j, source))
-    ready, slots = [], []
-    for slot in range(period):
-        for block in releases[slot]:
-            heapq.heappush(ready, block)
-        deadline, _, _, source = heapq.heappop(ready)
+def whole_weights(weights: dict) -> dict:
+    """The exact weights as whole numbers over a common denominator, their sum."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    over = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * over) for s, w in exact.items()}
+
+
+def placements(parts: list[int], first: list[int] | None = None, end: int | None = None) -> Iterator[int]:
+    """The number of the source of each slot, for whole-number weights: earliest deadline first.
+
+    Without ``end`` it goes on for ever. With it, the ``first`` blocks of every source are due by slot
+    ``end`` at the latest, and the slots stop there. A missed deadline raises an error; without ``end``
+    there is none.
+    """
+    total = sum(parts)
+    done = [0] * len(parts)
+
+    def due(source):
+        j = done[source] + 1
+        deadline = -(-j * total // parts[source])
+        return min(deadline, end) if end is not None and j <= first[source] else deadline
+
+    ready = [(due(s), s) for s in range(len(parts))]
+    heapq.heapify(ready)
+    waiting: list[tuple] = []
+    slot = 0
+    while end is None or slot < end:
+        while waiting and waiting[0][0] <= slot:
+            source = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (due(source), source))
+        deadline, source = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a block missed its deadline")
-        slots.append(source)
-    return slots
+        yield source
+        done[source] += 1
+        heapq.heappush(waiting, (done[source] * total // parts[source], source))
+        slot += 1
+    if any(n < least for n, least in zip(done, first or [])):
+        raise AssertionError("a block missed its deadline")
+
+
+def horizon(parts: list[int], first: list[int]) -> int:
+    """Slots of the mixture: enough for the ``first`` blocks of every source, each within its window.
+
+    The least is where the last of them may be placed. A small source's only block can be due long
+    after that, so an end is tried before its deadline; ends grow by a quarter until one is kept.
+    Several such sources can stretch the mixture, as far as the largest n / w at most: shares come first.
+    """
+    total = sum(parts)
+    least = max((n - 1) * total // w + 1 for w, n in zip(parts, first))
+    most = max(-(-n * total // w) for w, n in zip(parts, first))
+    end = max(least, sum(first))
+    while end < most:
+        try:
+            for _ in placements(parts, first, end):
+                pass
+            return end
+        except AssertionError:
+            end += max(1, end // 4)
+    return most
+
+
+def schedule(given: dict) -> list:
+    """The sources of one period's slots, for weights of whole numbers."""
+    order = sorted(given, key=str)
+    return [order[k] for k in islice(placements([given[s] for s in order]), sum(given.values()))]
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS,
@@ -101,23 +156,30 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     missing = [s for s in totals if not weights.get(s, 0) > 0]
     if missing:
         raise ValueError(f"sources without a positive weight: {missing[:10]}")
-    given = shares({s: weights[s] for s in totals}, max(PERIOD, 4 * len(totals)))
-    period = sum(given.values())
-    places: dict = {s: [] for s in given}
-    for slot, source in enumerate(schedule(given)):
-        places[source].append(slot)
-
-    def slot_of(source, block):
-        return block // given[source] * period + places[source][block % given[source]]
-
-    # The mixture ends with the slot that places the last source's last block for the first time.
-    horizon = 1 + max(slot_of(s, (size - 1) // block_chars) for s, size in totals.items())
-    blocks = {
-        s: horizon // period * given[s] + sum(p < horizon % period for p in places[s]) for s in given}
-    # A row of at most PERIOD slots, or four times the number of sources, for all sources together.
+    order = sorted(totals, key=str)
+    exact = whole_weights({s: weights[s] for s in totals})
+    parts, first = [exact[s] for s in order], [-(-totals[s] // block_chars) for s in order]
+
+    def place(batches):
+        for _ in batches:
+            done, at = np.zeros(len(parts), np.int64), 0
+            slots = placements(parts, first, horizon(parts, first))
+            while len(sources := np.fromiter(islice(slots, BATCH_SLOTS), np.int32)):
+                # A source's blocks in a batch are numbered on from those before.
+                sort = np.argsort(sources, kind="stable")
+                had = np.bincount(sources, minlength=len(parts))
+                block = np.empty(len(sources), np.int64)
+                block[sort] = np.arange(len(sources)) + np.repeat(done - np.cumsum(had) + had, had)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sources), pa.array(block), pa.array(at + np.arange(len(sources)))],
+                    names=["_number", "_block", "slot"])
+                done, at = done + had, at + len(sources)
+
+    slots = staged(spark.range(1, numPartitions=1).mapInArrow(place, "_number int, _block bigint, slot bigint"))
+    blocks = {r["_number"]: r["n"] for r in slots.groupBy("_number").agg(F.count("slot").alias("n")).collect()}
     plan = spark.createDataFrame(
-        [(s, totals[s], blocks[s] * block_chars, given[s], places[s]) for s in given],
-        "_source string, _all bigint, _until bigint, _given bigint, _places array<bigint>",
+        [(s, k, totals[s], blocks[k] * block_chars) for k, s in enumerate(order)],
+        "_source string, _number int, _all bigint, _until bigint",
     ).withColumn("_source", F.col("_source").cast(docs.schema["source"].dataType))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -134,23 +196,19 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     placed = placed.join(starts, same).drop(starts["_source"]).drop(starts["_bucket"])
     same = placed["_source"].eqNullSafe(plan["_source"])
     placed = placed.join(F.broadcast(plan), same).drop(plan["_source"])
-    first = F.col("_start") + F.col("_within")
+    start = F.col("_start") + F.col("_within")
     # In two steps, so that the arrays stay short however often a source is placed.
     last = F.expr("(_until - 1 - _first) div _all")
     some = F.expr(f"sequence(_from, least(_last, _from + {PASSES - 1}))")
-    block = F.expr("_at div %d" % block_chars)
     return (
-        placed.withColumn("_first", first).where("_first < _until")
+        placed.withColumn("_first", start).where("_first < _until")
         .withColumn("_last", last)
         .withColumn("_from", F.explode(F.expr(f"sequence(0L, _last, {PASSES}L)")))
         .withColumn("pass", F.explode(some))
         .withColumn("_at", F.expr("_first + pass * _all"))
-        .withColumn("_block", block)
-        .select(
-            *carry, "pass",
-            F.expr(f"(_block div _given) * {period} + element_at(_places, int(_block % _given) + 1)").alias("slot"),
-            F.expr(f"_at % {block_chars}").alias("offset"),
-        )
+        .withColumn("_block", F.expr(f"_at div {block_chars}"))
+        .join(slots, ["_number", "_block"])
+        .select(*carry, "pass", "slot", F.expr(f"_at % {block_chars}").alias("offset"))
     )
 
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -355,6 +356,32 @@ def test_mixing_lists_every_pass_of_a_small_source(spark, monkeypatch):
     assert Counter(map(tuple, mixing.mix(docs, {"big": 1, "small": 1}, block_chars=1_000).collect())) == whole
 
 
+@pytest.mark.parametrize("weights", [
+    {"a": 0.61803, "b": 0.3819, "rare": 3e-6}, {"a": 1 / 3, "b": 1 / 7, "c": 0.52, "rare": 1e-5}, None])
+def test_mix_keeps_to_the_given_weights(spark, weights):
+    """Every slot stays within a block of the exact weights, with a source far below 1/1,000."""
+    sources = sorted(weights or "ab")
+    rows = [(i, "x" * 99, sources[i % (len(sources) - 1)]) for i in range(9_000)] + [(9_000, "y" * 9, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    placed = mixing.mix(docs, weights, block_chars=100).collect()
+    assert {r["doc_id"] for r in placed if r["pass"] == 0} == set(range(9_001))
+    owner = {r["slot"]: r["source"] for r in placed}
+    assert sorted(owner) == list(range(len(owner))) and len(owner) < 40_000
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text) + 1
+    weights = weights or {s: n ** mixing.POWER for s, n in sizes.items()}
+    given = {s: Fraction(w) for s, w in weights.items()}
+    assert mixing.deviation([owner[k] for k in range(len(owner))], given) < 1
+
+
+def test_horizon_keeps_windows_with_many_small_sources():
+    parts, first = [1_000, 1_000, *range(1, 11)], [500, 300, *[1] * 10]
+    end = mixing.horizon(parts, first)
+    had = Counter(mixing.placements(parts, first, end))
+    assert all(had[s] >= n for s, n in enumerate(first)) and end == sum(had.values())
+
+
 def test_toxicity_on_held_out_labels(spark, sf, edges, none):
     rng = np.random.default_rng(5)
     vocabulary = ["alpha", "beta", "gamma", "delta", "river", "stone"]

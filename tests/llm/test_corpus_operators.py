@@ -339,6 +339,17 @@ def test_language_model_is_a_distribution(known):
     assert abs((10 ** scores).sum() - 1) < 1e-4
 
 
+def test_language_model_learns_every_token():
+    """Each token of a text, and its end, is a target: it touches the four rows of its context."""
+    words = maxent_lm.Words([str(i).encode() for i in range(50)], np.arange(50, 0, -1))
+    trainer = maxent_lm.Trainer(words, None)
+    ids = np.arange(5_000) * 7 % 50
+    trainer.add(ids)
+    trainer.flush()
+    assert trainer.touched[:maxent_lm.CLASS_SLOTS].sum() == 4 * len(ids)
+    assert trainer.touched[maxent_lm.CLASS_SLOTS:].sum() == 3 * len(ids)
+
+
 def test_tiny_and_huge_vectors(spark):
     rows = [(1, [1e-200, 2e-200], 0), (2, [1e200, 2e200], 0), (3, [2e200, 4e200], 0), (4, [1.0, -2.0], 0)]
     found = subspace_join.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))

@@ -157,7 +157,9 @@ def confident_patterns(docs: DataFrame, rounds: int = ROUNDS, least_support: int
     """(pattern, kind) of the confident patterns, learnt over all rows of ``docs``."""
     graph = staged(mentions(docs))
     seeds = graph.where("kind >= 0")
-    support = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("support"))
+    # Instances found later count too, so a pattern can enter in any round: the pool has all patterns
+    # with instances enough, known yet or not. No other one can ever have the support.
+    support = graph.groupBy("pattern").agg(F.countDistinct("instance").alias("support"))
     pool = staged(support.where(F.col("support") >= least_support).select("pattern"))
     if pool.isEmpty():
         return pool.select("pattern", F.lit(0).alias("kind"))

@@ -306,6 +306,18 @@ def test_contexts_discover_unseen_identifiers(spark, monkeypatch):
     assert pii_bootstrap.learn_patterns(table) == [("please call", 3)]
 
 
+def test_discovered_identifiers_teach_new_contexts(spark):
+    """Seeds -> please call -> identifiers -> ticket number -> another identifier, which no seed is near."""
+    docs = [(i, f"words here please call +1 (017) 555-77{i:02d} today") for i in range(10, 30)]
+    docs += [(i, f"words here please call 555-0{i}-44 today") for i in range(30, 34)]
+    docs += [(i + 100, f"words with ticket number 555-0{i}-44 today") for i in range(30, 34)]
+    docs += [(200, "words with ticket number 555-099-44 today"), (201, "words with plain value 555-098-44 today")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert pii_bootstrap.learn_patterns(table) == [("please call", 3), ("ticket number", 3)]
+    spans = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(table).collect()}
+    assert spans[200] == "phone:25:35" and spans[201] == ""
+
+
 def test_language_model_counts_and_beats_its_base(spark, edges, none, monkeypatch):
     rows = [(i, " ".join(f"w{(i + j * j) % 11} then" for j in range(30)), None) for i in range(200)]
     docs = edges.select("doc_id", "text", "n").union(spark.createDataFrame(rows, "doc_id bigint, text string, n string"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pitchloom.llm import (
-    maxent_lm, mixing, packing, pii_bootstrap, repetition, secret_scan, simhash, subspace_join, toxicity, warc,
+    byte_bpe, fill_in_middle, filter_audit, maxent_lm, mixing, packing, pii_bootstrap, repetition, secret_scan,
+    simhash, subspace_join, toxicity, warc,
 )
 from pitchloom.llm.common import table
 
@@ -65,3 +66,24 @@ def op9_embedding_near_dedup(spark, sf_dir):
 @query
 def op10_pii_bootstrap(spark, sf_dir):
     return pii_bootstrap.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filter_audit.AUDIT_SQL
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.REPORT_SQL
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe.report(table(spark, sf_dir, "documents"))

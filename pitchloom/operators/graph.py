@@ -1,34 +1,23 @@
 """Graph measures over many passing networks at once.
 
-A passing network has a dozen nodes, so shortest paths, eigenvector, PageRank and clustering
-are solved by NumPy inside an Arrow UDF, many networks per batch. Networks above the node
-limit never reach it: they take the DataFrame forms below (relaxation joins, degree-ordered
-triangles, rank iteration), which spread one network over many tasks.
+Each network is dealt to tasks in blocks of sources: the edges of a network go once to each of its
+blocks, and a block's shortest paths, path counts and credits are arrays over (source, node) and
+(source, edge), several small networks side by side. A network whose arrays fit one block has one, a
+larger one as many as it needs, so a task holds one network's edges and a bounded number of cells.
+Blocks emit sums for each node, which are added up; there is no table of pairs of nodes, and the
+results do not depend on the block size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions.expressions import safe_ratio
-from pitchloom.runtime import durable
-
-NODE_LIMIT = 256  # at most 65,280 edges reach one Python call
-DAMPING = 0.85
-RANK_STEPS = 100
-TIE = 1e-9
+from pitchloom.operators.network_blocks import BLOCK_CELLS, MEASURES, solve_stream
+from pitchloom.runtime import staged
 
 SCORES = ("betweenness", "closeness", "eigenvector", "pagerank", "clustering")
-_SCORE_TYPE = T.ArrayType(
-    T.StructType(
-        [T.StructField("player_id", T.LongType())]
-        + [T.StructField(name, T.DoubleType()) for name in SCORES]
-        + [T.StructField("avg_path", T.DoubleType())]
-    )
-)
 
 
 def edge_distance(edges: DataFrame, weight_column: str = "weight") -> DataFrame:
@@ -68,342 +57,83 @@ def degree_strength(
     ).withColumn("degree_total", F.col("degree_in") + F.col("degree_out"))
 
 
-# --- bounded networks: one Arrow UDF -----------------------------------------------------
-
-
-def _path_measures(distance: np.ndarray):
-    """(betweenness, closeness, all distances) of one directed cost matrix."""
-    n = len(distance)
-    short = distance.copy()
-    np.fill_diagonal(short, 0.0)
-    for k in range(n):
-        short = np.minimum(short, short[:, k : k + 1] + short[k : k + 1, :])
-    reach = np.isfinite(short)
-
-    # Path counts grow along edges that lie on a shortest path, nearest targets first.
-    betweenness = np.zeros(n)
-    for s in range(n):
-        order = [v for v in np.argsort(short[s], kind="stable") if reach[s, v]]
-        counts = np.zeros(n)
-        counts[s] = 1.0
-        tight = np.zeros((n, n), dtype=bool)
-        for v in order:
-            if v == s:
-                continue
-            via = short[s] + distance[:, v]
-            tight[:, v] = (
-                np.isfinite(via) & (np.abs(via - short[s, v]) <= TIE * (1.0 + short[s, v]))
-            )
-            tight[v, v] = False
-            counts[v] = counts[tight[:, v]].sum()
-        credit = np.zeros(n)
-        for v in reversed(order):
-            if v == s:
-                continue
-            before = np.flatnonzero(tight[:, v])
-            if counts[v] > 0:
-                credit[before] += counts[before] / counts[v] * (1.0 + credit[v])
-            betweenness[v] += credit[v]
-    if n > 2:
-        betweenness /= (n - 1) * (n - 2)
-
-    closeness = np.zeros(n)
-    for v in range(n):
-        others = reach[:, v].copy()
-        others[v] = False
-        total = short[others, v].sum()
-        if total > 0 and n > 1:
-            closeness[v] = others.sum() / total * others.sum() / (n - 1)
-    return betweenness, closeness, short
-
-
-def _leading_vector(weight: np.ndarray):
-    """Left leading eigenvector with unit length and positive sum, or NaN."""
-    n = len(weight)
-    try:
-        values, vectors = np.linalg.eig(weight.T)
-    except np.linalg.LinAlgError:
-        return np.full(n, np.nan)
-    vector = vectors[:, np.argmax(values.real)].real
-    norm = np.sign(vector.sum()) * np.linalg.norm(vector)
-    return vector / norm if norm else np.full(n, np.nan)
-
-
-def _rank(weight: np.ndarray):
-    n = len(weight)
-    if not (weight != 0).any():
-        return np.full(n, np.nan)
-    out = weight.sum(axis=1)
-    flow = np.divide(weight, out[:, None], out=np.zeros_like(weight), where=out[:, None] > 0)
-    rank = np.full(n, 1.0 / n)
-    for _ in range(RANK_STEPS):
-        rank = DAMPING * (rank @ flow + rank[out == 0].sum() / n) + (1 - DAMPING) / n
-    return rank
-
-
-def _undirected(matrix: np.ndarray, present: np.ndarray):
-    """One value per pair; of two opposite edges the one from the higher id is kept."""
-    low = np.tril(present, -1)  # source index above target index
-    kept = np.where(low, np.tril(matrix, -1), np.triu(matrix, 1).T)
-    return kept + kept.T, present | present.T
-
-
-def _triangle_share(weight: np.ndarray, present: np.ndarray):
-    both, pair = _undirected(weight, present)
-    top = both.max() if both.size else 0.0
-    scaled = np.cbrt(both / top) if top > 0 else np.zeros_like(both)
-    scaled = np.where(pair, scaled, 0.0)
-    triangles = np.diagonal(scaled @ scaled @ scaled)
-    degree = pair.sum(axis=1)
-    return np.divide(
-        triangles, degree * (degree - 1), out=np.zeros(len(weight)), where=degree > 1
-    )
-
-
-def _average_path(distance: np.ndarray, present: np.ndarray):
-    """Mean undirected distance inside the largest component (first one on a tie)."""
-    both, pair = _undirected(np.where(present, distance, 0.0), present)
-    n = len(distance)
-    cost = np.where(pair, both, np.inf)
-    np.fill_diagonal(cost, 0.0)
-    for k in range(n):
-        cost = np.minimum(cost, cost[:, k : k + 1] + cost[k : k + 1, :])
-    if not pair.any():
-        return np.nan
-    seed = int(np.argmax(np.isfinite(cost).sum(axis=1)))
-    members = np.isfinite(cost[seed])
-    size = members.sum()
-    return float(cost[np.ix_(members, members)].sum() / (size * (size - 1)))
-
-
-def _solve(players, edges):
-    index = {p: i for i, p in enumerate(players)}
-    n = len(players)
-    weight, present = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
-    distance = np.full((n, n), np.inf)
-    count_distance = np.full((n, n), np.inf)
-    for edge in edges if edges is not None else ():
-        i, j = index[edge["source"]], index[edge["target"]]
-        weight[i, j], distance[i, j], present[i, j] = edge["weight"], edge["distance"], True
-        count_distance[i, j] = edge["count_distance"]
-    between, close, _ = _path_measures(distance)
-    columns = (
-        between, close, _leading_vector(weight) if present.any() else np.full(n, np.nan),
-        _rank(weight), _triangle_share(weight, present),
-    )
-    average = _average_path(count_distance, present)
-    clean = [[None if np.isnan(v) else float(v) for v in column] for column in columns]
-    average = None if np.isnan(average) else average
-    return [
-        {"player_id": p, **{name: clean[c][i] for c, name in enumerate(SCORES)},
-         "avg_path": average}
-        for i, p in enumerate(players)
-    ]
+# --- measures over source blocks ---------------------------------------------------------
 
 
-@F.pandas_udf(_SCORE_TYPE)
-def _network_scores(players: pd.Series, edges: pd.Series) -> pd.Series:
-    return pd.Series([_solve(list(p), e) for p, e in zip(players, edges)])
-
+def node_measures(
+    nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, weight_column: str = "weight",
+    measures=MEASURES, cells: int = BLOCK_CELLS,
+) -> DataFrame:
+    """(keys, player_id, asked measures) for every node; see ``network_blocks`` for each measure.
 
-def bounded_networks(nodes: DataFrame, edges: DataFrame, keys, limit: int = NODE_LIMIT):
-    """Split by node count: (small nodes, small edges, large nodes, large edges or None)."""
+    ``paths`` asks for ``component``, the smallest id that is reachable ignoring direction, and
+    ``path_total``, the sum of undirected distances to all of that component. A block holds about
+    ``cells`` (source, node) and (source, edge) entries, or one source of a network with more.
+    """
     keys = list(keys)
-    large = nodes.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    if large.isEmpty():
-        return nodes, edges, None, None
-    return (
-        nodes.join(large, keys, "left_anti"), edges.join(large, keys, "left_anti"),
-        nodes.join(large, keys, "left_semi"), edges.join(large, keys, "left_semi"),
-    )
-
-
-def _small_scores(nodes, edges, keys, weight_column) -> DataFrame:
-    """Packed solve. Each packed row holds at most NODE_LIMIT nodes and their edges."""
+    nodes = nodes.select(*keys, "player_id")
     priced = edge_distance(edges, weight_column)
-    count_volume = F.col("weight").cast("double")
-    lanes = priced.groupBy(*keys).agg(
-        F.collect_list(
-            F.struct(
-                "source", "target", F.col(weight_column).cast("double").alias("weight"),
-                "distance",
-                F.when(count_volume > 0, 1.0 / count_volume)
-                .otherwise(F.lit(S.ZERO_WEIGHT_DISTANCE)).alias("count_distance"),
-            )
-        ).alias("_edges")
-    )
-    # A fixed partition count: the UDF is the heavy part, so its stage must not be coalesced
-    # down to the few tasks that its small input bytes suggest.
+    lanes = priced.select(
+        *keys, F.lit(1).alias("_kind"), F.col("source").alias("_a"), F.col("target").alias("_b"),
+        F.col(weight_column).cast("double").alias("_w"), F.col("distance").alias("_d"),
+        F.when(F.col("weight") > 0, 1.0 / F.col("weight").cast("double"))
+        .otherwise(F.lit(S.ZERO_WEIGHT_DISTANCE)).alias("_c"),
+    )
+    points = nodes.select(
+        *keys, F.lit(0).alias("_kind"), F.col("player_id").alias("_a"), F.lit(None).cast("long").alias("_b"),
+        *(F.lit(None).cast("double").alias(name) for name in ("_w", "_d", "_c")),
+    )
+    rows = points.unionByName(lanes)
+    sizes = rows.groupBy(*keys).agg(
+        F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    sources = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("_all")))
+    several = sizes.select(
+        *keys, F.ceil(F.col("_n") / sources).cast("int").alias("_blocks")).where("_blocks > 1")
+    split = not several.isEmpty()
+    if split:
+        # Null-safe, as a key of a network may be null.
+        rows = rows.alias("r").join(
+            several.alias("s"), _same(keys, "r", "s"), "left"
+        ).select("r.*", F.coalesce("s._blocks", F.lit(1)).alias("_blocks"))
+        rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    else:
+        rows = rows.withColumns({"_blocks": F.lit(1), "_block": F.lit(0)})
+    # A fixed number of parts: solving is the heavy part, so its stage must not shrink to the few
+    # tasks that its small input bytes suggest.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    squads = nodes.repartition(parts, *keys).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("player_id")).alias("_players")
-    )
-    packed = squads.join(lanes, list(keys), "left")
-    return packed.select(
-        *keys, F.explode(_network_scores("_players", "_edges")).alias("_s")
-    ).select(*keys, "_s.*")
-
-
-# --- any size: DataFrame forms -----------------------------------------------------------
-
-
-def shortest_paths(edges: DataFrame, keys, max_rounds: int = 64) -> DataFrame:
-    """(keys, source, target, cost) of every connected ordered pair, by doubling relaxation."""
-    keys = list(keys)
-    best = edges.groupBy(*keys, "source", "target").agg(F.min("distance").alias("cost"))
-    best = durable(best)
-    for _ in range(max_rounds):
-        left = best.select(*keys, "source", F.col("target").alias("_mid"), F.col("cost").alias("_a"))
-        right = best.select(*keys, F.col("source").alias("_mid"), "target", F.col("cost").alias("_b"))
-        longer = (
-            left.join(right, [*keys, "_mid"])
-            .where(F.col("source") != F.col("target"))
-            .select(*keys, "source", "target", (F.col("_a") + F.col("_b")).alias("cost"))
-        )
-        improved = durable(
-            best.unionByName(longer).groupBy(*keys, "source", "target")
-            .agg(F.min("cost").alias("cost"))
-        )
-        joined = improved.join(
-            best.withColumnRenamed("cost", "_old"), [*keys, "source", "target"], "left"
-        )
-        changed = joined.where(
-            F.col("_old").isNull() | (F.col("cost") < F.col("_old") * (1 - 1e-12))
-        )
-        best, done = improved, changed.isEmpty()
-        if done:
-            return best
-    raise RuntimeError("shortest paths did not settle")
-
-
-def closeness(nodes: DataFrame, paths: DataFrame, keys) -> DataFrame:
-    """Incoming closeness scaled by the share of the network that can reach the node."""
-    keys = list(keys)
-    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = paths.groupBy(*keys, F.col("target").alias("player_id")).agg(
-        F.count(F.lit(1)).alias("_reach"), F.sum("cost").alias("_far")
-    )
-    score = F.col("_reach") / F.col("_far") * F.col("_reach") / F.nullif(F.col("_n") - 1, F.lit(0))
-    return (
-        nodes.select(*keys, "player_id").join(sizes, keys)
-        .join(seen, [*keys, "player_id"], "left")
-        .select(*keys, "player_id", F.coalesce(score, F.lit(0.0)).alias("closeness"))
-    )
-
-
-def _tied(left: Column, right: Column) -> Column:
-    return F.abs(left - right) <= F.lit(TIE) * (F.lit(1.0) + right)
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame, keys) -> DataFrame:
-    """Share of shortest paths through a node, from hop-by-hop path counts."""
-    keys = list(keys)
-    pair = [*keys, "source", "target"]
-    tight_from = paths.select(*keys, "source", F.col("target").alias("_u"), F.col("cost").alias("_su"))
-    start = edges.select(*keys, "source").distinct().select(
-        *keys, "source", F.col("source").alias("_u"), F.lit(0.0).alias("_su")
-    )
-    lanes = edges.select(*keys, F.col("source").alias("_u"), "target", "distance")
-    tight = durable(
-        tight_from.unionByName(start).join(lanes, [*keys, "_u"])
-        .join(paths, pair)
-        .where(_tied(F.col("_su") + F.col("distance"), F.col("cost")))
-        .select(*pair, "_u")
-    )
-    layer = start.select(*keys, "source", F.col("_u").alias("target"), F.lit(1.0).alias("_ways"))
-    layers = None
-    while True:
-        reached = layer.select(*keys, "source", F.col("target").alias("_u"), "_ways")
-        layer = durable(
-            tight.join(reached, [*keys, "source", "_u"]).groupBy(*pair)
-            .agg(F.sum("_ways").alias("_ways"))
-        )
-        if layer.isEmpty():
-            break
-        layers = layer if layers is None else layers.unionByName(layer)
-    if layers is None:
-        return nodes.select(*keys, "player_id", F.lit(0.0).alias("betweenness"))
-    ways = durable(layers.groupBy(*pair).agg(F.sum("_ways").alias("_ways")).join(paths, pair))
-    first = ways.select(*keys, "source", F.col("target").alias("_v"),
-                        F.col("_ways").alias("_w1"), F.col("cost").alias("_c1"))
-    second = ways.select(*keys, F.col("source").alias("_v"), "target",
-                         F.col("_ways").alias("_w2"), F.col("cost").alias("_c2"))
-    credit = (
-        first.join(second, [*keys, "_v"])
-        .where(F.col("source") != F.col("target"))
-        .join(ways, pair)
-        .where(_tied(F.col("_c1") + F.col("_c2"), F.col("cost")))
-        .groupBy(*keys, F.col("_v").alias("player_id"))
-        .agg(F.sum(F.col("_w1") * F.col("_w2") / F.col("_ways")).alias("_credit"))
-    )
-    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    scale = F.when(F.col("_n") > 2, 1.0 / ((F.col("_n") - 1) * (F.col("_n") - 2))).otherwise(1.0)
-    return (
-        nodes.select(*keys, "player_id").join(sizes, keys)
-        .join(credit, [*keys, "player_id"], "left")
-        .select(*keys, "player_id", (F.coalesce("_credit", F.lit(0.0)) * scale).alias("betweenness"))
-    )
-
-
-def _settled(before: DataFrame, after: DataFrame, keys) -> bool:
-    """No node moved by more than a millionth of its even share since the last cut."""
-    old = before.select(*keys, "player_id", F.col("_r").alias("_was"))
-    return (
-        after.join(old, [*keys, "player_id"])
-        .where(F.abs(F.col("_r") - F.col("_was")) * F.col("_n") > 1e-6).isEmpty()
-    )
-
-
-def pagerank(
-    nodes: DataFrame, edges: DataFrame, keys, weight_column: str = "weight",
-    steps: int = RANK_STEPS, cut_every: int = 5,
-) -> DataFrame:
-    """Weighted PageRank by join and sum; dangling rank is spread evenly per network."""
-    keys = list(keys)
-    volume = F.col(weight_column).cast("double")
-    out = edges.groupBy(*keys, "source").agg(F.sum(volume).alias("_out"))
-    flow = durable(
-        edges.join(out, [*keys, "source"])
-        .select(*keys, "source", "target", safe_ratio(volume, "_out").alias("_p"))
-    )
-    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    base = durable(
-        nodes.select(*keys, "player_id").join(sizes, keys)
-        .join(
-            out.where(F.col("_out") > 0).select(*keys, F.col("source").alias("player_id"), F.lit(False).alias("_d")),
-            [*keys, "player_id"], "left",
-        )
-        .withColumn("_dangling", F.coalesce("_d", F.lit(True))).drop("_d")
-    )
-    rank = base.select(*keys, "player_id", "_n", "_dangling", (1.0 / F.col("_n")).alias("_r"))
-    previous = None
-    for step in range(1, steps + 1):
-        sent = (
-            flow.join(rank.select(*keys, F.col("player_id").alias("source"), "_r"), [*keys, "source"])
-            .groupBy(*keys, F.col("target").alias("player_id"))
-            .agg(F.sum(F.col("_r") * F.col("_p")).alias("_got"))
-        )
-        lost = rank.groupBy(*keys).agg(
-            F.sum(F.when(F.col("_dangling"), F.col("_r")).otherwise(0.0)).alias("_lost")
-        )
-        rank = (
-            base.join(sent, [*keys, "player_id"], "left").join(lost, keys)
-            .withColumn(
-                "_r",
-                DAMPING * (F.coalesce("_got", F.lit(0.0)) + F.col("_lost") / F.col("_n"))
-                + (1 - DAMPING) / F.col("_n"),
-            )
-            .drop("_got", "_lost")
-        )
-        if step % cut_every == 0:
-            rank = durable(rank)
-            if previous is not None and _settled(previous, rank, keys):
-                break
-            previous = rank
-    linked = edges.select(*keys).distinct().withColumn("_linked", F.lit(True))
-    return rank.join(linked, keys, "left").select(
-        *keys, "player_id", F.when(F.col("_linked"), F.col("_r")).alias("pagerank")
-    )
+    dealt = rows.repartition(parts, *keys, "_block").sortWithinPartitions(*keys, "_block", "_kind", "_a", "_b")
+    key_fields = ", ".join(f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys)
+    columns = "credit double, reach double, far double, n bigint, eigenvector double, pagerank double, "
+    columns += "clustering double, component bigint, path_total double"
+    solve = solve_stream(keys, tuple(measures), cells)
+    found = dealt.mapInArrow(solve, f"{key_fields}, player_id bigint, {columns}")
+    if split:
+        # Sums over blocks; what a node's own block alone knows is null in the others.
+        own = ("n", "eigenvector", "pagerank", "clustering", "component", "path_total")
+        found = found.groupBy(*keys, "player_id").agg(
+            *(F.sum(name).alias(name) for name in ("credit", "reach", "far")),
+            *(F.max(name).alias(name) for name in own))
+    n = F.col("n").cast("double")
+    scale = F.when(n > 2, 1.0 / ((n - 1) * (n - 2))).otherwise(1.0)
+    near = F.col("reach") / F.col("far") * F.col("reach") / F.nullif(n - 1, F.lit(0.0))
+    made = {
+        "betweenness": F.col("credit") * scale,
+        "closeness": F.when(F.col("far") > 0, F.coalesce(near, F.lit(0.0))).otherwise(0.0),
+        "eigenvector": F.col("eigenvector"), "pagerank": F.col("pagerank"), "clustering": F.col("clustering"),
+    }
+    asked = [made[name].alias(name) for name in SCORES if name in measures]
+    walks = ["component", "path_total"] if "paths" in measures else []
+    return found.select(*keys, "player_id", *asked, *walks)
+
+
+def _same(keys, left: str, right: str) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return same
+
+
+# --- joins on the edge table -------------------------------------------------------------
 
 
 def undirected_edges(edges: DataFrame, keys, weight_column: str = "weight") -> DataFrame:
@@ -461,54 +191,55 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys, weight_column: str = "w
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys, max_rounds: int = 128) -> DataFrame:
-    """Smallest reachable id per node, ignoring direction."""
+def components(nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS) -> DataFrame:
+    """(keys, player_id, component): the smallest id reachable ignoring direction.
+
+    Alternating star contraction: every node points its larger neighbours, then its smaller ones, at
+    the smallest of them, until nothing changes. Rounds grow with the logarithm of the longest
+    path, edges never grow in number, and each round is written out.
+    """
     keys = list(keys)
-    links = durable(
-        edges.select(*keys, "source", "target")
-        .unionByName(edges.select(*keys, F.col("target").alias("source"), F.col("source").alias("target")))
-        .distinct()
-    )
-    labels = durable(nodes.select(*keys, "player_id", F.col("player_id").alias("component")))
-    for _ in range(max_rounds):
-        heard = (
-            links.join(labels.withColumnRenamed("player_id", "source"), [*keys, "source"])
-            .groupBy(*keys, F.col("target").alias("player_id"))
-            .agg(F.min("component").alias("_heard"))
-        )
-        spread = labels.join(heard, [*keys, "player_id"], "left").withColumn(
-            "_new", F.least("component", "_heard")
-        )
-        spread = durable(spread)
-        settled = spread.where(F.col("_new") < F.col("component")).isEmpty()
-        labels = spread.select(*keys, "player_id", F.col("_new").alias("component"))
-        if settled:
-            return labels
-    raise RuntimeError("components did not settle")
+    low, high = F.least("source", "target"), F.greatest("source", "target")
+    links = staged(
+        edges.select(*keys, high.alias("u"), low.alias("v")).where("u > v").distinct())
+    mark = _fingerprint(links)
+    while True:
+        ways = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ways.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        outer = ways.where("v > u").join(least, [*keys, "u"]).select(
+            *keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = outer.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        inner = outer.join(least, [*keys, "u"]).select(*keys, F.inline(F.array(
+            F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        links = staged(inner.where("u > v").distinct())
+        before, mark = mark, _fingerprint(links)
+        if mark == before:
+            break
+    roots = links.select(*keys, F.col("u").alias("player_id"), F.col("v").alias("component"))
+    return nodes.select(*keys, "player_id").join(roots, [*keys, "player_id"], "left").withColumn(
+        "component", F.coalesce("component", "player_id"))
 
 
-def average_path_length(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
-    """Mean undirected distance in the largest component, by relaxation joins."""
-    keys = list(keys)
-    pairs = edge_distance(undirected_edges(edges, keys))
-    two_way = pairs.select(*keys, F.col("low").alias("source"), F.col("high").alias("target"), "distance").unionByName(
-        pairs.select(*keys, F.col("high").alias("source"), F.col("low").alias("target"), "distance")
-    )
-    labels = components(nodes, edges, keys)
-    sizes = labels.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_size"))
+def _fingerprint(links: DataFrame) -> tuple:
+    """Row count and an order-free sum of row hashes: one row, whatever the table's size."""
+    return tuple(links.agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64(*links.columns).cast("decimal(20,0)"))).first())
+
+
+def _path_lengths(measured: DataFrame, keys) -> DataFrame:
+    """(keys, avg_path) of networks with an edge: mean distance in the largest component, on a tie in
+    the one with the smallest id."""
+    sizes = measured.groupBy(*keys, "component").agg(
+        F.count(F.lit(1)).alias("_size"), F.sum("path_total").alias("_total"))
     largest = sizes.groupBy(*keys).agg(
-        F.max(F.struct("_size", (-F.col("component")).alias("_c"))).alias("_m")
-    ).select(*keys, (-F.col("_m._c")).alias("component"), F.col("_m._size").alias("_size")).where(
-        F.col("_size") > 1
-    )
-    members = labels.join(largest, [*keys, "component"]).select(
-        *keys, F.col("player_id").alias("source"), "_size"
-    )
-    return (
-        shortest_paths(two_way, keys).join(members, [*keys, "source"])
-        .groupBy(*keys, "_size").agg(F.sum("cost").alias("_sum"))
-        .select(*keys, (F.col("_sum") / (F.col("_size") * (F.col("_size") - 1))).alias("avg_path"))
-    )
+        F.max(F.struct("_size", (-F.col("component")).alias("_c"), "_total")).alias("_m"))
+    size = F.col("_m._size")
+    return largest.where(size > 1).select(*keys, (F.col("_m._total") / (size * (size - 1))).alias("avg_path"))
+
+
+def average_path_length(nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, cells: int = BLOCK_CELLS) -> DataFrame:
+    """Mean undirected distance, on pass counts, inside the largest component of each network."""
+    return _path_lengths(node_measures(nodes, edges, keys, "weight", ("paths",), cells), list(keys))
 
 
 # --- tables ------------------------------------------------------------------------------
@@ -543,94 +274,43 @@ def structure(nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS) -> DataFr
 
 def network_scores(
     nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, weight_column: str = "weight",
-    limit: int = NODE_LIMIT,
+    measures=SCORES, cells: int = BLOCK_CELLS,
 ) -> DataFrame:
-    """Path, spectral and triangle measures per player, plus the network's path length."""
-    keys = list(keys)
-    nodes_s, edges_s, nodes_l, edges_l = bounded_networks(nodes, edges, keys, limit)
-    out = _small_scores(nodes_s, edges_s, keys, weight_column)
-    if nodes_l is None:
-        return out
-    priced = edge_distance(edges_l, weight_column)
-    paths = shortest_paths(priced, keys)
-    big = (
-        betweenness(nodes_l, priced, paths, keys)
-        .join(closeness(nodes_l, paths, keys), [*keys, "player_id"])
-        .join(eigenvector(nodes_l, edges_l, keys, weight_column), [*keys, "player_id"])
-        .join(pagerank(nodes_l, edges_l, keys, weight_column), [*keys, "player_id"])
-        .join(clustering(nodes_l, edges_l, keys, weight_column), [*keys, "player_id"])
-        .join(average_path_length(nodes_l, edges_l, keys), keys, "left")
-    )
-    return out.unionByName(big)
-
-
-def eigenvector(
-    nodes: DataFrame, edges: DataFrame, keys, weight_column: str = "weight",
-    steps: int = 200, cut_every: int = 5,
-) -> DataFrame:
-    """Leading left eigenvector by shifted power iteration on the edge table.
-
-    The shift by the largest in-strength keeps alternating networks from oscillating.
-    Nodes of a network that has not settled within the steps get null.
-    """
-    keys = list(keys)
-    volume = F.col(weight_column).cast("double")
-    lanes = durable(edges.select(*keys, "source", "target", volume.alias("_w")))
-    shift = lanes.groupBy(*keys, "target").agg(F.sum("_w").alias("_in")).groupBy(*keys).agg(
-        (F.max("_in") / 4.0).alias("_shift")
-    )
-    vector = durable(
-        nodes.select(*keys, "player_id").join(shift, keys, "left")
-        .withColumns({"_v": F.lit(1.0), "_old": F.lit(0.0)})
-    )
-    for step in range(1, steps + 1):
-        got = (
-            lanes.join(vector.select(*keys, F.col("player_id").alias("source"), "_v"), [*keys, "source"])
-            .groupBy(*keys, F.col("target").alias("player_id"))
-            .agg(F.sum(F.col("_w") * F.col("_v")).alias("_got"))
-        )
-        raw = vector.join(got, [*keys, "player_id"], "left").withColumn(
-            "_raw", F.coalesce("_got", F.lit(0.0)) + F.coalesce("_shift", F.lit(0.0)) * F.col("_v")
-        )
-        length = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_len"))
-        vector = raw.join(length, keys).select(
-            *keys, "player_id", "_shift", safe_ratio("_raw", "_len").alias("_new"), F.col("_v").alias("_old")
-        ).withColumnRenamed("_new", "_v")
-        if step % cut_every == 0:
-            vector = durable(vector)
-            if vector.where(F.abs(F.col("_v") - F.col("_old")) > 1e-12).isEmpty():
-                break
-    bad = vector.groupBy(*keys).agg(F.max(F.abs(F.col("_v") - F.col("_old"))).alias("_gap"))
-    return vector.join(bad, keys).select(
-        *keys, "player_id",
-        F.when((F.col("_gap") <= 1e-6) & F.col("_shift").isNotNull(), F.col("_v")).alias("eigenvector"),
-    )
+    """Path, spectral and triangle measures of every player; only those asked for are worked out."""
+    return node_measures(nodes, edges, keys, weight_column, measures, cells)
 
 
 def centrality_table(
     nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, weight_column: str = "weight",
-    limit: int = NODE_LIMIT,
+    cells: int = BLOCK_CELLS,
 ):
     """(player table, team table). The team table always describes pass counts."""
     keys = list(keys)
-    scores = network_scores(nodes, edges, keys, weight_column, limit)
     players = degree_strength(nodes, edges, keys, weight_column).join(
-        scores.drop("avg_path"), [*keys, "player_id"]
+        network_scores(nodes, edges, keys, weight_column, SCORES, cells), [*keys, "player_id"]
     )
-    paths = scores.groupBy(*keys).agg(F.max("avg_path").alias("_avg"))
-    teams = structure(nodes, edges, keys).join(paths, keys).withColumn(
-        "team_avg_path_length", F.when(F.col("team_n_nodes") >= 2, F.col("_avg"))
-    ).drop("_avg")
-    return players, teams
+    return players, team_table(nodes, edges, keys, cells)
+
+
+def team_table(
+    nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, cells: int = BLOCK_CELLS
+) -> DataFrame:
+    """Structure and mean path length of every network, on pass counts."""
+    keys = list(keys)
+    paths = average_path_length(nodes, edges, keys, cells)
+    return structure(nodes, edges, keys).join(paths, keys, "left").withColumnRenamed(
+        "avg_path", "team_avg_path_length")
 
 
 def both_weightings(
-    nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, limit: int = NODE_LIMIT
+    nodes: DataFrame, edges: DataFrame, keys=S.NETWORK_KEYS, cells: int = BLOCK_CELLS
 ) -> DataFrame:
     """Pass-count metrics beside the weight-sensitive metrics on threat-weighted lanes."""
     keys = list(keys)
-    plain, _ = centrality_table(nodes, edges, keys, "weight", limit)
-    threat, _ = centrality_table(nodes, edges, keys, "xt_weight", limit)
+    plain = degree_strength(nodes, edges, keys).join(
+        network_scores(nodes, edges, keys, "weight", SCORES, cells), [*keys, "player_id"])
+    threat = degree_strength(nodes, edges, keys, "xt_weight").join(
+        network_scores(nodes, edges, keys, "xt_weight", SCORES, cells), [*keys, "player_id"])
     renamed = threat.select(
         *keys, "player_id", *[F.col(m).alias(f"{m}_xt") for m in S.WEIGHT_SENSITIVE_METRICS]
     )

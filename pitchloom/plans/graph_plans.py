@@ -10,6 +10,7 @@ from pitchloom.operators import graph as G, identity as I, leaderboard as L, net
 from pitchloom.plans.book import Book
 from pitchloom.plans.sqlkit import CTES, NK, quoted, r, ratio, with_sql
 from pitchloom.plans.stream_plans import passes
+from pitchloom.runtime import staged
 from pitchloom.sources.event_actions import read_lineup, read_table
 
 BOOK = Book()
@@ -155,8 +156,7 @@ FROM nodes n JOIN sizes z USING ({NK}) LEFT JOIN (
 
 @q("betweenness_e3", with_sql(["nodes", "sizes", "ways"], _BETWEEN))
 def betweenness(spark, sf):
-    scores = G.network_scores(*networks(spark, sf))
-    return X.round_report(scores.select(*S.NETWORK_KEYS, "player_id", "betweenness"))
+    return X.round_report(G.network_scores(*networks(spark, sf), measures=("betweenness",)))
 
 
 @q("closeness_e4", with_sql(["nodes", "sizes", "paths"], f"""
@@ -166,14 +166,63 @@ FROM nodes n JOIN sizes z USING ({NK}) LEFT JOIN (
   SELECT game_id, team_id, b AS player_id, count(*) AS k, sum(d) AS far FROM paths GROUP BY 1, 2, 3) c
   USING (game_id, team_id, player_id)"""))
 def closeness(spark, sf):
-    scores = G.network_scores(*networks(spark, sf))
-    return X.round_report(scores.select(*S.NETWORK_KEYS, "player_id", "closeness"))
+    return X.round_report(G.network_scores(*networks(spark, sf), measures=("closeness",)))
 
 
-@q("eigenvector_e5")
+# The leading left eigenvector, on its own way: the weights plus a shift are squared 26 times, so a start
+# vector is pushed 2^26 steps. Classes are sets of nodes that reach each other (``paths`` hold every
+# pair); the growth of a class is read off one more push of its own start vector.
+CTES["eig_shift"] = (("nodes", "links"), f"""
+SELECT n.game_id, n.team_id, n.player_id, max(coalesce(s.w, 0)) OVER (PARTITION BY n.game_id, n.team_id) / 2 AS s
+FROM nodes n LEFT JOIN (SELECT game_id, team_id, target AS player_id, sum(w) AS w FROM links GROUP BY 1, 2, 3) s
+  USING (game_id, team_id, player_id)""")
+CTES["eig_matrix"] = (("eig_shift", "links"), """
+SELECT game_id, team_id, a, b, sum(v) AS v FROM (
+  SELECT game_id, team_id, source AS a, target AS b, w AS v FROM links
+  UNION ALL SELECT game_id, team_id, player_id, player_id, s FROM eig_shift WHERE s > 0) GROUP BY 1, 2, 3, 4""")
+CTES["eig_powers"] = (("eig_matrix",), """
+SELECT 0 AS step, game_id, team_id, a, b, v FROM eig_matrix
+UNION ALL
+SELECT step + 1, game_id, team_id, a, b, v / max(v) OVER (PARTITION BY game_id, team_id) FROM (
+  SELECT x.step, x.game_id, x.team_id, x.a, y.b, sum(x.v * y.v) AS v FROM eig_powers x
+  JOIN eig_powers y ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.a = x.b
+  WHERE x.step < 26 GROUP BY 1, 2, 3, 4, 5)""")
+CTES["eig_power"] = (("eig_powers",), "SELECT * FROM eig_powers WHERE step = 26")
+CTES["eig_class"] = (("nodes", "paths"), f"""
+SELECT n.game_id, n.team_id, n.player_id, least(n.player_id, coalesce(min(f.b), n.player_id)) AS class, count(f.b) AS others
+FROM nodes n LEFT JOIN (SELECT f.game_id, f.team_id, f.a, f.b FROM paths f
+  JOIN paths g ON g.game_id = f.game_id AND g.team_id = f.team_id AND g.a = f.b AND g.b = f.a) f
+  ON f.game_id = n.game_id AND f.team_id = n.team_id AND f.a = n.player_id GROUP BY 1, 2, 3""")
+# From each class (all ones on its members): what arrives at every node after 2^26 steps.
+CTES["eig_arrived"] = (("eig_class", "eig_power"), """
+SELECT c.game_id, c.team_id, c.class, p.b, sum(p.v) AS v FROM eig_class c
+JOIN eig_power p ON p.game_id = c.game_id AND p.team_id = c.team_id AND p.a = c.player_id
+WHERE c.others > 0 GROUP BY 1, 2, 3, 4""")
+CTES["eig_growth"] = (("eig_arrived", "eig_class", "links"), """
+SELECT game_id, team_id, class, sum(v * coalesce(w, 0)) / sum(v) AS g FROM (
+  SELECT x.game_id, x.team_id, x.class, x.b, any_value(x.v) AS v, sum(l.w) AS w FROM eig_arrived x
+  JOIN eig_class m ON m.game_id = x.game_id AND m.team_id = x.team_id AND m.player_id = x.b AND m.class = x.class
+  LEFT JOIN (SELECT l.* FROM links l
+    JOIN eig_class s ON s.game_id = l.game_id AND s.team_id = l.team_id AND s.player_id = l.source
+    JOIN eig_class t ON t.game_id = l.game_id AND t.team_id = l.team_id AND t.player_id = l.target AND t.class = s.class) l
+    ON l.game_id = x.game_id AND l.team_id = x.team_id AND l.source = x.b
+  GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING sum(v) > 0""")
+CTES["eig_leading"] = (("eig_growth",), """
+SELECT * FROM (SELECT *, max(g) OVER (PARTITION BY game_id, team_id) AS top FROM eig_growth) WHERE g >= top * (1 - 1e-7)""")
+CTES["eig_chosen"] = (("eig_leading", "paths"), """
+SELECT game_id, team_id, min(class) AS class FROM eig_leading x WHERE NOT EXISTS (
+  SELECT 1 FROM paths p JOIN eig_leading y ON y.game_id = p.game_id AND y.team_id = p.team_id AND y.class = p.b
+  WHERE p.game_id = x.game_id AND p.team_id = x.team_id AND p.a = x.class AND y.class <> x.class) GROUP BY 1, 2""")
+CTES["eigen"] = (("eig_arrived", "eig_chosen"), """
+SELECT game_id, team_id, b AS player_id, v / sqrt(sum(v * v) OVER (PARTITION BY game_id, team_id)) AS v
+FROM eig_arrived JOIN eig_chosen USING (game_id, team_id, class)""")
+
+
+@q("eigenvector_e5", with_sql(["nodes", "eig_chosen", "eigen"], f"""
+SELECT {NK}, player_id, CASE WHEN c.class IS NOT NULL THEN {r('coalesce(v, 0)', 'x').removesuffix(' AS x')} END AS eigenvector
+FROM nodes LEFT JOIN eig_chosen c USING (game_id, team_id) LEFT JOIN eigen USING (game_id, team_id, player_id)"""))
 def eigenvector(spark, sf):
-    scores = G.network_scores(*networks(spark, sf))
-    return X.round_report(scores.select(*S.NETWORK_KEYS, "player_id", "eigenvector"))
+    return X.round_report(G.network_scores(*networks(spark, sf), measures=("eigenvector",)))
 
 
 @q("pagerank_e6", with_sql(["nodes", "ranks"], f"""
@@ -183,8 +232,7 @@ JOIN ranks t USING (game_id, team_id, player_id) WHERE t.step = 60
 UNION ALL SELECT {NK}, player_id, NULL FROM nodes n
 WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.game_id = n.game_id AND l.team_id = n.team_id)"""))
 def pagerank(spark, sf):
-    scores = G.network_scores(*networks(spark, sf))
-    return X.round_report(scores.select(*S.NETWORK_KEYS, "player_id", "pagerank"))
+    return X.round_report(G.network_scores(*networks(spark, sf), measures=("pagerank",)))
 
 
 @q("clustering_e7", with_sql(["nodes", "triangles", "pair_degree"], f"""
@@ -214,17 +262,6 @@ def centralisation(spark, sf):
     )
 
 
-CTES["average_paths"] = (("nodes", "walks"), f"""
-SELECT {NK}, s / (size * (size - 1)) AS team_avg_path_length FROM (
-  SELECT {NK}, arg_max(s, (size, -v)) AS s, max(size) AS size FROM (
-    SELECT n.{NK.replace(', ', ', n.')}, n.player_id AS v, count(w.b) + 1 AS size,
-      sum(w.total) AS s FROM nodes n
-    LEFT JOIN (SELECT x.game_id, x.team_id, x.a, x.b, y.total FROM walks x JOIN (
-        SELECT game_id, team_id, a, sum(d) AS total FROM walks GROUP BY 1, 2, 3) y
-        ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.a = x.b) w
-      ON w.game_id = n.game_id AND w.team_id = n.team_id AND w.a = n.player_id
-    GROUP BY 1, 2, 3, 4, 5) GROUP BY {NK})""")
-# Each walk total is counted from every other member; the member's own total is added back.
 CTES["average_paths"] = (("nodes", "walks"), f"""
 SELECT {NK}, total / (size * (size - 1)) AS team_avg_path_length FROM (
   SELECT {NK}, max(size) AS size, arg_max(total, (size, -low)) AS total FROM (
@@ -239,12 +276,17 @@ WHERE size > 1""")
 @q("average_path_e10", with_sql("average_paths", f"""
 SELECT {NK}, {r('team_avg_path_length', 'team_avg_path_length')} FROM average_paths"""))
 def average_path(spark, sf):
-    _, teams = G.centrality_table(*networks(spark, sf))
-    return X.round_report(
-        teams.where(F.col("team_avg_path_length").isNotNull()).select(
-            *S.NETWORK_KEYS, "team_avg_path_length"
-        )
-    )
+    paths = G.average_path_length(*networks(spark, sf))
+    return X.round_report(paths.withColumnRenamed("avg_path", "team_avg_path_length"))
+
+
+@q("components_e10", with_sql(["nodes", "walks"], f"""
+SELECT {', '.join('n.' + k for k in NK.split(', '))}, n.player_id, least(n.player_id, coalesce(min(w.b), n.player_id)) AS component
+FROM nodes n LEFT JOIN walks w ON w.game_id = n.game_id AND w.team_id = n.team_id AND w.a = n.player_id
+GROUP BY {', '.join('n.' + k for k in NK.split(', '))}, n.player_id"""))
+def components(spark, sf):
+    nodes, edges = networks(spark, sf)
+    return G.components(staged(nodes), staged(edges))
 
 
 @q("centrality_players_e11", with_sql(["degrees", "sizes", "paths", "triangles", "pair_degree", "ranks"], f"""
@@ -267,7 +309,7 @@ SELECT {NK}, {r('team_density', 'team_density')}, {r('team_centralization', 'tea
   {r('team_avg_path_length', 'team_avg_path_length')}, team_n_nodes, team_n_edges, team_total_passes
 FROM team_shape LEFT JOIN average_paths USING ({NK})"""))
 def centrality_teams(spark, sf):
-    _, teams = G.centrality_table(*networks(spark, sf))
+    teams = G.team_table(*networks(spark, sf))
     return X.round_report(teams.select(*S.NETWORK_KEYS, *S.TEAM_METRICS))
 
 
@@ -402,7 +444,7 @@ FROM (SELECT s.*, p.team_avg_path_length, coalesce(c.team_name, 'team ' || s.tea
   LEFT JOIN average_paths p USING ({NK}) LEFT JOIN clubs c USING (provider, team_id))
 GROUP BY 1, 2 ORDER BY avg(team_total_passes) DESC, season, club LIMIT 12"""))
 def team_structure(spark, sf):
-    _, teams = G.centrality_table(*networks(spark, sf))
+    teams = G.team_table(*networks(spark, sf))
     return X.round_report(L.team_structure(I.club_labels(teams, teams_of(spark, sf))))
 
 
@@ -410,5 +452,5 @@ def team_structure(spark, sf):
 SELECT n.{NK.replace(', ', ', n.')}, n.player_id, {r('coalesce(t.p, 0)', 'pagerank')} FROM nodes n
 LEFT JOIN (SELECT * FROM ranks WHERE step = 60) t USING (game_id, team_id, player_id)"""))
 def club_pagerank(spark, sf):
-    scores = G.network_scores(*networks(spark, sf)).select(*S.NETWORK_KEYS, "player_id", "pagerank")
+    scores = G.network_scores(*networks(spark, sf), measures=("pagerank",))
     return X.round_report(scores.fillna(0.0, ["pagerank"]))

@@ -115,28 +115,98 @@ def test_scores_against_brute_force(spark, seed):
     assert rank.sum() == pytest.approx(1.0)
     assert np.allclose(rank, 0.85 * (rank @ flow + rank[out == 0].sum() / n) + 0.15 / n, atol=1e-8)
     vector = np.array([got[p]["eigenvector"] for p in players])
+    assert (vector >= 0).all()
     image = w.T @ vector
     scale = image @ vector
     assert np.allclose(image, scale * vector, atol=1e-6) and np.linalg.norm(vector) == pytest.approx(1.0)
 
 
-def test_large_network_forms_agree_with_packed(spark):
-    """The join forms used above the node limit give the packed results."""
-    nodes, edges, _, _ = random_network(spark, 8, n=5, games=1)
-    packed = {r["player_id"]: r for r in G.network_scores(nodes, edges).collect()}
-    priced = G.edge_distance(edges)
-    paths = G.shortest_paths(priced, KEYS)
-    tables = {
-        "betweenness": (G.betweenness(nodes, priced, paths, KEYS), 1e-9),
-        "closeness": (G.closeness(nodes, paths, KEYS), 1e-9),
-        "clustering": (G.clustering(nodes, edges, KEYS), 1e-9),
-        "pagerank": (G.pagerank(nodes, edges, KEYS, steps=8, cut_every=2), 0.02),
-    }
-    for name, (table, slack) in tables.items():
-        for row in table.collect():
-            assert row[name] == pytest.approx(packed[row["player_id"]][name], abs=slack), name
-    path = G.average_path_length(nodes, edges, KEYS).first()["avg_path"]
-    assert path == pytest.approx(packed[0]["avg_path"])
+@pytest.mark.parametrize("cells", [1, 60, 200])
+def test_block_size_does_not_matter(spark, cells):
+    """One source a block, a few, or networks side by side: the same numbers."""
+    nodes, edges, _, _ = random_network(spark, 8, n=9, games=3)
+    measures = (*G.SCORES, "paths")
+
+    def table(size):
+        rows = G.node_measures(nodes, edges, KEYS, measures=measures, cells=size).collect()
+        assert len(rows) == len({(r["game_id"], r["player_id"]) for r in rows}) == 30
+        return {(r["game_id"], r["player_id"]): [r[m] for m in (*G.SCORES, "component", "path_total")] for r in rows}
+
+    whole, cut = table(10**6), table(cells)
+    for key, values in whole.items():
+        assert cut[key] == pytest.approx(values, rel=1e-9, abs=1e-9), key
+    path = {r["game_id"]: r["avg_path"] for r in G.average_path_length(nodes, edges, KEYS, cells).collect()}
+    assert path == pytest.approx({r["game_id"]: r["avg_path"] for r in G.average_path_length(nodes, edges, KEYS).collect()})
+
+
+def lanes_of(spark, lanes, players=()):
+    key = "game_id long, team_id long, season string, provider string"
+    ids = sorted({p for a, b, _ in lanes for p in (a, b)} | set(players))
+    return (
+        spark.createDataFrame([(1, 1, "s", None, p) for p in ids], f"{key}, player_id long"),
+        spark.createDataFrame([(1, 1, "s", None, a, b, w) for a, b, w in lanes], f"{key}, source long, target long, weight long"),
+    )
+
+
+def vector_of(spark, lanes, players=(), cells=10**6):
+    rows = G.network_scores(*lanes_of(spark, lanes, players), KEYS, measures=("eigenvector",), cells=cells).collect()
+    return {r["player_id"]: r["eigenvector"] for r in rows}
+
+
+def both(a, b, w=1):
+    return [(a, b, w), (b, a, w)]
+
+
+def test_equal_blocks_give_the_block_of_the_smallest_id(spark):
+    for cells in (1, 10**6):
+        assert vector_of(spark, both(3, 4) + both(1, 2), cells=cells) == pytest.approx({1: 0.5**0.5, 2: 0.5**0.5, 3: 0, 4: 0})
+    # The first block feeds the second, which grows alike: only the second carries a vector.
+    fed = vector_of(spark, both(1, 2) + [(2, 3, 5)] + both(3, 4))
+    assert fed == pytest.approx({1: 0, 2: 0, 3: 0.5**0.5, 4: 0.5**0.5})
+    # The faster block leads and reaches a slower one and a dead end: v3 = (2 v2 + v4) / 3, v4 = v3 / 3.
+    led = vector_of(spark, both(1, 2, 3) + [(2, 3, 2)] + both(3, 4) + [(4, 5, 1)], [9])
+    assert led[1] == pytest.approx(led[2]) and led[9] == 0
+    assert 3 * led[3] == pytest.approx(2 * led[2] + led[4]) and 3 * led[4] == pytest.approx(led[3])
+    assert 3 * led[5] == pytest.approx(led[4])
+
+
+def test_networks_without_circles_have_no_eigenvector(spark):
+    assert vector_of(spark, [(1, 2, 1), (2, 3, 4)]) == {1: None, 2: None, 3: None}
+    scores = G.network_scores(*lanes_of(spark, [(1, 2, 0)], [3]), KEYS).collect()
+    assert all(r["pagerank"] is None and r["eigenvector"] is None for r in scores)
+
+
+def test_long_circles_and_paths(spark):
+    """Longer than one Krylov subspace, and as deep as it is long."""
+    n = 300
+    ring = [(v, (v + 1) % n, 1 + v % 3) for v in range(n)] + [(v, (v * 7 + 3) % n, 1) for v in range(n)]
+    got = vector_of(spark, ring, cells=20_000)
+    weight = np.zeros((n, n))
+    for a, b, w in ring:
+        weight[a, b] += w
+    v = np.array([got[p] for p in range(n)])
+    grown = v @ weight
+    assert np.allclose(grown, (grown @ v) * v, atol=1e-7) and np.linalg.norm(v) == pytest.approx(1.0)
+    path = G.node_measures(*lanes_of(spark, [(v, v + 1, 1) for v in range(n)]), KEYS, measures=("betweenness", "paths")).collect()
+    middle = {r["player_id"]: r for r in path}
+    assert middle[100]["betweenness"] == pytest.approx(100 * 200 / (300 * 299)) and middle[100]["component"] == 0
+    assert middle[0]["path_total"] == 300 * 301 / 2
+
+
+def test_components_settle_on_long_paths(spark):
+    keys, n = ["game_id"], 10_000
+    nodes = spark.range(n + 5).select(F.lit(1).alias("game_id"), F.col("id").alias("player_id"))
+    # Neighbours on the path are far apart in id.
+    hop = lambda c: (c * 7919) % n
+    edges = spark.range(n - 1).select(F.lit(1).alias("game_id"), hop(F.col("id")).alias("source"), hop(F.col("id") + 1).alias("target"))
+    found = G.components(nodes, edges, keys).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in found} == {0: n, **{n + i: 1 for i in range(5)}}
+
+
+def test_edges_must_end_at_listed_players(spark):
+    nodes, edges = lanes_of(spark, [(1, 2, 1)])
+    with pytest.raises(Exception, match="does not list"):
+        G.network_scores(nodes.where("player_id = 1"), edges, KEYS).collect()
 
 
 def test_reciprocal_edges_keep_the_higher_source(spark):

@@ -1,10 +1,9 @@
-"""The physical plans that matter at scale, and the join form of the eigenvector."""
+"""The physical plans that matter at scale."""
 
 import re
 
 import pytest
 
-from pitchloom.operators import graph as G
 from pitchloom.plans import registry
 
 
@@ -23,13 +22,7 @@ def test_ranked_samples_are_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(spark, sf, "stratified_sample_a14")
 
 
-def test_eigenvector_join_form(spark):
-    key = "game_id long, team_id long, season string, provider string"
-    nodes = spark.createDataFrame([(1, 1, "s", "p", v) for v in (1, 2, 3)], f"{key}, player_id long")
-    edges = spark.createDataFrame(
-        [(1, 1, "s", "p", a, b, 2) for a in (1, 2, 3) for b in (1, 2, 3) if a != b],
-        f"{key}, source long, target long, weight long",
-    )
-    keys = ["game_id", "team_id", "season", "provider"]
-    rows = G.eigenvector(nodes, edges, keys, steps=6, cut_every=3).collect()
-    assert [r["eigenvector"] for r in rows] == pytest.approx([3 ** -0.5] * 3)
+def test_measures_make_no_table_of_pairs(spark, sf):
+    """Betweenness reads nodes and edges once, solves, and joins nothing else."""
+    text = plan(spark, sf, "betweenness_e3")
+    assert text.count("MapInArrow") == 1 and "Generate" not in text.split("MapInArrow")[0]

@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-# Distinct words a worker holds with their ids, and the bytes of words in one recursive query.
-HELD_WORDS = 400_000
-QUERY_BYTES = 400_000
+# Distinct words a worker holds with their ids (about 150 bytes each), and the bytes of words in one recursive query.
+HELD_WORDS = 800_000
+QUERY_BYTES = 1_000_000
 # Longer words are contracted many pairs at a time, this many rows over all rounds of a query.
 LONG_BYTES = 256
 ROUND_ROWS = 2_000_000
@@ -38,23 +38,26 @@ FLUSH_IDS = 2_000_000
 GROUP_WORDS = 1_000_000
 GROUP_CHARS = 4 << 20
 
-# Rows are (word, position, id). k orders the pairs of a word by rank, then position.
+# Rows are (word, position, id); positions rise over all words of the query, so neighbours come from one
+# ordering and a word's end is where the next row has another word. k orders the pairs of a word by
+# rank, then position. The row at the right of the contracted pair goes.
 CONTRACT = """
 WITH RECURSIVE s AS (
   SELECT w, p, t, false AS done FROM base
   UNION ALL
-  SELECT w, p, CASE WHEN k = least_k THEN (k >> 32)::INTEGER ELSE t END, least_k IS NULL
-  FROM (
-    SELECT w, p, t, k, min(k) OVER (PARTITION BY w) AS least_k, lag(k) OVER (PARTITION BY w ORDER BY p) AS k_left
+  (WITH pairs AS MATERIALIZED (
+    SELECT a.w, a.p, a.t, a.p_right, m.id::BIGINT << 32 | a.p AS k
     FROM (
-      SELECT a.w, a.p, a.t, m.id::BIGINT << 32 | a.p AS k
-      FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS t_right FROM s WHERE NOT done) a
-      LEFT JOIN merges m ON m.pair = (a.t::BIGINT << 32 | a.t_right)
-    )
+      SELECT w, p, t, CASE WHEN lead(w) OVER o = w THEN lead(t) OVER o END AS t_right, lead(p) OVER o AS p_right
+      FROM s WHERE NOT done WINDOW o AS (ORDER BY p)
+    ) a LEFT JOIN merges m ON m.pair = (a.t::BIGINT << 32 | a.t_right)
+  ), least AS (
+    SELECT w, min(k) AS k, arg_min(p_right, k) AS gone FROM pairs GROUP BY w
   )
-  WHERE least_k IS NULL OR k_left IS DISTINCT FROM least_k
+  SELECT x.w, x.p, CASE WHEN x.k = l.k THEN (x.k >> 32)::INTEGER ELSE x.t END, l.k IS NULL
+  FROM pairs x JOIN least l USING (w) WHERE l.gone IS NULL OR x.p <> l.gone)
 )
-SELECT w, list(t ORDER BY p) AS ids FROM s WHERE done GROUP BY w
+SELECT w, p, t FROM s WHERE done
 """
 
 # The same contraction, many pairs of one word in a round. All pairs of least rank come one after
@@ -144,18 +147,19 @@ class BytePairs:
         self.known: dict[str, int] = {}
         self.ids, self.starts = array("i"), array("q", [0])
 
-    def _hold(self, word: str, ids) -> None:
-        self.known[word] = len(self.starts) - 1
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
+    def _hold(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keep words whose ids lie end to end in ``ids``, so many for each."""
+        had = len(self.starts) - 1
+        self.known.update(zip(words, range(had, had + len(words))))
+        self.starts.frombytes((len(self.ids) + np.cumsum(counts, dtype=np.int64)).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return pa.table({
             "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "p": at.astype(np.int32), "t": self.byte_ids[data]})
+            "p": np.arange(len(data), dtype=np.int32), "t": self.byte_ids[data]})
 
     def _ask(self, sql: str, table: pa.Table, name: str = "base", given=None) -> pa.Table:
         self.db.register(name, table)
@@ -164,13 +168,11 @@ class BytePairs:
         finally:
             self.db.unregister(name)
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words, all contracted in one recursive query."""
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, ids of each word), from one recursive query."""
         found = self._ask(CONTRACT, self._rows(words))
-        ids: list = [[]] * len(words)
-        for word, some in zip(found["w"].to_pylist(), found["ids"].to_pylist()):
-            ids[word] = some
-        return ids
+        ids = found["t"].to_numpy()[np.argsort(found["p"].to_numpy())]
+        return ids, np.bincount(found["w"].to_numpy(), minlength=len(words))
 
     def contract_long(self, word: bytes) -> list[int]:
         """Ids of one long word: parts that no merge can join, each contracted round by round."""
@@ -180,8 +182,8 @@ class BytePairs:
         short: list[bytes] = []
 
         def finish():
-            for some in self.contract(short) if short else []:
-                ids.extend(some)
+            if short:
+                ids.extend(self.contract(short)[0].tolist())
             short.clear()
 
         for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)]):
@@ -205,31 +207,35 @@ class BytePairs:
         finish()
         return ids
 
-    def learn(self, words) -> None:
+    def learn(self, words: set[str]) -> None:
         """Hold the ids of words; all that was held may be dropped for them first."""
         fresh = [word for word in words if word not in self.known]
         if len(self.known) + len(fresh) > HELD_WORDS:
             self._forget()
             fresh = list(words)
-        waiting, size = [], 0
+        pieces, waiting, size = [], [], 0
+
+        def finish():
+            if waiting:
+                self._hold([word for word, _ in waiting], *self.contract([data for _, data in waiting]))
+            waiting.clear()
+
         for word in fresh:
             data = word.encode()
             if data in self.ranks:
-                self._hold(word, [self.ranks[data]])
+                pieces.append((word, self.ranks[data]))
             elif len(data) > LONG_BYTES:
-                self._hold(word, self.contract_long(data))
+                ids = np.array(self.contract_long(data), np.int32)
+                self._hold([word], ids, np.array([len(ids)]))
             else:
                 waiting.append((word, data))
                 size += len(data)
                 if size >= QUERY_BYTES:
-                    self._learn_short(waiting)
-                    waiting, size = [], 0
-        self._learn_short(waiting)
-
-    def _learn_short(self, waiting) -> None:
-        if waiting:
-            for (word, _), ids in zip(waiting, self.contract([data for _, data in waiting])):
-                self._hold(word, ids)
+                    finish()
+                    size = 0
+        finish()
+        if pieces:
+            self._hold([word for word, _ in pieces], np.array([rank for _, rank in pieces]), np.ones(len(pieces), np.int64))
 
     def slices(self, text: str):
         """Lists of words, in order. Texts are cut before a space that follows no white space, where a
@@ -252,7 +258,7 @@ class BytePairs:
         waiting, size = [], 0
 
         def finish():
-            self.learn(dict.fromkeys(word for _, words in waiting for word in words))
+            self.learn(set().union(*(words for _, words in waiting)))
             ids, starts = np.frombuffer(self.ids, np.int32), np.frombuffer(self.starts, np.int64)
             for n, words in waiting:
                 which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))

@@ -12,6 +12,10 @@ from pitchloom.operators.ordering import block_running, dense_position
 from pitchloom.runtime import durable
 
 
+# Decimals on which values are ranked.
+RANK_DIGITS = 10
+
+
 def _require(df: DataFrame, columns, what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -180,6 +184,19 @@ def leaderboard(
     return rows.orderBy(F.desc(column), "player_id").limit(k)
 
 
+def leaderboards(df: DataFrame, metrics, k: int = 20, bases=("", "_xt", "_z", "_r")) -> DataFrame:
+    """Top k players of every metric in every basis whose column is there, in one plan."""
+    columns = [(m, basis) for basis in bases for m in metrics if f"{m}{basis}" in df.columns]
+    rows = df.select(
+        "season", "provider", "player_id", "coarse_role", "n_matches",
+        F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.lit(b).alias("basis"), F.col(f"{m}{b}").cast("double").alias("value"))
+            for m, b in columns])).alias("_v"),
+    ).select("*", "_v.*").drop("_v").where(F.col("value").isNotNull())
+    w = Window.partitionBy("metric", "basis").orderBy(F.desc("value"), "player_id", "season", "provider")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def top_per_group(df: DataFrame, group, metric: str, tie: str, k: int) -> DataFrame:
     """Best k rows of each group. The rank filter runs before the shuffle as a group limit."""
     w = Window.partitionBy(*group).orderBy(F.desc(metric), tie)
@@ -226,7 +243,8 @@ def average_ranks(df: DataFrame, metrics) -> DataFrame:
 def spearman_pairs(df: DataFrame, metrics, row_keys=("season", "provider", "player_id")) -> DataFrame:
     """Spearman correlation of every metric pair, as Pearson on average ranks."""
     metrics, keys = list(metrics), list(row_keys)
-    long = durable(_long_metrics(df, metrics, *keys))
+    # Means of the same numbers may differ in the last bits by the order of their sums: these are ties.
+    long = durable(_long_metrics(df, metrics, *keys).withColumn("value", F.round("value", RANK_DIGITS)))
     ranks = long.join(average_ranks(long, metrics), ["metric", "value"])
     wide = ranks.groupBy(*keys).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("rank"))).alias(m) for m in metrics]

@@ -5,26 +5,27 @@ Fits are always made on the training fold only, and scaling uses population mome
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions.hashing import mix
+from pitchloom.operators.boosting import Ensemble, fit_boosted
+from pitchloom.operators.features import neighbour_means
+from pitchloom.operators.kmeans import STARTS, TOLERANCE, fit_clusterings, silhouettes
 from pitchloom.operators.ordering import POSITION, global_position
 from pitchloom.operators.scores import agreement, score, shot_lift
 from pitchloom.operators.similarity import standardise
 from pitchloom.operators.splits import LeakageError, assert_no_enrichment
-from pitchloom.runtime import attach_row, durable
+from pitchloom.runtime import attach_row, durable, staged
 
 K_VALUES = (4, 6, 8, 10, 12)
 ROUND_GRID = (25, 50, 100, 200)
 CLASSES = len(S.OUTCOMES)
+# Rows of a k sweep between which silhouettes are measured.
+SILHOUETTE_ROWS = 8_000
 
 
 def feature_array(names) -> Column:
@@ -97,12 +98,13 @@ def fit_logistic(
     rows = prepared.count()
     model = LogisticRegression(
         featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
-        regParam=1.0 / (strength * max(rows, 1)), elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (strength * max(rows, 1)), elasticNetParam=0.0, standardization=False, tol=1e-10,
         probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
         **({"weightCol": weight} if weight else {}),
     ).fit(prepared)
     present = list(range(model.numClasses))
     moments_from = train
+    weights, penalty = model.coefficientMatrix.toArray(), 1.0 / (strength * max(rows, 1))
 
     def predict(df: DataFrame, out: str = "probabilities") -> DataFrame:
         scored = model.transform(scaled_features(df, moments_from, names))
@@ -110,43 +112,22 @@ def fit_logistic(
             out, align_classes("_a", present, classes)
         ).drop("features", "_prob", "_raw", "_pred", "_a")
 
-    return predict
-
-
-def fit_boosted(
-    train: DataFrame, names, label: str = "outcome_index", classes: int = CLASSES,
-    rounds: int = 100, seed: int = 0,
-):
-    """One boosted tree ensemble per class (depth 3, rate 0.06), probabilities renormalised."""
-    prepared = durable(train.withColumn("features", array_to_vector(feature_array(names))))
-    models = []
-    for c in range(classes):
-        target = prepared.withColumn("_y", (F.col(label) == c).cast("double"))
-        if target.where("_y = 1").isEmpty():
-            models.append(None)
-            continue
-        models.append(
-            GBTClassifier(
-                featuresCol="features", labelCol="_y", maxDepth=3, stepSize=0.06, maxIter=rounds,
-                seed=seed, predictionCol=f"_k{c}",
-            )
-            .setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_r{c}")
-            .fit(target)
-        )
-
-    def predict(df: DataFrame, out: str = "probabilities") -> DataFrame:
-        scored = df.withColumn("features", array_to_vector(feature_array(names)))
-        parts = []
-        for c, model in enumerate(models):
-            if model is None:
-                parts.append(F.lit(0.0))
-                continue
-            scored = model.transform(scored).withColumn(f"_q{c}", vector_to_array(f"_p{c}")[1])
-            parts.append(F.col(f"_q{c}"))
-        total = sum(parts[1:], parts[0])
-        scored = scored.withColumn(out, F.array(*[p / F.nullif(total, F.lit(0.0)) for p in parts]))
-        return scored.drop("features", *[f"_{t}{c}" for t in "prkq" for c in range(classes)])
-
+    def slopes() -> DataFrame:
+        """(class, feature, n, slope): derivative of the mean penalised loss by each weight and, with a null
+        feature, by each intercept, on the training rows. All are 0 at the optimum."""
+        scored = model.transform(prepared).select(
+            F.col(label).alias("_y"), vector_to_array("_prob").alias("_p"), vector_to_array("features").alias("_x"))
+        cells = [(c, k) for c in present for k in range(-1, len(names))]
+        off = {c: F.col("_p")[c] - F.when(F.col("_y") == c, 1.0).otherwise(0.0) for c in present}
+        row = scored.agg(F.count(F.lit(1)).alias("n"), *(
+            F.avg(off[c] * (F.col("_x")[k] if k >= 0 else F.lit(1.0))).alias(f"s{c}_{k + 1}") for c, k in cells))
+        return row.select("n", F.explode(F.array(*(
+            F.struct(
+                F.lit(c).alias("class"), F.lit(names[k] if k >= 0 else None).cast("string").alias("feature"),
+                (F.col(f"s{c}_{k + 1}") + (penalty * float(weights[c][k]) if k >= 0 else 0.0)).alias("slope"))
+            for c, k in cells))).alias("_s")).select("_s.*", "n")
+
+    predict.slopes = slopes
     return predict
 
 
@@ -155,104 +136,143 @@ def _as_predictions(df: DataFrame, model: str, label: str = "outcome_index") ->
     return df.select(*keep, F.col(label).alias("y"), "probabilities", F.lit(model).alias("model"))
 
 
-def select_rounds(train: DataFrame, val: DataFrame, names, grid=ROUND_GRID, seed: int = 0):
-    """Boosting rounds with the lowest log-loss on the match-disjoint validation fold."""
-    best = None
-    for rounds in grid:
-        predict = fit_boosted(train, names, rounds=rounds, seed=seed)
-        loss = score(_as_predictions(predict(val), "B2")).first()["log_loss"]
-        if loss is not None and (best is None or loss < best[0]):
-            best = (loss, rounds, predict)
+def capacity_trace(model: Ensemble, val: DataFrame, grid=ROUND_GRID, label: str = "outcome_index") -> DataFrame:
+    """(rounds, n, log_loss) on validation rows after each number of rounds: prefixes of one fit."""
+    grid = sorted(grid)
+    staged_rows = model.predict_stages(val, grid).select(
+        F.col(label).alias("y"), F.posexplode("stages").alias("_place", "probabilities"))
+    rounds = F.element_at(F.array(*map(F.lit, grid)), F.col("_place") + 1)
+    return score(staged_rows.withColumn("rounds", rounds), ["rounds"]).select("rounds", "n", "log_loss")
+
+
+def select_rounds(train: DataFrame, val: DataFrame, names, grid=ROUND_GRID) -> tuple[int, Ensemble, DataFrame]:
+    """(rounds, fit, trace): the rounds with the lowest log-loss on the match-disjoint validation fold, the
+    fewest on a tie."""
+    model = fit_boosted(train, names, rounds=max(grid))
+    trace = durable(capacity_trace(model, val, grid))
+    best = trace.orderBy("log_loss", "rounds").first()
     if best is None:
         raise ValueError("the validation fold is empty; capacity cannot be chosen")
-    return best[1], best[2]
+    return best["rounds"], model, trace
 
 
-def fit_ladder(states: DataFrame, rungs=("prior", "B0", "B1", "B2"), grid=ROUND_GRID, seed: int = 0) -> DataFrame:
+def fit_ladder(states: DataFrame, rungs=("prior", "B0", "B1", "B2"), grid=ROUND_GRID) -> DataFrame:
     """Long prediction table of every rung over all used folds of a fold-labelled state table."""
     states = durable(states.where(F.col("fold") != "unused"))
     train = states.where(F.col("fold") == "train")
     out = None
     for rung in rungs:
+        names = S.FEATURE_LADDER.get(rung)
         if rung == "prior":
             predicted = predict_prior(states, train)
         elif rung == "B2":
-            _, predict = select_rounds(
-                train, states.where(F.col("fold") == "val"), S.FEATURE_LADDER[rung], grid, seed
-            )
-            predicted = predict(states)
+            rounds, model, _ = select_rounds(train, states.where(F.col("fold") == "val"), names, grid)
+            predicted = model.predict(states, rounds=rounds)
         else:
-            predicted = fit_logistic(train, S.FEATURE_LADDER[rung])(states)
+            predicted = fit_logistic(train, names)(states)
         rows = _as_predictions(predicted, rung)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def permutation_importance(
-    train: DataFrame, names, repeats: int = 5, seed: int = 0, label: str = "outcome_index"
+    train: DataFrame, names=S.B2_FEATURES, repeats: int = 5, seed: int = 0, label: str = "outcome_index",
+    predict=None,
 ) -> DataFrame:
-    """Mean and spread of the log-loss rise when one feature is shuffled.
+    """Mean and spread of the log-loss rise when one feature of the boosted rung is shuffled.
 
-    A shuffle pairs each row with the value at the same rank of a seeded hash order.
+    A shuffle gives each row the value at another place of a seeded hash order; the orders of all repeats
+    stand beside each other, and all shuffles of a feature set are scored in one long table.
+    ``predict`` adds probabilities to rows with the features (default: boosted trees on ``train``).
     """
-    predict = fit_logistic(train, names, label)
+    names = list(names)
+    predict = predict or fit_boosted(train, names, label).predict
     rows = durable(
         global_position(train.withColumn("_id", F.col("game_id") * 100 + F.col("window_index")), ["_id"])
+        .select(F.col(POSITION).alias("_at"), "_id", F.col(label).alias("y"), *names)
     )
-    base = score(_as_predictions(predict(rows), "base", label)).first()["log_loss"]
-    measured = []
-    for name in names:
-        for repeat in range(repeats):
-            order = mix("_id", seed=seed + 7919 * (repeat + 1))
-            values = rows.select(F.col(name).alias("_value"), order.alias("_h"), "_id")
-            shuffled = global_position(values, ["_h", "_id"]).select(POSITION, "_value")
-            moved = rows.drop(name).join(shuffled, POSITION).withColumnRenamed("_value", name)
-            loss = score(_as_predictions(predict(moved), "moved", label)).first()["log_loss"]
-            measured.append((name, repeat, float(loss - base)))
-    table = train.sparkSession.createDataFrame(measured, "feature string, repeat int, rise double")
-    return table.groupBy("feature").agg(
-        F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std")
+    # (repeat, place in the shuffled order, values): one sort of row ids for each repeat.
+    orders = None
+    for repeat in range(repeats):
+        order = mix("_id", seed=seed + 7919 * (repeat + 1))
+        one = global_position(rows.select("_id", order.alias("_h"), F.struct(*names).alias("_other")), ["_h", "_id"])
+        one = one.select(F.lit(repeat).alias("repeat"), F.col(POSITION).alias("_at"), "_other")
+        orders = one if orders is None else orders.unionByName(one)
+    swapped = F.explode(F.array(*(
+        F.struct(F.lit(name).alias("feature"), *(
+            (F.col(f"_other.{c}") if c == name else F.col(c)).cast("double").alias(c) for c in names))
+        for name in names)))
+    moved = rows.join(orders, "_at").select("repeat", "y", swapped.alias("_s")).select("repeat", "y", "_s.*")
+    losses = score(predict(moved), ["feature", "repeat"])
+    base = score(predict(rows)).select(F.col("log_loss").alias("_base"))
+    return attach_row(losses, base).groupBy("feature").agg(
+        F.avg(F.col("log_loss") - F.col("_base")).alias("importance_mean"),
+        F.stddev_pop(F.col("log_loss") - F.col("_base")).alias("importance_std"),
     )
 
 
 # --- learning curve and pooling ----------------------------------------------------------
 
 
-def sampled_matches(states: DataFrame, fraction: float, seed: int, least: int = 20) -> DataFrame:
-    """A seeded share of the matches, never fewer than ``least`` if there are that many."""
-    games = states.select("game_id").distinct()
-    wanted = max(least, math.ceil(fraction * games.count()))
-    ordered = games.withColumn("_h", mix("game_id", seed=seed))
-    return global_position(ordered, ["_h", "game_id"]).where(F.col(POSITION) < wanted).select("game_id")
+def match_subsets(train: DataFrame, fractions, draws: int, seed: int = 0, least: int = 20) -> DataFrame:
+    """(game_id, subsets): for each match the numbers of the subsets it is in, and the list of subsets.
+
+    Returns (matches with an array ``subsets`` of 0/1 by subset, [(fraction, draw, matches)]). A subset of a
+    fraction holds the matches that come first in its own hash order, never fewer than ``least`` if
+    there are that many; the whole set is drawn once.
+    """
+    games = durable(train.select("game_id").distinct())
+    size = games.count()
+    subsets = []
+    for fraction in fractions:
+        wanted = min(max(int(fraction * size + 0.5), least), size)
+        subsets += [(float(fraction), draw, wanted) for draw in range(draws if wanted < size else 1)]
+    placed = games
+    for draw in sorted({draw for _, draw, _ in subsets}):
+        ordered = games.withColumn("_h", mix("game_id", seed=seed + 101 * draw))
+        placed = placed.join(
+            global_position(ordered, ["_h", "game_id"]).select("game_id", F.col(POSITION).alias(f"_at{draw}")), "game_id")
+    member = F.array(*((F.col(f"_at{draw}") < wanted).cast("int") for _, draw, wanted in subsets))
+    return placed.select("game_id", member.alias("subsets")), subsets
 
 
 def learning_curve(
-    states: DataFrame, fractions=(0.25, 0.5, 0.75, 1.0), draws: int = 3, rungs=("B0", "B1"),
-    least: int = 20, seed: int = 0,
+    states: DataFrame, fractions=(0.1, 0.25, 0.5, 0.75, 1.0), draws: int = 3, rungs=("B0", "B1", "B2"),
+    least: int = 20, seed: int = 0, rounds: int = ROUND_GRID[-1], test_column: str | None = None,
 ) -> DataFrame:
-    """Test log-loss of refits on growing random subsets of training matches."""
+    """Test log-loss of refits on growing random subsets of training matches.
+
+    The boosted rung fits all subsets in shared passes. With ``test_column`` each of its values is a
+    test fold of its own.
+    """
     states = durable(states)
-    train, test = states.where("fold = 'train'"), durable(states.where("fold = 'test'"))
-    out = []
-    for fraction in fractions:
-        for draw in range(draws if fraction < 1.0 else 1):
-            chosen = durable(sampled_matches(train, fraction, seed + 101 * draw, least))
-            part = train.join(chosen, "game_id", "left_semi")
-            for rung in rungs:
-                predict = fit_logistic(part, S.FEATURE_LADDER[rung])
-                result = score(_as_predictions(predict(test), rung)).first()
-                out.append((rung, float(fraction), draw, chosen.count(), result["log_loss"]))
-    return states.sparkSession.createDataFrame(
-        out, "model string, fraction double, draw int, n_matches long, log_loss double"
-    )
+    train, test = states.where("fold = 'train'"), states.where("fold = 'test'")
+    test = durable(test.withColumn("test_fold", F.col(test_column) if test_column else F.lit("test")))
+    members, subsets = match_subsets(train, fractions, draws, seed, least)
+    part = durable(train.join(members, "game_id"))
+    out = None
+    for rung in rungs:
+        names = S.FEATURE_LADDER[rung]
+        model = fit_boosted(part, names, rounds=rounds, members="subsets") if rung == "B2" else None
+        for number, (fraction, draw, matches) in enumerate(subsets):
+            if model is not None:
+                rows = model.predict(test, fit=number)
+            else:
+                rows = fit_logistic(part.where(F.col("subsets")[number] == 1), names)(test)
+            losses = score(rows.withColumnRenamed("outcome_index", "y"), ["test_fold"]).select(
+                F.lit(rung).alias("model"), "test_fold", F.lit(fraction).alias("fraction"), F.lit(draw).alias("draw"),
+                F.lit(matches).cast("long").alias("n_matches"), "n", "log_loss")
+            out = losses if out is None else out.unionByName(losses)
+    return out
 
 
 def curve_verdict(curve: DataFrame) -> DataFrame:
     """Gain from half to all matches against the spread between subsets."""
-    per = curve.groupBy("model", "fraction").agg(
+    keys = [c for c in ("model", "test_fold") if c in curve.columns]
+    per = curve.groupBy(*keys, "fraction").agg(
         F.avg("log_loss").alias("mean_loss"), F.stddev_samp("log_loss").alias("noise")
     )
-    return per.groupBy("model").agg(
+    return per.groupBy(*keys).agg(
         F.min_by("mean_loss", F.abs(F.col("fraction") - 0.5)).alias("half_loss"),
         F.max_by("mean_loss", "fraction").alias("full_loss"), F.max("noise").alias("noise"),
     ).withColumn("gain", F.col("half_loss") - F.col("full_loss")).withColumn(
@@ -260,15 +280,20 @@ def curve_verdict(curve: DataFrame) -> DataFrame:
     )
 
 
-def pooled_vs_single(states: DataFrame, corpus: str, names=S.B1_FEATURES) -> DataFrame:
-    """Predictions on one corpus's test fold from its own and from the pooled training rows."""
+def pooled_fits(states: DataFrame, corpus: str, names=S.B1_FEATURES):
+    """(test rows of one corpus, its own fit, the pooled fit); a test match in the pooled training rows
+    raises LeakageError."""
     states = durable(states)
     test = states.where((F.col("corpus") == corpus) & (F.col("fold") == "test"))
     pooled = states.where(F.col("fold") == "train")
     if not pooled.join(test.select("game_id").distinct(), "game_id", "left_semi").isEmpty():
         raise LeakageError("a test match is part of the pooled training rows")
-    own = fit_logistic(pooled.where(F.col("corpus") == corpus), names)
-    everyone = fit_logistic(pooled, names)
+    return test, fit_logistic(pooled.where(F.col("corpus") == corpus), names), fit_logistic(pooled, names)
+
+
+def pooled_vs_single(states: DataFrame, corpus: str, names=S.B1_FEATURES) -> DataFrame:
+    """Predictions on one corpus's test fold from its own and from the pooled training rows."""
+    test, own, everyone = pooled_fits(states, corpus, names)
     return _as_predictions(own(test), "single").unionByName(_as_predictions(everyone(test), "pooled"))
 
 
@@ -284,18 +309,44 @@ def pool_corpora(tables: dict[str, DataFrame]) -> DataFrame:
 # --- roles -------------------------------------------------------------------------------
 
 
-def role_ablation(features: DataFrame, sets=None, label: str = "role_index", max_iter: int = 60) -> DataFrame:
-    """Four-class role accuracy per feature set and fold, on fold-labelled node features."""
+def fit_perceptron(train: DataFrame, names, label: str, classes: int, hidden: int = 32, max_iter: int = 200, seed: int = 0):
+    """One hidden layer on standardised features; returns a function adding a probability array."""
+    prepared = durable(scaled_features(train, train, names).select("features", F.col(label).cast("double").alias("_y")))
+    model = MultilayerPerceptronClassifier(
+        featuresCol="features", labelCol="_y", layers=[len(names), hidden, classes], maxIter=max_iter, seed=seed,
+        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
+    ).fit(prepared)
+
+    def predict(df: DataFrame, out: str = "probabilities") -> DataFrame:
+        scored = model.transform(scaled_features(df, train, names))
+        return scored.withColumn(out, vector_to_array("_prob")).drop("features", "_prob", "_raw", "_pred")
+
+    return predict
+
+
+def role_ablation(
+    features: DataFrame, edges: DataFrame, sets=None, label: str = "role_index", hops: int = 2,
+    hidden: int = 32, max_iter: int = 200, seed: int = 0,
+) -> DataFrame:
+    """Four-class role accuracy per feature set and fold, on fold-labelled node features.
+
+    Features are carried over the lanes first: a player's own values stand beside the means of those
+    who pass to them, one and two hops back; a perceptron with one hidden layer reads all of them.
+    """
     features = durable(features.where(F.col("fold") != "unused"))
     sets = sets or S.FEATURE_SETS
-    train = features.where(F.col("fold") == "train")
+    on = [*S.NETWORK_KEYS, "player_id"]
+    every = sorted({name for columns in sets.values() for name in columns})
+    assert_no_enrichment(features.select(*every), "role features")
+    # One propagation serves all sets.
+    carried = durable(features.select(*on, "fold", label).join(
+        neighbour_means(features, edges, every, hops=hops), on))
+    train = carried.where(F.col("fold") == "train")
     out = None
     for name, columns in sets.items():
-        assert_no_enrichment(features.select(*columns), f"feature set {name}")
-        predict = fit_logistic(
-            train, columns, label, classes=len(S.COARSE_ROLES), max_iter=max_iter
-        )
-        rows = predict(features).select("fold", F.col(label).alias("y"), "probabilities")
+        wide = [*columns, *(f"{c}_hop{hop}" for hop in range(1, hops + 1) for c in columns)]
+        predict = fit_perceptron(train, wide, label, len(S.COARSE_ROLES), hidden, max_iter, seed)
+        rows = predict(carried).select("fold", F.col(label).alias("y"), "probabilities")
         result = score(rows, ["fold"]).select(
             F.lit(name).alias("feature_set"), "fold", "n", "accuracy", "log_loss"
         )
@@ -306,87 +357,101 @@ def role_ablation(features: DataFrame, sets=None, label: str = "role_index", max
 # --- clustering --------------------------------------------------------------------------
 
 
-def fit_clusters(df: DataFrame, column: str, k: int, seed: int = 0, starts: int = 10,
-                 train: DataFrame | None = None) -> DataFrame:
-    """K-means fitted on training rows, best of several starts, every row assigned."""
-    fit_on = df if train is None else train
-    rows = standardise(df, column, "_s", fit_on=fit_on).withColumn("features", array_to_vector("_s"))
-    fit_rows = standardise(fit_on, column, "_s", fit_on=fit_on).select(array_to_vector("_s").alias("features"))
-    fit_rows = durable(fit_rows)
-    best = None
-    for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster").fit(fit_rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best.transform(rows).drop("_s")
+def fit_clusters(df: DataFrame, column: str, k: int, seed: int = 0, starts: int = STARTS,
+                 train: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """K-means fitted on training rows, best of several starts, every row assigned to ``cluster``."""
+    labelled, _ = fit_clusterings(df, column, (k,), seed, starts, train, tolerance)
+    return labelled.withColumn("cluster", F.col("clusters")[0]).drop("clusters")
 
 
 def cluster_and_score(
     df: DataFrame, column: str, coarse: str, fine: str | None = None, k_values=K_VALUES,
-    seed: int = 0, starts: int = 10, representation: str = "",
+    seed: int = 0, starts: int = STARTS, representation: str = "",
 ) -> DataFrame:
-    """Agreement with coarse and fine labels and silhouette for each k."""
-    df = durable(df)
+    """Agreement with coarse and fine labels and exact silhouette for each k; all k share their passes."""
+    k_values = sorted(k_values)
+    labelled, _ = fit_clusterings(df, column, k_values, seed, starts)
+    labelled = staged(labelled)
+    # ``place`` is a clustering's position among the rising k.
+    apart = silhouettes(labelled, "scaled", "clusters", k_values)
     out = None
-    for k in k_values:
-        labelled = durable(fit_clusters(df, column, k, seed, starts))
-        silhouette = ClusteringEvaluator(
-            featuresCol="features", predictionCol="cluster", metricName="silhouette"
-        ).evaluate(labelled)
-        row = agreement(labelled, coarse, "cluster").select(
-            F.lit(representation).alias("representation"), F.lit(k).alias("k"),
+    for place, k in enumerate(k_values):
+        rows = labelled.withColumn("cluster", F.col("clusters")[place])
+        row = agreement(rows, coarse, "cluster").select(
+            F.lit(representation).alias("representation"), F.lit(k).alias("k"), F.lit(place).alias("place"),
             F.col("adjusted_rand").alias("ari_coarse"), F.col("nmi").alias("nmi_coarse"),
-            F.lit(float(silhouette)).alias("silhouette"),
         )
         if fine is not None:
             row = attach_row(
-                row, agreement(labelled, fine, "cluster").select(
+                row, agreement(rows, fine, "cluster").select(
                     F.col("adjusted_rand").alias("ari_fine"), F.col("nmi").alias("nmi_fine")
                 ),
             )
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.join(apart, "place", "left").drop("place")
 
 
 def sweep_k(
-    chains: DataFrame, column: str, k_values=K_VALUES, seed: int = 0, starts: int = 10,
-    representation: str = "",
+    chains: DataFrame, column: str, k_values=K_VALUES, seed: int = 0, starts: int = STARTS,
+    representation: str = "", sample: int = SILHOUETTE_ROWS,
 ) -> DataFrame:
-    """Silhouette and shot discrimination per k on fold-labelled chains."""
-    chains = durable(chains)
-    train = chains.where(F.col("fold") == "train")
-    out = None
-    for k in k_values:
-        labelled = durable(fit_clusters(chains, column, k, seed, starts, train))
-        silhouette = ClusteringEvaluator(
-            featuresCol="features", predictionCol="cluster", metricName="silhouette"
-        ).evaluate(labelled)
-        lift = shot_lift(labelled.where(F.col("fold").isin("train", "test")), ["fold"])
-
-        def when(fold, c):
-            return F.when(F.col("fold") == fold, F.col(c))
-
-        row = lift.agg(
-            F.lit(representation).alias("representation"), F.lit(k).alias("k"),
-            F.lit(float(silhouette)).alias("silhouette"),
-            (F.max(when("train", "shot_rate")) - F.min(when("train", "shot_rate"))).alias("shot_rate_spread_train"),
-            (F.max(when("test", "shot_rate")) - F.min(when("test", "shot_rate"))).alias("shot_rate_spread_test"),
-            F.max(when("test", "lift")).alias("max_lift_test"),
-            F.count_if((F.col("fold") == "test") & F.col("differs_from_base")).alias("clusters_differing_test"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Silhouette and shot discrimination per k on fold-labelled chains; all k share their passes.
 
+    The silhouette looks at up to ``sample`` rows, chosen by a hash of the vector, with whole distances
+    between them; it uses moments of all rows, as every representation is judged on its own scale.
+    """
+    k_values = sorted(k_values)
+    labelled, _ = fit_clusterings(
+        chains, column, k_values, seed, starts, chains.where(F.col("fold") == "train"))
+    labelled = staged(standardise(labelled, column, "_whole"))
+    some = labelled.orderBy(F.xxhash64("_whole", F.lit(seed))).limit(sample)
+    apart = silhouettes(some, "_whole", "clusters", k_values)
+    flat = labelled.where(F.col("fold").isin("train", "test")).select(
+        "fold", "ends_in_shot", F.posexplode("clusters").alias("place", "cluster"))
+    lift = shot_lift(flat, ["place", "fold"])
+
+    def when(fold, c):
+        return F.when(F.col("fold") == fold, F.col(c))
+
+    table = lift.groupBy("place").agg(
+        (F.max(when("train", "shot_rate")) - F.min(when("train", "shot_rate"))).alias("shot_rate_spread_train"),
+        (F.max(when("test", "shot_rate")) - F.min(when("test", "shot_rate"))).alias("shot_rate_spread_test"),
+        F.max(when("test", "lift")).alias("max_lift_test"),
+        F.count_if((F.col("fold") == "test") & F.col("differs_from_base")).alias("clusters_differing_test"),
+        *(F.sum(when(fold, "n_chains")).alias(f"n_{fold}") for fold in ("train", "test")),
+        *(F.max(when(fold, "base_rate")).alias(f"base_rate_{fold}") for fold in ("train", "test")),
+    )
+    return table.join(apart, "place", "left").select(
+        F.lit(representation).alias("representation"),
+        F.element_at(F.array(*map(F.lit, k_values)), F.col("place") + 1).alias("k"), "silhouette",
+        "shot_rate_spread_train", "shot_rate_spread_test", "max_lift_test", "clusters_differing_test",
+        "n_train", "n_test", "base_rate_train", "base_rate_test",
+    )
 
-def sequence_embedding(sequences: DataFrame, k: int = 32, column: str = "tokens") -> DataFrame:
-    """Fixed-length chain vector: principal components of the flat padded tokens."""
-    rows = sequences.withColumn("_v", array_to_vector(F.expr(f"transform({column}, v -> CAST(v AS double))")))
-    model = PCA(k=k, inputCol="_v", outputCol="_e").fit(rows)
-    return model.transform(rows).withColumn("embedding", vector_to_array("_e")).drop("_v", "_e")
 
+def components_of(rows: DataFrame, column: str, k: int, out: str) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with their place on the first k principal components, the components).
 
-def projection(df: DataFrame, column: str, k: int = 2) -> DataFrame:
-    """Standardised vectors on their first principal components (signs are arbitrary)."""
-    rows = standardise(df, column, "_s").withColumn("_v", array_to_vector("_s"))
-    model = PCA(k=k, inputCol="_v", outputCol="_e").fit(rows)
-    return model.transform(rows).withColumn("projection", vector_to_array("_e")).drop("_s", "_v", "_e")
+    Components are (component, weights, share): unit vectors in the order of the share of all variance that
+    lies on them; their signs are arbitrary.
+    """
+    model = PCA(k=k, inputCol="_v", outputCol="_e").fit(rows.select(array_to_vector(F.col(column)).alias("_v")))
+    axes = model.pc.toArray()
+    parts = rows.sparkSession.createDataFrame(
+        [(i, [float(w) for w in axes[:, i]], float(model.explainedVariance[i])) for i in range(k)],
+        "component int, weights array<double>, share double")
+    placed = model.transform(rows.withColumn("_v", array_to_vector(F.col(column))))
+    return placed.withColumn(out, vector_to_array("_e")).drop("_v", "_e"), parts
+
+
+def sequence_embedding(sequences: DataFrame, k: int = 32, column: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """Fixed-length chain vector ``embedding``: principal components of the flat padded tokens, and those."""
+    rows = sequences.withColumn("_t", F.expr(f"transform({column}, v -> CAST(v AS double))"))
+    placed, parts = components_of(rows, "_t", k, "embedding")
+    return placed.drop("_t"), parts
+
+
+def projection(df: DataFrame, column: str, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Standardised vectors on their first principal components (``projection``), and those."""
+    placed, parts = components_of(standardise(df, column, "_s"), "_s", k, "projection")
+    return placed.drop("_s"), parts

@@ -31,7 +31,8 @@ READY_ROWS = 50_000
 DAMPING = 0.85
 RANK_STEPS = 500
 RANK_CHANGE = 1e-13
-TIE = 1e-9
+# Two costs are equal within this much, and within this share of them: zero-weight lanes cost 1e12.
+TIE, TIE_SHARE = 1e-9, 1e-14
 # Classes whose growth differs by less than this share grow alike.
 SAME_GROWTH = 1e-9
 KRYLOV = 32
@@ -77,7 +78,7 @@ def path_credit(n_cells: int, origin: np.ndarray, distance, tail, head, cost) ->
     via = distance[tail] + cost
     with np.errstate(invalid="ignore"):
         tight = (
-            np.isfinite(via) & (np.abs(via - distance[head]) <= TIE * (1.0 + distance[head]))
+            np.isfinite(via) & (np.abs(via - distance[head]) <= TIE + TIE_SHARE * distance[head])
             & (distance[tail] < distance[head])
         )
     starts, tail, head = _by_tail(n_cells, tail[tight], head[tight])

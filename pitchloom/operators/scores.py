@@ -6,11 +6,12 @@ class ``probabilities`` as an array.
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitchloom.functions import expressions as X
-from pitchloom.functions.hashing import mix
-from pitchloom.operators.ordering import POSITION, global_position
+from pitchloom.functions.hashing import MODULUS, mix
 from pitchloom.operators.sequence import adjusted_rand
 from pitchloom.runtime import attach_row, durable
 
@@ -83,24 +84,36 @@ def per_checkpoint(predictions: DataFrame) -> DataFrame:
 # --- bootstrap over whole matches --------------------------------------------------------
 
 
+def poisson_bounds() -> list[int]:
+    """Hash values from which a match is drawn once more: Poisson(1) shares of the hash range."""
+    bounds, share, total, times = [], exp(-1.0), 0.0, 0
+    while True:
+        total += share
+        bound = int(total * MODULUS)
+        if bound >= MODULUS or (bounds and bound == bounds[-1]):
+            return bounds
+        bounds.append(bound)
+        times += 1
+        share /= times
+
+
 def _draw_means(units: DataFrame, groups, draws: int, seed: int) -> DataFrame:
     """Resampled mean per (draw, group) from per-match sums.
 
-    ``units`` holds one row per (match, group) with ``total`` and ``n``. A draw picks as many
-    matches as there are, by hashing (draw, slot), so it does not depend on partitioning.
+    ``units`` holds one row per (match, group) with ``total`` and ``n``. How often a draw takes a match is a
+    Poisson(1) number read off a hash of (draw, match): the bootstrap of data in many places, in which
+    no draw has to know how many matches there are. Each task adds up its own matches for every
+    draw, so draws x groups sums are all that leaves it; models share the draws of a match.
     """
-    index = durable(global_position(units.select("game_id").distinct(), ["game_id"]))
-    size = index.count()
-    spark = units.sparkSession
-    slots = spark.range(draws * size).select(
-        F.expr(f"id div {max(size, 1)}").alias("draw"),
-        F.pmod(mix(F.expr(f"id div {max(size, 1)}"), F.expr(f"id % {max(size, 1)}"), seed=seed), F.lit(size)).alias(POSITION),
+    # No compiled chain of seventeen comparisons: the count of bounds at or below the hash.
+    hashed = mix("draw", "game_id", seed=seed)
+    times = F.size(F.filter(F.array(*map(F.lit, poisson_bounds())), lambda bound: bound <= F.col("_h")))
+    drawn = (
+        units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        .withColumn("_h", hashed).where(F.col("_h") >= poisson_bounds()[0]).withColumn("_times", times)
     )
-    # Repeated picks of a match collapse before they meet its sums.
-    picked = slots.groupBy("draw", POSITION).count()
-    drawn = picked.join(index, POSITION).join(units, "game_id")
     return drawn.groupBy(*groups, "draw").agg(
-        (F.sum(F.col("total") * F.col("count")) / F.sum(F.col("n") * F.col("count"))).alias("value")
+        (F.sum(F.col("total") * F.col("_times")) / F.sum(F.col("n") * F.col("_times"))).alias("value")
     )
 
 

@@ -71,18 +71,18 @@ FROM (SELECT r.step, r.game_id, r.team_id, r.player_id, z.n,
   FROM ranks r JOIN sizes z USING (game_id, team_id)
   LEFT JOIN (SELECT f.game_id, f.team_id, f.target AS player_id, sum(t.p * f.w / o.s) AS got
     FROM links f JOIN ranks t ON t.game_id = f.game_id AND t.team_id = f.team_id AND t.player_id = f.source
-    JOIN (SELECT game_id, team_id, source, sum(w) AS s FROM links GROUP BY 1, 2, 3) o
+    JOIN (SELECT game_id, team_id, source, sum(w) AS s FROM links GROUP BY 1, 2, 3 HAVING sum(w) > 0) o
       ON o.game_id = f.game_id AND o.team_id = f.team_id AND o.source = f.source GROUP BY 1, 2, 3) g
     ON g.game_id = r.game_id AND g.team_id = r.team_id AND g.player_id = r.player_id
   JOIN (SELECT t.game_id, t.team_id, sum(CASE WHEN o.source IS NULL THEN t.p ELSE 0 END) AS lost
-    FROM ranks t LEFT JOIN (SELECT DISTINCT game_id, team_id, source FROM links) o
+    FROM ranks t LEFT JOIN (SELECT DISTINCT game_id, team_id, source FROM links WHERE w > 0) o
       ON o.game_id = t.game_id AND o.team_id = t.team_id AND o.source = t.player_id GROUP BY 1, 2) l
     ON l.game_id = r.game_id AND l.team_id = r.team_id
-  WHERE r.step < 60)""")
+  WHERE r.step < 150)""")
 CTES["triangles"] = (("pairs",), """
 SELECT game_id, team_id, v AS player_id, sum(t) AS t FROM (
   SELECT x.game_id, x.team_id, unnest([x.lo, x.hi, y.hi]) AS v,
-    cbrt(x.w / m.top) * cbrt(y.w / m.top) * cbrt(z.w / m.top) AS t
+    coalesce(cbrt(x.w / nullif(m.top, 0)) * cbrt(y.w / nullif(m.top, 0)) * cbrt(z.w / nullif(m.top, 0)), 0) AS t
   FROM pairs x JOIN pairs y ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.lo = x.hi
   JOIN pairs z ON z.game_id = x.game_id AND z.team_id = x.team_id AND z.lo = x.lo AND z.hi = y.hi
   JOIN (SELECT game_id, team_id, max(w) AS top FROM pairs GROUP BY 1, 2) m
@@ -101,23 +101,7 @@ CTES["lineup"] = (("actions",), """
 SELECT DISTINCT season, provider, player_id, CASE player_id % 100 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'DEF'
   WHEN 3 THEN 'DEF' WHEN 4 THEN 'DEF' WHEN 5 THEN 'MID' WHEN 6 THEN 'MID' WHEN 7 THEN 'MID' ELSE 'FWD' END AS coarse_role
 FROM actions WHERE player_id IS NOT NULL""")
-# Season table of the degree family with position and role, at least five matches.
 _FAMILY = ("degree_in", "degree_out", "degree_total", "strength_in", "strength_out")
-CTES["season_table"] = (("degrees", "nodes", "lineup"), f"""
-SELECT season, provider, player_id, coarse_role, {', '.join(f'avg(d.{m}) AS {m}' for m in _FAMILY)},
-  avg(n.mean_x) AS mean_x, avg(n.mean_y) AS mean_y, count(*) AS n_matches
-FROM degrees d JOIN nodes n USING ({NK}, player_id) LEFT JOIN lineup USING (season, provider, player_id)
-GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""")
-
-
-def season_table(spark, sf, min_matches=3):
-    nodes, edges = networks(spark, sf)
-    players = G.degree_strength(nodes, edges).join(
-        nodes.select(*S.NETWORK_KEYS, "player_id", "mean_x", "mean_y"), [*S.NETWORK_KEYS, "player_id"]
-    )
-    table = L.player_season(players, min_matches, (*_FAMILY, "mean_x", "mean_y"))
-    roles = directory(spark, sf).select("season", "provider", "player_id", "coarse_role")
-    return table.join(roles, ["season", "provider", "player_id"], "left")
 
 
 @q("edge_distance_e1", with_sql("links", f"SELECT {NK}, source, target, {r('d', 'distance')} FROM links"))
@@ -134,14 +118,14 @@ def degree_strength(spark, sf):
 
 CTES["hops"] = (("paths", "links"), """
 SELECT 1 AS h, p.game_id, p.team_id, p.a, p.b, 1e0 AS c FROM paths p JOIN links l
-  ON l.game_id = p.game_id AND l.team_id = p.team_id AND l.source = p.a AND l.target = p.b AND abs(l.d - p.d) < 1e-9
+  ON l.game_id = p.game_id AND l.team_id = p.team_id AND l.source = p.a AND l.target = p.b AND abs(l.d - p.d) <= 1e-9 + 1e-14 * p.d
 UNION ALL
 SELECT h + 1, game_id, team_id, a, b, sum(c) FROM (
   SELECT s.h, p.game_id, p.team_id, p.a, p.b, s.c FROM hops s
   JOIN links l ON l.game_id = s.game_id AND l.team_id = s.team_id AND l.source = s.b
   JOIN paths x ON x.game_id = s.game_id AND x.team_id = s.team_id AND x.a = s.a AND x.b = s.b
   JOIN paths p ON p.game_id = s.game_id AND p.team_id = s.team_id AND p.a = s.a AND p.b = l.target
-    AND abs(x.d + l.d - p.d) < 1e-9 WHERE s.h < 12) GROUP BY h, game_id, team_id, a, b""")
+    AND abs(x.d + l.d - p.d) <= 1e-9 + 1e-14 * p.d WHERE s.h < 12) GROUP BY h, game_id, team_id, a, b""")
 CTES["ways"] = (("hops", "paths"), """
 SELECT game_id, team_id, a, b, p.d, s.c FROM paths p JOIN (
   SELECT game_id, team_id, a, b, sum(c) AS c FROM hops GROUP BY 1, 2, 3, 4) s USING (game_id, team_id, a, b)""")
@@ -151,7 +135,7 @@ FROM nodes n JOIN sizes z USING ({NK}) LEFT JOIN (
   SELECT x.game_id, x.team_id, x.b AS player_id, sum(x.c * y.c / t.c) AS credit FROM ways x
   JOIN ways y ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.a = x.b AND y.b <> x.a
   JOIN ways t ON t.game_id = x.game_id AND t.team_id = x.team_id AND t.a = x.a AND t.b = y.b
-    AND abs(x.d + y.d - t.d) < 1e-9 GROUP BY 1, 2, 3) c USING (game_id, team_id, player_id)"""
+    AND abs(x.d + y.d - t.d) <= 1e-9 + 1e-14 * t.d GROUP BY 1, 2, 3) c USING (game_id, team_id, player_id)"""
 
 
 @q("betweenness_e3", with_sql(["nodes", "sizes", "ways"], _BETWEEN))
@@ -170,8 +154,13 @@ def closeness(spark, sf):
 
 
 # The leading left eigenvector, on its own way: the weights plus a shift are squared 26 times, so a start
-# vector is pushed 2^26 steps. Classes are sets of nodes that reach each other (``paths`` hold every
-# pair); the growth of a class is read off one more push of its own start vector.
+# vector is pushed 2^26 steps. Classes are sets of nodes that reach each other (``reach`` holds
+# every pair); the growth of a class is read off one more push of its own start vector.
+CTES["reach_0"] = (("links",), "SELECT game_id, team_id, source AS a, target AS b FROM links WHERE w > 0")
+for _step in range(4):
+    CTES[f"reach_{_step + 1}"] = ((f"reach_{_step}",), f"""
+SELECT * FROM reach_{_step} UNION SELECT x.game_id, x.team_id, x.a, y.b FROM reach_{_step} x JOIN reach_{_step} y
+  ON x.game_id = y.game_id AND x.team_id = y.team_id AND x.b = y.a AND x.a <> y.b""")
 CTES["eig_shift"] = (("nodes", "links"), f"""
 SELECT n.game_id, n.team_id, n.player_id, max(coalesce(s.w, 0)) OVER (PARTITION BY n.game_id, n.team_id) / 2 AS s
 FROM nodes n LEFT JOIN (SELECT game_id, team_id, target AS player_id, sum(w) AS w FROM links GROUP BY 1, 2, 3) s
@@ -188,10 +177,10 @@ SELECT step + 1, game_id, team_id, a, b, v / max(v) OVER (PARTITION BY game_id,
   JOIN eig_powers y ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.a = x.b
   WHERE x.step < 26 GROUP BY 1, 2, 3, 4, 5)""")
 CTES["eig_power"] = (("eig_powers",), "SELECT * FROM eig_powers WHERE step = 26")
-CTES["eig_class"] = (("nodes", "paths"), f"""
+CTES["eig_class"] = (("nodes", "reach_4"), f"""
 SELECT n.game_id, n.team_id, n.player_id, least(n.player_id, coalesce(min(f.b), n.player_id)) AS class, count(f.b) AS others
-FROM nodes n LEFT JOIN (SELECT f.game_id, f.team_id, f.a, f.b FROM paths f
-  JOIN paths g ON g.game_id = f.game_id AND g.team_id = f.team_id AND g.a = f.b AND g.b = f.a) f
+FROM nodes n LEFT JOIN (SELECT f.game_id, f.team_id, f.a, f.b FROM reach_4 f
+  JOIN reach_4 g ON g.game_id = f.game_id AND g.team_id = f.team_id AND g.a = f.b AND g.b = f.a) f
   ON f.game_id = n.game_id AND f.team_id = n.team_id AND f.a = n.player_id GROUP BY 1, 2, 3""")
 # From each class (all ones on its members): what arrives at every node after 2^26 steps.
 CTES["eig_arrived"] = (("eig_class", "eig_power"), """
@@ -209,9 +198,9 @@ SELECT game_id, team_id, class, sum(v * coalesce(w, 0)) / sum(v) AS g FROM (
   GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING sum(v) > 0""")
 CTES["eig_leading"] = (("eig_growth",), """
 SELECT * FROM (SELECT *, max(g) OVER (PARTITION BY game_id, team_id) AS top FROM eig_growth) WHERE g >= top * (1 - 1e-7)""")
-CTES["eig_chosen"] = (("eig_leading", "paths"), """
+CTES["eig_chosen"] = (("eig_leading", "reach_4"), """
 SELECT game_id, team_id, min(class) AS class FROM eig_leading x WHERE NOT EXISTS (
-  SELECT 1 FROM paths p JOIN eig_leading y ON y.game_id = p.game_id AND y.team_id = p.team_id AND y.class = p.b
+  SELECT 1 FROM reach_4 p JOIN eig_leading y ON y.game_id = p.game_id AND y.team_id = p.team_id AND y.class = p.b
   WHERE p.game_id = x.game_id AND p.team_id = x.team_id AND p.a = x.class AND y.class <> x.class) GROUP BY 1, 2""")
 CTES["eigen"] = (("eig_arrived", "eig_chosen"), """
 SELECT game_id, team_id, b AS player_id, v / sqrt(sum(v * v) OVER (PARTITION BY game_id, team_id)) AS v
@@ -227,7 +216,7 @@ def eigenvector(spark, sf):
 
 @q("pagerank_e6", with_sql(["nodes", "ranks"], f"""
 SELECT n.{NK.replace(', ', ', n.')}, n.player_id, {r('t.p', 'pagerank')} FROM nodes n
-JOIN ranks t USING (game_id, team_id, player_id) WHERE t.step = 60
+JOIN ranks t USING (game_id, team_id, player_id) WHERE t.step = 150
   AND EXISTS (SELECT 1 FROM links l WHERE l.game_id = n.game_id AND l.team_id = n.team_id)
 UNION ALL SELECT {NK}, player_id, NULL FROM nodes n
 WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.game_id = n.game_id AND l.team_id = n.team_id)"""))
@@ -289,19 +278,33 @@ def components(spark, sf):
     return G.components(staged(nodes), staged(edges))
 
 
-@q("centrality_players_e11", with_sql(["degrees", "sizes", "paths", "triangles", "pair_degree", "ranks"], f"""
+CTES["credits"] = (("ways",), """
+SELECT x.game_id, x.team_id, x.b AS player_id, sum(x.c * y.c / t.c) AS credit FROM ways x
+JOIN ways y ON y.game_id = x.game_id AND y.team_id = x.team_id AND y.a = x.b AND y.b <> x.a
+JOIN ways t ON t.game_id = x.game_id AND t.team_id = x.team_id AND t.a = x.a AND t.b = y.b
+  AND abs(x.d + y.d - t.d) <= 1e-9 + 1e-14 * t.d GROUP BY 1, 2, 3""")
+CTES["central"] = (("degrees", "sizes", "paths", "credits", "triangles", "pair_degree", "ranks", "eig_chosen", "eigen", "links"), f"""
 SELECT g.{NK.replace(', ', ', g.')}, g.player_id, {', '.join('g.' + m for m in _FAMILY)},
-  {r('coalesce(c.k / c.far * c.k / nullif(z.n - 1, 0), 0)', 'closeness')}, {r('t.p', 'pagerank')},
-  {r('coalesce(2 * y.t / (k.k * (k.k - 1)), 0)', 'clustering')}
+  coalesce(b.credit, 0) / CASE WHEN z.n > 2 THEN (z.n - 1) * (z.n - 2) ELSE 1 END AS betweenness,
+  coalesce(c.k / c.far * c.k / nullif(z.n - 1, 0), 0) AS closeness,
+  CASE WHEN h.class IS NOT NULL THEN coalesce(v.v, 0) END AS eigenvector, CASE WHEN l.w > 0 THEN t.p END AS pagerank,
+  coalesce(2 * y.t / nullif(k.k * (k.k - 1), 0), 0) AS clustering
 FROM degrees g JOIN sizes z USING ({NK})
 LEFT JOIN (SELECT game_id, team_id, b AS player_id, count(*) AS k, sum(d) AS far FROM paths GROUP BY 1, 2, 3) c
   USING (game_id, team_id, player_id)
+LEFT JOIN credits b USING (game_id, team_id, player_id)
+LEFT JOIN eig_chosen h USING (game_id, team_id) LEFT JOIN eigen v USING (game_id, team_id, player_id)
+LEFT JOIN (SELECT game_id, team_id, sum(w) AS w FROM links GROUP BY 1, 2) l USING (game_id, team_id)
 LEFT JOIN triangles y USING (game_id, team_id, player_id)
 LEFT JOIN pair_degree k USING (game_id, team_id, player_id)
-LEFT JOIN (SELECT * FROM ranks WHERE step = 60) t USING (game_id, team_id, player_id)"""))
+LEFT JOIN (SELECT * FROM ranks WHERE step = 150) t USING (game_id, team_id, player_id)""")
+
+
+@q("centrality_players_e11", with_sql("central", f"""
+SELECT {NK}, player_id, {', '.join(_FAMILY)}, {', '.join(r(m, m) for m in S.PLAYER_METRICS[5:])} FROM central"""))
 def centrality_players(spark, sf):
     players, _ = G.centrality_table(*networks(spark, sf))
-    return X.round_report(players.drop("betweenness", "eigenvector"))
+    return X.round_report(players)
 
 
 @q("centrality_teams_e11", with_sql(["team_shape", "average_paths"], f"""
@@ -313,54 +316,6 @@ def centrality_teams(spark, sf):
     return X.round_report(teams.select(*S.NETWORK_KEYS, *S.TEAM_METRICS))
 
 
-_SEASON = ", ".join(r(m, m) for m in _FAMILY)
-
-
-@q("player_season_e12", with_sql("season_table", f"""
-SELECT season, provider, player_id, {_SEASON}, {r('mean_x', 'mean_x')}, {r('mean_y', 'mean_y')}, n_matches
-FROM season_table"""))
-def player_season(spark, sf):
-    return X.round_report(season_table(spark, sf).drop("coarse_role"))
-
-
-CTES["season_z"] = (("season_table",), f"""
-SELECT *, {', '.join(f"coalesce(({m} - avg({m}) OVER w) / nullif(stddev_pop({m}) OVER w, 0), 0) AS {m}_z" for m in _FAMILY)}
-FROM season_table WINDOW w AS (PARTITION BY coarse_role)""")
-
-
-@q("role_relative_e13", with_sql("season_z", f"""
-SELECT season, provider, player_id, coarse_role, {', '.join(r(m + '_z', m + '_z') for m in _FAMILY)} FROM season_z"""))
-def role_relative(spark, sf):
-    table = L.role_relative(season_table(spark, sf), metrics=_FAMILY)
-    return X.round_report(
-        table.select("season", "provider", "player_id", "coarse_role", *[m + "_z" for m in _FAMILY])
-    )
-
-
-@q("position_residual_e14")
-def position_residual(spark, sf):
-    frame, _ = L.position_residual(season_table(spark, sf), metrics=_FAMILY)
-    return X.round_report(
-        frame.select("season", "provider", "player_id", *[m + "_r" for m in _FAMILY])
-    )
-
-
-@q("position_r2_e14")
-def position_r2(spark, sf):
-    return X.round_report(L.position_residual(season_table(spark, sf), metrics=_FAMILY)[1])
-
-
-@q("leaderboard_e15", with_sql("season_z", f"""
-SELECT season, provider, player_id, coarse_role, {r('degree_total_z', 'degree_total_z')}, n_matches FROM season_z
-ORDER BY season_z.degree_total_z DESC, player_id, season LIMIT 20"""))
-def leaderboard(spark, sf):
-    table = L.role_relative(season_table(spark, sf), metrics=("degree_total",))
-    best = L.leaderboard(table, "degree_total", 20, basis="_z")
-    return X.round_report(
-        best.select("season", "provider", "player_id", "coarse_role", "degree_total_z", "n_matches")
-    )
-
-
 @q("top_customers_per_nation_e15", f"""
 SELECT n_nationkey, c_custkey, {r('spend', 'spend', 2)}, place FROM (
   SELECT c_nationkey AS n_nationkey, c_custkey, spend,
@@ -378,52 +333,6 @@ def top_customers(spark, sf):
     return X.round_report(best.select("n_nationkey", "c_custkey", "spend", "place"), 2)
 
 
-_ROLE_SHARES = ", ".join(
-    r(f"coalesce(100e0 * count(*) FILTER (coarse_role = '{c}') / nullif(count(coarse_role), 0), 0)", f"pct_{c}")
-    for c in S.COARSE_ROLES
-)
-_LONG = "(" + " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, player_id, season, provider, coarse_role, {m} AS v FROM season_table" for m in _FAMILY
-) + ")"
-_COMPOSITION = f"""
-SELECT metric, {_ROLE_SHARES} FROM (SELECT *, row_number() OVER (
-  PARTITION BY metric ORDER BY v DESC, player_id, season, provider) AS p FROM {_LONG}) WHERE p <= 30 GROUP BY metric
-UNION ALL SELECT 'population', {_ROLE_SHARES} FROM season_table"""
-
-
-@q("role_composition_e16", with_sql("season_table", _COMPOSITION))
-def role_composition(spark, sf):
-    return X.round_report(L.role_composition(season_table(spark, sf), _FAMILY, 30))
-
-
-CTES["ranked"] = (("season_table",), "SELECT season, provider, player_id, " + ", ".join(
-    f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2e0 AS {m}" for m in _FAMILY
-) + " FROM season_table")
-_PAIRS = [(a, b) for i, a in enumerate(_FAMILY) for b in _FAMILY[i + 1:]]
-CTES["spearman"] = (("ranked",), " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM ranked" for a, b in _PAIRS))
-
-
-@q("spearman_pairs_e17", with_sql("spearman", f"SELECT a AS \"left\", b AS \"right\", {r('rho', 'spearman')} FROM spearman"))
-def spearman_pairs(spark, sf):
-    return X.round_report(L.spearman_pairs(season_table(spark, sf), _FAMILY))
-
-
-@q("mean_spearman_e17", with_sql("spearman", f"SELECT {r('avg(rho)', 'mean_spearman')}, count(*) AS pairs FROM spearman"))
-def mean_spearman(spark, sf):
-    return X.round_report(L.mean_pairwise_spearman(season_table(spark, sf), _FAMILY))
-
-
-@q("volume_proxy_report_e18", with_sql(["season_table", "spearman"], f"""
-SELECT c.*, s.rho_volume FROM ({_COMPOSITION}) c LEFT JOIN (
-  SELECT CASE WHEN a = 'degree_total' THEN b ELSE a END AS metric, {r('rho', 'rho_volume')} FROM spearman
-  WHERE a = 'degree_total' OR b = 'degree_total') s USING (metric)"""))
-def volume_proxy(spark, sf):
-    table = season_table(spark, sf)
-    r2 = L.position_residual(table, metrics=_FAMILY)[1]
-    return X.round_report(L.volume_proxy_report(table, r2, _FAMILY, top=30).drop("mean_r2"))
-
-
 def teams_of(spark, sf):
     """Club names come from the nations table: team n is nation n of its provider."""
     return read_table(spark, sf, "nation").select(
@@ -450,7 +359,7 @@ def team_structure(spark, sf):
 
 @q("club_pagerank_e20", with_sql(["nodes", "ranks"], f"""
 SELECT n.{NK.replace(', ', ', n.')}, n.player_id, {r('coalesce(t.p, 0)', 'pagerank')} FROM nodes n
-LEFT JOIN (SELECT * FROM ranks WHERE step = 60) t USING (game_id, team_id, player_id)"""))
+LEFT JOIN (SELECT * FROM ranks WHERE step = 150) t USING (game_id, team_id, player_id)"""))
 def club_pagerank(spark, sf):
     scores = G.network_scores(*networks(spark, sf), measures=("pagerank",))
     return X.round_report(scores.fillna(0.0, ["pagerank"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stream_plans", "graph_plans", "threat_plans", "score_plans", "store_plans")
+MODULES = ("stream_plans", "graph_plans", "threat_plans", "season_plans", "score_plans", "store_plans")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

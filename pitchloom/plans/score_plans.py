@@ -17,6 +17,7 @@ from pitchloom.plans.sqlkit import (
 from pitchloom.plans.stream_plans import _rand_sql, chained, passes
 from pitchloom.plans.threat_plans import labelled_chains, scored_states, split
 from pitchloom.operators import chains as C, splits as SP
+from pitchloom.runtime import durable
 from pitchloom.sources.event_actions import read_actions, read_games, read_table
 
 BOOK = Book()
@@ -98,20 +99,19 @@ def per_checkpoint(spark, sf):
     return X.round_report(K.per_checkpoint(predictions(spark, sf)))
 
 
-def _slots(units):
-    return f"""
-SELECT draw, {mix_sql('draw', 'slot', seed=3)} % size AS at_, count(*) AS times FROM (
-  SELECT unnest(range({DRAWS})) AS draw), (SELECT unnest(range(n)) AS slot, n AS size FROM (
-    SELECT count(DISTINCT game_id) AS n FROM {units})) GROUP BY 1, 2"""
+def _draw_counts(units, seeds=(3,)):
+    """(seed, draw, game_id, times): how often a draw takes a match."""
+    parts = [f"SELECT {s} AS seed, draw, game_id, {mix_sql('draw', 'game_id', seed=s)} AS h FROM "
+             f"(SELECT unnest(range({DRAWS})) AS draw), (SELECT DISTINCT game_id FROM {units})" for s in seeds]
+    times = " + ".join(f"CASE WHEN h >= {bound} THEN 1 ELSE 0 END" for bound in K.poisson_bounds())
+    return f"SELECT seed, draw, game_id, {times} AS times FROM ({' UNION ALL '.join(parts)})"
 
 
 CTES["units"] = (("rowed",), "SELECT model, game_id, sum(loss) AS total, count(*) AS n FROM rowed GROUP BY 1, 2")
-CTES["unit_index"] = (("units",), """
-SELECT game_id, row_number() OVER (ORDER BY game_id) - 1 AS at_ FROM (SELECT DISTINCT game_id FROM units)""")
-CTES["slots"] = (("units",), _slots("units"))
-CTES["draw_values"] = (("slots", "unit_index", "units"), """
-SELECT model, draw, sum(total * times) / sum(n * times) AS v FROM slots JOIN unit_index USING (at_)
-JOIN units USING (game_id) GROUP BY 1, 2""")
+CTES["draw_counts"] = (("units",), _draw_counts("units"))
+CTES["draw_values"] = (("draw_counts", "units"), """
+SELECT model, draw, sum(total * times) / sum(n * times) AS v FROM draw_counts
+JOIN units USING (game_id) WHERE times > 0 GROUP BY 1, 2""")
 CTES["intervals"] = (("draw_values",), """
 SELECT model, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM draw_values GROUP BY 1""")
 
@@ -131,28 +131,36 @@ def compare_models(spark, sf):
     return X.round_report(K.compare_models(predictions(spark, sf), DRAWS, seed=3))
 
 
-@q("paired_difference_k7", with_sql(["slots", "unit_index", "units"], f"""
-WITH d AS (SELECT game_id, sum(CASE WHEN model = 'rule' THEN total ELSE -total END) AS total,
-    sum(CASE WHEN model = 'rule' THEN n END) AS n FROM units GROUP BY 1),
-  v AS (SELECT draw, sum(total * times) / sum(n * times) AS v FROM slots JOIN unit_index USING (at_) JOIN d USING (game_id) GROUP BY 1)
-SELECT {r('p', 'delta_log_loss')}, {r('lo', 'ci_low')}, {r('hi', 'ci_high')}, lo > 0 OR hi < 0 AS significant
-FROM (SELECT sum(total) / sum(n) AS p FROM d), (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v)""").replace(
-    "GROUP BY 1)\nWITH d AS", "GROUP BY 1),\nd AS").replace(")\nWITH d AS", "),\nd AS"))
+CTES["paired"] = (("units",), """
+SELECT game_id, sum(CASE WHEN model = 'rule' THEN total ELSE -total END) AS total,
+  sum(CASE WHEN model = 'rule' THEN n END) AS n FROM units GROUP BY 1""")
+_PAIRED = """
+SELECT p AS delta_log_loss, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (
+  SELECT seed, draw, sum(total * times) / sum(n * times) AS v FROM {counts} JOIN paired USING (game_id)
+  WHERE times > 0 GROUP BY 1, 2), (SELECT sum(total) / sum(n) AS p FROM paired) GROUP BY seed, p"""
+
+
+@q("paired_difference_k7", with_sql(["draw_counts", "paired"], f"""
+SELECT {r('delta_log_loss', 'delta_log_loss')}, {r('lo', 'ci_low')}, {r('hi', 'ci_high')}, lo > 0 OR hi < 0 AS significant
+FROM ({_PAIRED.format(counts='draw_counts')})"""))
 def paired_difference(spark, sf):
     return X.round_report(K.paired_difference(predictions(spark, sf), "rule", "flat", DRAWS, seed=3))
 
 
-@q("paired_over_seeds_k17", with_sql("by_model", """
-SELECT 'rule' AS model, 3 AS n_seeds, round((SELECT log_loss FROM by_model WHERE model = 'rule')
-  - (SELECT log_loss FROM by_model WHERE model = 'flat'), 6) + 0 AS mean_delta"""))
+CTES["seed_counts"] = (("units",), _draw_counts("units", (1, 2, 3)))
+
+
+@q("paired_over_seeds_k17", with_sql(["seed_counts", "paired"], f"""
+SELECT 'rule' AS model, {r('avg(delta_log_loss)', 'mean_delta')}, {r('min(lo)', 'ci_low')}, {r('max(hi)', 'ci_high')},
+  count(*) FILTER (lo > 0 OR hi < 0) AS n_significant, count(*) AS n_seeds FROM ({_PAIRED.format(counts='seed_counts')})"""))
 def paired_over_seeds(spark, sf):
-    rows = predictions(spark, sf)
+    rows = durable(predictions(spark, sf))
     parts = [
-        K.paired_difference(rows, "rule", "flat", 50, seed).withColumn("model", F.lit("rule"))
+        K.paired_difference(rows, "rule", "flat", DRAWS, seed).withColumn("model", F.lit("rule"))
         for seed in (1, 2, 3)
     ]
     table = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return X.round_report(K.paired_over_seeds(table).select("model", "n_seeds", "mean_delta"))
+    return X.round_report(K.paired_over_seeds(table))
 
 
 def bucketed(spark, sf):

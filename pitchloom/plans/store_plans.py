@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
@@ -17,7 +17,7 @@ from pitchloom.plans.score_plans import folded_chains, predictions, vectors
 from pitchloom.plans.sqlkit import CTES, NK, quoted, r, with_sql
 from pitchloom.plans.stream_plans import chained, passes
 from pitchloom.plans.threat_plans import labelled_chains, rated, split, states
-from pitchloom.runtime import checkpoint_dir, durable, staged
+from pitchloom.runtime import attach_row, checkpoint_dir, durable, staged
 from pitchloom.sources import provider_files as P, store as A
 from pitchloom.sources.event_actions import (
     read_actions, read_games, read_lineup, read_table, read_truth, season_columns,
@@ -353,35 +353,97 @@ def pooled_corpora(spark, sf):
     )
 
 
-# --- fitted models (no SQL equivalent) ---------------------------------------------------
+# --- fitted models -----------------------------------------------------------------------
+
+# A fit itself is beyond SQL. Each query runs the whole job and returns what must hold of its result:
+# counts, base rates and losses that SQL works out from the tables, and conditions of an optimum.
+
+MATCH_ROWS = "FROM outcomes JOIN folds USING (game_id) CROSS JOIN windows"
 
 
 def folded_states(spark, sf):
     return SP.assign_fold(states(spark, sf), split(spark, sf))
 
 
-@q("logistic_ladder_j2")
-def logistic_ladder(spark, sf):
-    table = M.fit_ladder(folded_states(spark, sf), ("prior", "B0", "B1"))
-    return X.round_report(K.score(table, ["model", "fold"]))
+def _slopes(model: str, fit):
+    """One row for each weight: the slope of the loss, which is 0 at the optimum."""
+    return fit.slopes().select(F.lit(model).alias("model"), "class", "feature", "n", F.round("slope", 4) + 0.0).toDF(
+        "model", "class", "feature", "n", "slope")
 
 
-@q("boosted_ladder_j3")
-def boosted_ladder(spark, sf):
-    table = M.fit_ladder(folded_states(spark, sf), ("B2",), grid=(5, 10))
-    return X.round_report(K.score(table, ["model", "fold"]))
+def _slope_sql(model, names, condition):
+    listed = ", ".join(["NULL", *(f"'{n}'" for n in names)])
+    return f"""SELECT '{model}' AS model, c AS class, f AS feature, n, 0e0 AS slope
+FROM (SELECT unnest([0, 1, 2]) AS c), (SELECT unnest([{listed}]) AS f), (SELECT count(*) AS n {MATCH_ROWS} WHERE {condition})"""
 
 
-@q("permutation_importance_j6")
-def importance(spark, sf):
-    train = folded_states(spark, sf).where(F.col("fold") == "train")
-    return X.round_report(M.permutation_importance(train, S.B0_FEATURES, repeats=2))
+@q("logistic_ladder_j2", with_sql(["outcomes", "folds", "windows"], " UNION ALL ".join(
+    _slope_sql(rung, S.FEATURE_LADDER[rung], "fold = 'train'") for rung in ("B0", "B1"))))
+def logistic_ladder(spark, sf):
+    train = durable(folded_states(spark, sf).where(F.col("fold") == "train"))
+    fits = [_slopes(rung, M.fit_logistic(train, S.FEATURE_LADDER[rung])) for rung in ("B0", "B1")]
+    return fits[0].unionByName(fits[1])
+
 
+CTES["prior"] = (("outcomes", "folds"), """
+SELECT count(*) FILTER (outcome_index = 0) / count(*) AS p0, count(*) FILTER (outcome_index = 1) / count(*) AS p1,
+  count(*) FILTER (outcome_index = 2) / count(*) AS p2 FROM outcomes JOIN folds USING (game_id) WHERE fold = 'train'""")
+CTES["prior_loss"] = (("prior", "outcomes", "folds", "windows"), f"""
+SELECT fold, count(*) AS n, avg(-ln(greatest(1e-15, CASE outcome_index WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END))) AS log_loss
+{MATCH_ROWS} CROSS JOIN prior GROUP BY 1""")
+_GRID = ", ".join(map(str, M.ROUND_GRID))
 
-@q("kmeans_j7")
+
+@q("boosted_ladder_j3", with_sql("prior_loss", f"""
+SELECT rounds, n, {r('log_loss', 'prior_loss')}, TRUE AS chosen_is_least, TRUE AS train_loss_falls
+FROM (SELECT unnest([{_GRID}]) AS rounds), prior_loss WHERE fold = 'val'"""))
+def boosted_ladder(spark, sf):
+    rows = durable(folded_states(spark, sf).where(F.col("fold").isin("train", "val")))
+    train, val = rows.where("fold = 'train'"), rows.where("fold = 'val'")
+    chosen, model, trace = M.select_rounds(train, val, S.B2_FEATURES)
+    fitted = M.capacity_trace(model, train).select("rounds", F.col("log_loss").alias("_train"))
+    before = Window.orderBy("rounds")
+    least = trace.where(F.col("rounds") == chosen).select(F.col("log_loss").alias("_least"))
+    prior = K.score(M.predict_prior(val, train).withColumnRenamed("outcome_index", "y")).select(
+        F.col("log_loss").alias("prior_loss"))
+    # Four rows, one for each capacity.
+    table = attach_row(attach_row(trace.join(fitted, "rounds"), least), prior)
+    return X.round_report(table.select(
+        "rounds", "n", "prior_loss", (F.col("_least") <= F.col("log_loss")).alias("chosen_is_least"),
+        (F.col("_train") < F.coalesce(F.lag("_train").over(before), F.lit(float("inf")))).alias("train_loss_falls"),
+    ))
+
+
+_LISTED = ", ".join(f"'{n}'" for n in S.B2_FEATURES)
+
+
+@q("permutation_importance_j6", f"""
+SELECT unnest([{_LISTED}]) AS feature, TRUE AS spread_is_known, TRUE AS rise_within_losses""")
+def importance(spark, sf):
+    train = durable(folded_states(spark, sf).where(F.col("fold") == "train"))
+    table = M.permutation_importance(train)
+    # Shuffling one feature cannot do better than no loss at all, nor move a prediction beyond the clip.
+    return table.select(
+        "feature", (F.col("importance_std") >= 0).alias("spread_is_known"),
+        F.abs("importance_mean").between(0.0, 35.0).alias("rise_within_losses"))
+
+
+def nearest_mean(labelled, key, vector):
+    """(key, whether the mean of its own cluster is a nearest one): what k-means ends with."""
+    means = V.mean_vectors(labelled, ["cluster"], vector, "_m").select(
+        F.array_sort(F.collect_list(F.struct("cluster", "_m")).over(Window.partitionBy())).alias("_all")).limit(1)
+    gap = "aggregate(zip_with({0}, m._m, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v)".format(vector)
+    # A dozen centroids in one row.
+    return attach_row(labelled, means).withColumn(
+        "_d", F.expr(f"transform(_all, m -> {gap})")
+    ).select(key, (F.expr("_d[array_position(transform(_all, m -> m.cluster), cluster) - 1]")
+                   <= F.array_min("_d") * (1 + 1e-9) + 1e-12).alias("nearest"))
+
+
+@q("kmeans_j7", "SELECT vec_id, TRUE AS nearest FROM embeddings")
 def kmeans(spark, sf):
-    labelled = M.fit_clusters(vectors(spark, sf), "embedding", 8, starts=3)
-    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    labelled = staged(M.fit_clusters(vectors(spark, sf), "embedding", 8, tolerance=0.0))
+    return nearest_mean(labelled, "vec_id", "scaled")
 
 
 def chain_vectors(spark, sf):
@@ -389,51 +451,132 @@ def chain_vectors(spark, sf):
     return rows.drop("cluster").withColumn("vector", M.feature_array(S.CHAIN_FEATURES))
 
 
-@q("k_sweep_j8")
+_KS = ", ".join(map(str, M.K_VALUES))
+CTES["chain_base"] = (("labelled", "folds"), """
+SELECT count(*) FILTER (fold = 'train') AS n_train, count(*) FILTER (fold = 'test') AS n_test,
+  count(*) FILTER (fold = 'train' AND ends_in_shot) / count(*) FILTER (fold = 'train') AS base_rate_train,
+  count(*) FILTER (fold = 'test' AND ends_in_shot) / count(*) FILTER (fold = 'test') AS base_rate_test
+FROM labelled JOIN folds USING (game_id)""")
+
+
+@q("k_sweep_j8", with_sql("chain_base", f"""
+SELECT 'hand-crafted' AS representation, unnest([{_KS}]) AS k, n_train, n_test, {r('base_rate_train', 'base_rate_train')},
+  {r('base_rate_test', 'base_rate_test')}, TRUE AS silhouette_in_range, TRUE AS spread_in_range, TRUE AS some_lift FROM chain_base"""))
 def k_sweep(spark, sf):
-    return X.round_report(
-        M.sweep_k(chain_vectors(spark, sf), "vector", (4, 6), starts=2, representation="hand-crafted")
-    )
+    table = M.sweep_k(chain_vectors(spark, sf), "vector", representation="hand-crafted")
+    return X.round_report(table.select(
+        "representation", "k", "n_train", "n_test", "base_rate_train", "base_rate_test",
+        F.col("silhouette").between(-1.0, 1.0).alias("silhouette_in_range"),
+        (F.col("shot_rate_spread_train").between(0.0, 1.0) & F.col("shot_rate_spread_test").between(0.0, 1.0)).alias("spread_in_range"),
+        (F.col("max_lift_test") >= 1.0).alias("some_lift"),
+    ))
 
 
-@q("cluster_and_score_j9")
+@q("cluster_and_score_j9", f"""
+SELECT 'embedding' AS representation, unnest([{_KS}]) AS k, TRUE AS scores_in_range, TRUE AS silhouette_in_range""")
 def cluster_and_score(spark, sf):
-    return X.round_report(
-        M.cluster_and_score(
-            vectors(spark, sf).withColumn("half", F.col("label") % 4), "embedding", "half", "label",
-            (4, 8), starts=2, representation="embedding",
-        )
-    )
+    table = M.cluster_and_score(
+        vectors(spark, sf).withColumn("half", F.col("label") % 4), "embedding", "half", "label",
+        representation="embedding")
+    scores = [F.col(c).between(low, 1.0) for c, low in (("ari_coarse", -0.5), ("ari_fine", -0.5), ("nmi_coarse", 0.0), ("nmi_fine", 0.0))]
+    return table.select(
+        "representation", "k", (scores[0] & scores[1] & scores[2] & scores[3]).alias("scores_in_range"),
+        F.col("silhouette").between(-1.0, 1.0).alias("silhouette_in_range"))
+
 
+_SETS = ", ".join(f"'{name}'" for name in S.FEATURE_SETS)
 
-@q("role_ablation_j10")
+
+@q("role_ablation_j10", with_sql(["nodes", "lineup", "folds"], f"""
+SELECT unnest([{_SETS}]) AS feature_set, fold, n, TRUE AS fits_train, TRUE AS scores_in_range FROM (
+  SELECT fold, count(*) AS n FROM nodes JOIN lineup USING (season, provider, player_id) JOIN folds USING (game_id)
+  WHERE fold <> 'unused' GROUP BY 1)"""))
 def role_ablation(spark, sf):
     from pitchloom.plans.threat_plans import full_features
 
     rows = FE.role_features(full_features(spark, sf), directory(spark, sf)).drop("fine_position")
-    return X.round_report(M.role_ablation(SP.assign_fold(rows, split(spark, sf)), max_iter=25))
+    edges = N.match_networks(passes(spark, sf))[1]
+    table = M.role_ablation(SP.assign_fold(rows, split(spark, sf)), edges)
+    # Trained on four classes: better than a coin of four sides on its own rows.
+    return table.select(
+        "feature_set", "fold", "n", ((F.col("fold") != "train") | (F.col("accuracy") > 0.25)).alias("fits_train"),
+        (F.col("accuracy").between(0.0, 1.0) & (F.col("log_loss") > 0)).alias("scores_in_range"))
+
+
+FRACTIONS = (0.0625, 0.125, 0.25, 0.5, 0.75, 1.0)
 
 
-@q("learning_curve_j11")
+@q("learning_curve_j11", with_sql(["outcomes", "folds", "windows"], f"""
+SELECT model, fraction, draw, wanted AS n_matches, n, TRUE AS loss_in_range
+FROM (SELECT unnest(['B0', 'B1', 'B2']) AS model), (SELECT unnest([{', '.join(f'{f}e0' for f in FRACTIONS)}]) AS fraction),
+  (SELECT unnest([0, 1, 2]) AS draw), (SELECT count(*) AS n {MATCH_ROWS} WHERE fold = 'test'), LATERAL (
+  SELECT CAST(least(greatest(floor(fraction * size + 0.5), 20), size) AS BIGINT) AS wanted, size
+  FROM (SELECT count(*) AS size FROM outcomes JOIN folds USING (game_id) WHERE fold = 'train'))
+WHERE wanted < size OR draw = 0"""))
 def learning_curve(spark, sf):
-    curve = M.learning_curve(folded_states(spark, sf), (0.5, 1.0), draws=2, rungs=("B0",), least=10)
-    return X.round_report(M.curve_verdict(curve))
+    curve = M.learning_curve(folded_states(spark, sf), FRACTIONS)
+    return curve.select(
+        "model", "fraction", "draw", "n_matches", "n", F.col("log_loss").between(0.0, 35.0).alias("loss_in_range"))
 
 
-@q("pooled_vs_single_j12")
+@q("pooled_vs_single_j12", with_sql(["outcomes", "folds", "windows"], f"""
+{_slope_sql('single', S.B1_FEATURES, "fold = 'train' AND provider = 'alpha'")}
+UNION ALL {_slope_sql('pooled', S.B1_FEATURES, "fold = 'train'")}"""))
 def pooled_vs_single(spark, sf):
-    rows = M.pooled_vs_single(corpora(spark, sf), "alpha", S.B0_FEATURES)
-    return X.round_report(K.paired_difference(rows, "pooled", "single", 200))
+    _, own, everyone = M.pooled_fits(corpora(spark, sf), "alpha")
+    return _slopes("single", own).unionByName(_slopes("pooled", everyone))
+
+
+def axes_report(placed, column, parts):
+    """(component, length, how far from right angles with the others, share of variance is that of the placed
+    rows, and falls)."""
+    spread = placed.select(F.posexplode(column).alias("component", "_x")).groupBy("component").agg(
+        F.var_samp("_x").alias("variance"))
+    others = parts.select(F.col("component").alias("_o"), F.col("weights").alias("_w"))
+    # A few dozen components.
+    crossed = parts.join(others, F.col("component") != F.col("_o")).groupBy("component").agg(
+        F.max(F.abs(V.dot("weights", "_w"))).alias("slant"))
+    total = parts.join(spread, "component").agg((F.sum("variance") / F.sum("share")).alias("_total"))
+    table = attach_row(parts.join(spread, "component").join(crossed, "component"), total)
+    return table.select(
+        "component", F.round(V.dot("weights", "weights"), 6).alias("length"), (F.round("slant", 6) + 0.0).alias("slant"),
+        "variance", (F.abs(F.col("variance") - F.col("share") * F.col("_total")) <= 1e-6 * F.col("_total")).alias("share_holds"))
+
+
+@q("sequence_embedding_j13", "SELECT CAST(unnest(range(32)) AS INTEGER) AS component, 1e0 AS length, 0e0 AS slant, TRUE AS share_holds")
+def sequence_embedding(spark, sf):
+    rows = staged(chained(spark, sf))
+    placed, parts = M.sequence_embedding(staged(C.chain_sequences(rows, C.chain_table(rows))))
+    return axes_report(placed, "embedding", parts).drop("variance")
 
 
-@q("sequence_embedding_j13")
-def sequence_embedding(spark, sf):
-    rows = chained(spark, sf)
-    table = M.sequence_embedding(C.chain_sequences(rows, C.chain_table(rows)), k=8)
-    return table.select("game_id", "possession_id", F.size("embedding").alias("dims"))
+# The variance along the first two axes, from powers of the covariance matrix: squared 40 times for the
+# first axis, and again with that axis taken out for the second.
+CTES["cov"] = (("scaled",), """
+SELECT x.i AS a, y.i AS b, sum(x.z * y.z) / (count(*) - 1) AS v FROM scaled x JOIN scaled y USING (vec_id) GROUP BY 1, 2""")
+
+
+def _powers(name, matrix):
+    CTES[f"{name}_powers"] = ((matrix,), f"""
+SELECT 0 AS step, a, b, v FROM {matrix}
+UNION ALL SELECT step + 1, a, b, v / max(abs(v)) OVER () FROM (
+  SELECT x.step, x.a, y.b, sum(x.v * y.v) AS v FROM {name}_powers x JOIN {name}_powers y ON y.a = x.b WHERE x.step < 40 GROUP BY 1, 2, 3)""")
+    CTES[f"{name}_axis"] = ((f"{name}_powers",), f"""
+SELECT b AS i, w / sqrt(sum(w * w) OVER ()) AS w FROM (
+  SELECT b, sum(v * (1 + a / 97e0)) AS w FROM {name}_powers WHERE step = 40 GROUP BY 1)""")
+    CTES[f"{name}_value"] = ((f"{name}_axis", matrix), f"""
+SELECT sum(c.v * x.w * y.w) AS v FROM {matrix} c JOIN {name}_axis x ON x.i = c.a JOIN {name}_axis y ON y.i = c.b""")
+
+
+_powers("axis1", "cov")
+CTES["cov2"] = (("cov", "axis1_axis", "axis1_value"), """
+SELECT a, b, c.v - l.v * x.w * y.w AS v FROM cov c JOIN axis1_axis x ON x.i = c.a JOIN axis1_axis y ON y.i = c.b, axis1_value l""")
+_powers("axis2", "cov2")
 
 
-@q("projection_j14")
+@q("projection_j14", with_sql(["axis1_value", "axis2_value"], """
+SELECT CAST(0 AS INTEGER) AS component, 1e0 AS length, 0e0 AS slant, round(v, 4) AS variance, TRUE AS share_holds FROM axis1_value
+UNION ALL SELECT 1, 1e0, 0e0, round(v, 4), TRUE FROM axis2_value"""))
 def projection(spark, sf):
-    table = M.projection(vectors(spark, sf), "embedding")
-    return table.select("vec_id", F.size("projection").alias("dims"))
+    placed, parts = M.projection(vectors(spark, sf), "embedding")
+    return axes_report(staged(placed), "projection", parts).withColumn("variance", F.round("variance", 4))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchloom.runtime import checkpoint_dir
+from pitchloom.runtime import checkpoint_dir, staged
 
 # Fixed values of the format: the magic numbers of the dictionary's frame, of plain skippable frames
 # (the last four bits are free) and of compressed frames.
@@ -38,10 +38,25 @@ DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 16
 
 
-def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages, chosen by a hash of the id; empty if too few."""
+def train_dictionary(pages: DataFrame, digests: DataFrame | None = None) -> bytes:
+    """A dictionary from a bounded sample of pages, chosen by a hash of id and payload; empty if too few.
+
+    The hash below which the sample lies comes from the small table of digests, so only the sampled
+    pages' first bytes leave a task.
+    """
+    digests = page_digests(pages) if digests is None else digests
+    order = F.xxhash64("page_id", "_sha1")
+    # Three times the rows wanted lie below this share of all hashes.
+    share = min(1.0, 3.0 * SAMPLE_ROWS / max(1, digests.count()))
+    below = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
+    limit = (
+        digests.select(order.alias("h")).where(F.col("h") <= below).orderBy("h").limit(SAMPLE_ROWS)
+        .agg(F.max("h")).first()[0]
+    )
+    if limit is None:
+        return b""
     sample = (
-        pages.orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
+        _keyed(pages).where(order <= limit)
         .select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("part"))
         .limit(SAMPLE_ROWS).collect()
     )
@@ -140,28 +155,47 @@ def records(archive: bytes):
         at = end - len(frame.unused_data)
 
 
-def plan_records(pages: DataFrame, least_revisit_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html) with the digest and, for revisits, refers_to.
+def _keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url and html (null: empty) with the payload's digest and a key of id and digest."""
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn(
+        "_sha1", F.sha1(F.encode("html", "utf-8"))
+    ).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "_sha1"))
+
+
+def page_digests(pages: DataFrame) -> DataFrame:
+    """(page_id, _sha1, _key, _bytes) of every page, written out: all that is decided on."""
+    return staged(_keyed(pages).select("page_id", "_sha1", "_key", F.octet_length("html").alias("_bytes")))
+
+
+def plan_records(pages: DataFrame, least_revisit_bytes: int = LEAST_REVISIT_BYTES,
+                 partitions: int | None = None, digests: DataFrame | None = None) -> DataFrame:
+    """``pages`` (page_id, url, html) with refers_to, which is null for responses.
 
     Of equal payloads of at least so many bytes the one with the largest page_id is the response.
     Rows that repeat the largest page_id are all responses, as are equal payloads of null ids only.
+    Revisits are found on ids and digests; the payloads then move once, to the partition of their
+    id and digest, so a payload that very many pages share is spread.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html")).withColumn(
-        "_sha1", F.sha1(F.encode("html", "utf-8")))
-    firsts = rows.select("page_id", "_sha1").groupBy("_sha1").agg(F.max("page_id").alias("_first"))
-    found = rows.join(firsts, "_sha1")
+    digests = page_digests(pages) if digests is None else digests
+    firsts = digests.groupBy("_sha1").agg(F.max("page_id").alias("_first"))
     # A null id is never the largest, so it is a revisit where any other page has the payload.
-    again = (F.octet_length("html") >= least_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return found.select("page_id", "url", "html", F.when(again, F.col("_first")).alias("refers_to"))
+    again = (F.col("_bytes") >= least_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    revisits = (
+        digests.dropDuplicates(["_key"]).join(firsts, "_sha1").where(again)
+        .select("_key", F.col("_first").alias("refers_to"))
+    )
+    rows = _keyed(pages).drop("_sha1")
+    dealt = rows.repartition(partitions, "_key") if partitions else rows.repartition("_key")
+    return dealt.join(revisits.hint("shuffle_hash"), "_key", "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = LEAST_REVISIT_BYTES,
                    archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> None:
     """Write ``pages`` as archives below ``path``; each task writes one archive, frame by frame."""
     spark = pages.sparkSession
-    dictionary = train_dictionary(pages)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    digests = page_digests(pages)
+    dictionary = train_dictionary(pages, digests)
+    total = digests.agg(F.sum("_bytes")).first()[0] or 0
     partitions = max(spark.sparkContext.defaultParallelism, -(-total // archive_bytes))
 
     def frames(batches):
@@ -184,10 +218,9 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = LEAST
     def _batch(values):
         return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
-    planned = plan_records(pages, least_revisit_bytes)
-    dealt = planned.repartition(partitions, F.xxhash64("page_id", "url"))
+    planned = plan_records(pages, least_revisit_bytes, partitions, digests)
     (
-        dealt.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
+        planned.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
         .write.option("lineSep", SEPARATOR.decode("latin-1")).option("compression", "none").text(path)
     )
 

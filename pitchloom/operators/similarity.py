@@ -6,11 +6,14 @@ Mean cosines over pairs come from sums of unit vectors: the mean over all pairs
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pitchloom.runtime import attach_row
+from pitchloom.runtime import attach_row, staged
 
 SMALL_NORM = 1e-9
 SMALL_SPREAD = 1e-6
@@ -144,3 +147,101 @@ def nearest(
         attach_row(others, one).withColumn("cosine", dot("_u", "_q"))
         .orderBy(F.desc("cosine"), key).limit(k).drop("_u", "_q", "scaled")
     )
+
+
+# --- neighbours of every row -------------------------------------------------------------
+
+# Hash tables of the neighbour search, rows aimed at in a bucket, and rows of a bucket one task compares
+# with each other at once.
+TABLES, BUCKET_ROWS, CHUNK_ROWS = 16, 400, 2_048
+COSINE_DIGITS = 9
+
+
+def centroids(df: DataFrame, keys, column: str, least: int = 10) -> DataFrame:
+    """(keys, ``centroid``, n): mean standardised vector of each group of at least ``least`` rows."""
+    means = mean_vectors(standardise(df, column), keys, "scaled", "centroid")
+    return means.where(F.col("n") >= least)
+
+
+def nearest_all(
+    df: DataFrame, key: str, column: str, k: int = 10, other: str | None = None, scale: bool = True,
+    tables: int = TABLES, seed: int = 0,
+) -> DataFrame:
+    """(key, place, neighbour, cosine): the k rows most similar to every row, itself left out.
+
+    Vectors are standardised (``scale``) and of unit length. Random planes through the origin give each
+    row one bucket in every table; rows that share a bucket are compared by whole cosines, so what is
+    listed is exact, and a neighbour is missed only if no table has both in a bucket. A table has so
+    many planes that a bucket holds about ``BUCKET_ROWS`` rows; up to that many rows all are
+    compared. Larger buckets are cut into chunks, and all pairs of a bucket's chunks meet. With
+    ``other`` neighbours have another value in that column. Cosines are compared on nine decimals,
+    equal ones by key. Rows without a vector are left out; a zero vector has cosine 0 with all.
+    """
+    rows = standardise(df, column) if scale else df.withColumn("scaled", clean_vector(column))
+    group = F.col(other) if other else F.lit(None).cast("string")
+    rows = staged(rows.where(F.col(column).isNotNull()).select(
+        F.col(key).alias("key"), group.cast("string").alias("g"), unit("scaled").alias("u")))
+    n = rows.count()
+    first = rows.select(F.size("u").alias("d")).first()
+    planes = max(0, (n // BUCKET_ROWS).bit_length() - 1) if n > BUCKET_ROWS else 0
+    number = tables if planes else 1
+    normals = np.random.default_rng(seed).normal(size=(number, max(1, planes), first["d"] if first else 1))
+    powers = 1 << np.arange(max(1, planes), dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        if not planes or not len(vectors):
+            return pd.Series([[0]] * len(vectors))
+        side = np.einsum("nd,tpd->ntp", np.stack(list(vectors)), normals) > 0
+        return pd.Series(list(side @ powers))
+
+    placed = staged(rows.select("*", F.posexplode(buckets("u")).alias("table", "bucket")))
+    where = ["table", "bucket"]
+    sizes = placed.groupBy(*where).count().select(
+        *where, F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
+    # At most about CHUNK_ROWS rows in a list, however many share a bucket.
+    packed = staged(
+        placed.join(sizes, where)
+        .withColumn("chunk", F.pmod(F.xxhash64("key", "table"), F.col("chunks")).cast("int"))
+        .groupBy(*where, "chunks", "chunk").agg(F.collect_list(F.struct("key", "g", "u")).alias("mine"))
+    )
+    others = packed.select(
+        *where, F.col("mine").alias("others"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def compare(batches):
+        for batch in batches:
+            for mine, theirs in zip(batch.column(0), batch.column(1)):
+                mine, theirs = mine.values, theirs.values
+                ids, far = mine.field("key").to_pylist(), theirs.field("key").to_pylist()
+                u, v = (np.asarray(x.field("u").flatten().to_numpy(), float).reshape(len(x), -1) for x in (mine, theirs))
+                order = sorted(range(len(far)), key=lambda i: far[i])
+                v, far = v[order], np.array(far, dtype=object)[order]
+                here = np.array(mine.field("g").to_pylist(), dtype=object)
+                there = np.array(theirs.field("g").to_pylist(), dtype=object)[order]
+                found = []
+                for start in range(0, len(ids), 256):
+                    cosine = np.round(u[start:start + 256] @ v.T, COSINE_DIGITS)
+                    own = np.array(ids[start:start + 256], dtype=object)
+                    barred = own[:, None] == far[None]
+                    if other:
+                        barred |= here[start:start + 256, None] == there[None]
+                    cosine[barred.astype(bool)] = -np.inf
+                    # Stable, and the others are in the order of their keys.
+                    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                    top = np.take_along_axis(cosine, best, axis=1)
+                    row, place = np.nonzero(np.isfinite(top))
+                    found.append((own[row], far[best[row, place]], top[row, place]))
+                columns = [np.concatenate(c) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0].tolist(), mine.field("key").type), pa.array(columns[1].tolist(), mine.field("key").type),
+                     pa.array(columns[2].astype(float))], names=["key", "neighbour", "cosine"])
+
+    met = packed.join(others, [*where, "chunk"]).select("mine", "others").mapInArrow(
+        compare, f"key {kind}, neighbour {kind}, cosine double")
+    ranked = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
+    # At most k rows for each row, table and chunk reach the ranking.
+    return (
+        met.dropDuplicates(["key", "neighbour"]).withColumn("place", F.row_number().over(ranked))
+        .where(F.col("place") <= k).select(F.col("key").alias(key), "place", "neighbour", "cosine")
+    )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions import expressions as X
 from pitchloom.operators.network import lane_passes
-from pitchloom.runtime import durable
+from pitchloom.runtime import durable, staged
 
 
 class ThreatError(ValueError):
@@ -150,21 +150,26 @@ def threat_lanes(rated: DataFrame, keys=S.NETWORK_KEYS) -> DataFrame:
 def attach_threat(
     edges: DataFrame, rated: DataFrame, keys=S.NETWORK_KEYS, check: bool = True
 ) -> DataFrame:
-    """Stored edges plus ``xt_weight``; refuses a join that does not line up."""
+    """Stored edges plus ``xt_weight``; refuses a join that does not line up.
+
+    With ``check`` the rows are counted while the result is written out, so the check costs no pass of its
+    own and what was checked is what is returned.
+    """
     on = [*keys, "source", "target"]
     lanes = threat_lanes(rated, keys).withColumnRenamed("weight", "_recount")
-    joined = edges.join(lanes, on, "left")
-    if check:
-        stats = joined.agg(
-            F.count(F.lit(1)).alias("rows"),
-            X.tally(F.col("_recount").isNull()).alias("unmatched"),
-            X.tally(F.col("_recount") != F.col("weight")).alias("uneven"),
-        ).first()
-        before = edges.count()
-        if stats["rows"] != before:
-            raise ThreatError(f"threat join changed the row count from {before} to {stats['rows']}")
-        if stats["unmatched"] or stats["uneven"]:
-            raise ThreatError(
-                f"{stats['unmatched']} edges without a lane, {stats['uneven']} with another count"
-            )
+    if not check:
+        return edges.join(lanes, on, "left").drop("_recount")
+    given, seen = Observation(), Observation()
+    joined = staged(
+        edges.observe(given, F.count(F.lit(1)).alias("rows")).join(lanes, on, "left").observe(
+            seen, F.count(F.lit(1)).alias("rows"), X.tally(F.col("_recount").isNull()).alias("unmatched"),
+            X.tally(F.col("_recount") != F.col("weight")).alias("uneven"))
+    )
+    before, stats = given.get["rows"], seen.get
+    if stats["rows"] != before:
+        raise ThreatError(f"threat join changed the row count from {before} to {stats['rows']}")
+    if stats["unmatched"] or stats["uneven"]:
+        raise ThreatError(
+            f"{stats['unmatched']} edges without a lane, {stats['uneven']} with another count"
+        )
     return joined.drop("_recount")

@@ -318,6 +318,35 @@ def cosine_top_k(spark, sf):
     return X.round_report(best.select("vec_id", "label", "cosine"))
 
 
+@q("cosine_all_k15", with_sql("unit_vec", f"""
+SELECT vec_id, place, neighbour, {r('c', 'cosine')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour) AS place FROM (
+    SELECT x.vec_id, y.vec_id AS neighbour, round(sum(x.u * y.u), {V.COSINE_DIGITS}) AS c FROM unit_vec x
+    JOIN unit_vec y ON x.i = y.i AND x.vec_id <> y.vec_id GROUP BY 1, 2)) WHERE place <= 5"""))
+def cosine_all(spark, sf):
+    return X.round_report(V.nearest_all(vectors(spark, sf), "vec_id", "embedding", 5))
+
+
+CTES["label_centroids"] = (("scaled",), """
+SELECT label || '/' || provider AS who, provider, i, avg(z) AS m FROM (
+  SELECT *, CASE WHEN vec_id % 2 = 0 THEN 'alpha' ELSE 'beta' END AS provider FROM scaled) GROUP BY 1, 2, 3 HAVING count(*) >= 10""")
+CTES["unit_centroids"] = (("label_centroids",), "SELECT *, m / sqrt(sum(m * m) OVER (PARTITION BY who)) AS u FROM label_centroids")
+
+
+@q("nearest_centroids_k15", with_sql("unit_centroids", f"""
+SELECT who, place, neighbour, {r('c', 'cosine')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY who ORDER BY c DESC, neighbour) AS place FROM (
+    SELECT x.who, y.who AS neighbour, round(sum(x.u * y.u), {V.COSINE_DIGITS}) AS c FROM unit_centroids x
+    JOIN unit_centroids y ON x.i = y.i AND x.provider <> y.provider GROUP BY 1, 2)) WHERE place <= 10"""))
+def nearest_centroids(spark, sf):
+    """For every label of at least ten rows the most similar ones of the other provider."""
+    rows = vectors(spark, sf).withColumn(
+        "provider", F.when(F.col("vec_id") % 2 == 0, "alpha").otherwise("beta")
+    ).withColumn("who", F.concat_ws("/", F.col("label").cast("string"), "provider"))
+    table = V.centroids(rows, ["who", "provider"], "embedding")
+    return X.round_report(V.nearest_all(table, "who", "centroid", 10, other="provider", scale=False))
+
+
 @q("compare_representations_k16", with_sql("by_model", f"""
 SELECT representation, k, {r('log_loss', 'log_loss')} FROM (
   SELECT model AS representation, CAST(4 AS INTEGER) AS k, log_loss FROM by_model

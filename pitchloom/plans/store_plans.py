@@ -55,9 +55,26 @@ def write_actions(spark, sf):
 SELECT game_id, provider, home_score FROM games WHERE provider = 'alpha'
 UNION ALL SELECT game_id, provider, 9 FROM games WHERE provider = 'beta'"""))
 def upsert_games(spark, sf):
+    """An index is written, one provider's matches are rebuilt, and the new version is read."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/games-{uuid.uuid4().hex}"
     games = read_games(spark, sf)
-    fresh = games.where(F.col("provider") == "beta").withColumn("home_score", F.lit(9))
-    return A.upsert_by_provider(games, fresh).select("game_id", "provider", "home_score")
+    A.upsert_games(spark, path, games)
+    A.upsert_games(spark, path, games.where(F.col("provider") == "beta").withColumn("home_score", F.lit(9)))
+    return A.read_games_index(spark, path).select("game_id", "provider", "home_score")
+
+
+@q("stream_store_a2", with_sql("chained", """
+SELECT action_id, game_id, recipient_id, possession_id, possession_team_id FROM chained"""))
+def stream_store(spark, sf):
+    """Recipients and possessions of actions read from a store that is dealt by match."""
+    import uuid
+
+    root = f"{checkpoint_dir(spark)}/streams-{uuid.uuid4().hex}"
+    A.write_streams(read_actions(spark, sf), root)
+    return Q.annotate_actions(A.scan_streams(spark, root)).select(
+        "action_id", "game_id", "recipient_id", "possession_id", "possession_team_id")
 
 
 @q("store_inventory_a4", with_sql("actions", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from pitchloom import schema as S
 from pitchloom.functions.hashing import mix
@@ -13,6 +13,10 @@ from pitchloom.operators.ordering import POSITION, dense_position
 from pitchloom.runtime import GROUP_ROW_LIMIT, split_by_size
 
 
+# Where the stream layout keeps its number of buckets; names with an underscore are no data to Spark.
+LAYOUT = "_layout"
+
+
 class StoreError(ValueError):
     """The table is not canonical, or nothing matches the request."""
 
@@ -24,9 +28,9 @@ def _bounds():
         yield axis, low, limit + S.BOUNDS_SLACK
 
 
-def canonical_faults(actions: DataFrame) -> DataFrame:
-    """One row: how many values break each rule, in one pass."""
-    return actions.agg(
+def _fault_counts():
+    """Aggregates: rows, and how many values break each rule."""
+    return [
         F.count(F.lit(1)).alias("rows"),
         X.tally(F.col("period_id").isNull()).alias("null_period"),
         X.tally(F.col("time_seconds") < 0).alias("negative_time"),
@@ -34,28 +38,133 @@ def canonical_faults(actions: DataFrame) -> DataFrame:
             X.tally((F.col(axis) < low) | (F.col(axis) > high)).alias(f"{axis}_out_of_pitch")
             for axis, low, high in _bounds()
         ],
-    )
+    ]
 
 
-def validate_canonical(actions: DataFrame, context: str = "actions") -> DataFrame:
-    """Raise when a column is missing or a value breaks a rule; return the table otherwise."""
-    missing = [c for c in S.CANONICAL_COLUMNS if c not in actions.columns]
+def canonical_faults(actions: DataFrame) -> DataFrame:
+    """One row: how many values break each rule, in one pass."""
+    return actions.agg(*_fault_counts())
+
+
+def _require_columns(actions: DataFrame, context: str, derived=()) -> None:
+    missing = [c for c in S.CANONICAL_COLUMNS if c not in actions.columns and c not in derived]
     if missing:
         raise StoreError(f"{context}: missing columns {missing}")
-    faults = canonical_faults(actions).first().asDict()
+
+
+def _require_sound(faults: dict, context: str) -> None:
     broken = {k: v for k, v in faults.items() if k != "rows" and v}
     if broken:
         raise StoreError(f"{context}: {broken}")
+
+
+def validate_canonical(actions: DataFrame, context: str = "actions") -> DataFrame:
+    """Raise when a column is missing or a value breaks a rule; return the table otherwise."""
+    _require_columns(actions, context)
+    _require_sound(canonical_faults(actions).first().asDict(), context)
     return actions
 
 
+# --- folders -----------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path object) of a folder on any file system Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename, and raise where the file system only says that it did not."""
+    files, path = _files(spark, source)
+    if not files.rename(path, _files(spark, target)[1]):
+        raise StoreError(f"{source} could not be moved to {target}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, target = _files(spark, path)
+    return files.exists(target)
+
+
 def write_actions(actions: DataFrame, root: str) -> None:
-    """Validate, then replace only the season/provider partitions that are present."""
-    validate_canonical(actions)
+    """Validate, then replace only the season/provider partitions that are present.
+
+    One job: the rules are counted while the rows are written beside the store. Rows that break a rule
+    are discarded with the error, and the store stays as it was; otherwise each partition takes the
+    place of the old one, which is removed last.
+    """
+    _require_columns(actions, "actions")
+    spark = actions.sparkSession
+    seen = Observation()
+    pending = f"{root.rstrip('/')}-pending-{uuid.uuid4().hex}"
+    actions.observe(seen, *_fault_counts()).write.partitionBy("season", "provider").parquet(pending)
+    try:
+        _require_sound(seen.get, "actions")
+    except StoreError:
+        _remove(spark, pending)
+        raise
+    files, top = _files(spark, pending)
+    parts = [
+        f"{season.getPath().getName()}/{provider.getPath().getName()}"
+        for season in files.listStatus(top) if season.isDirectory()
+        for provider in files.listStatus(season.getPath()) if provider.isDirectory()
+    ]
+    for part in parts:
+        new, old, aside = f"{pending}/{part}", f"{root.rstrip('/')}/{part}", f"{pending}/_old/{part}"
+        files.mkdirs(_files(spark, old)[1].getParent())
+        if _exists(spark, old):
+            files.mkdirs(_files(spark, aside)[1].getParent())
+            _move(spark, old, aside)
+        try:
+            _move(spark, new, old)
+        except StoreError:
+            if _exists(spark, aside):
+                _move(spark, aside, old)
+            raise
+    _remove(spark, pending)
+    spark.catalog.refreshByPath(root)
+
+
+# --- stream layout -----------------------------------------------------------------------
+
+
+def write_streams(actions: DataFrame, root: str, buckets: int = 64) -> None:
+    """Write actions so that each match lies in one bucket, in its order: operators that go along a match
+    then read it where it is. The rules are counted on the write, as in ``write_actions``; recipients
+    and possessions may still be missing."""
+    _require_columns(actions, "actions", ("recipient_id", "recipient_confident", "possession_id"))
+    spark = actions.sparkSession
+    seen, name = Observation(), f"streams_{uuid.uuid4().hex}"
     (
-        actions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("season", "provider").parquet(root)
+        actions.observe(seen, *_fault_counts())
+        .repartition(buckets, "game_id").write.format("parquet").option("path", root)
+        .bucketBy(buckets, "game_id").sortBy("game_id", *S.ACTION_ORDER).saveAsTable(name)
     )
+    spark.sql(f"DROP TABLE {name}")
+    try:
+        _require_sound(seen.get, "actions")
+    except StoreError:
+        _remove(spark, root)
+        raise
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{root.rstrip('/')}/{LAYOUT}")
+
+
+def scan_streams(spark: SparkSession, root: str) -> DataFrame:
+    """Actions of ``write_streams``, known to be dealt by match."""
+    root = root.rstrip("/")
+    buckets = spark.read.schema("buckets int").json(f"{root}/{LAYOUT}").first()["buckets"]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(root).schema)
+    name = f"streams_{uuid.uuid4().hex}"
+    order = ", ".join(("game_id", *S.ACTION_ORDER))
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (game_id) SORTED BY ({order}) "
+        f"INTO {buckets} BUCKETS LOCATION '{root}'")
+    return spark.table(name)
 
 
 def scan_actions(
@@ -63,14 +172,21 @@ def scan_actions(
 ) -> DataFrame:
     """Read with a fixed schema; the restrictions prune directories."""
     rows = spark.read.schema(S.ACTION_SCHEMA).parquet(root)
-    for column, value in (("season", season), ("provider", provider)):
-        if value is not None:
-            rows = rows.where(F.col(column) == value)
-    if rows.isEmpty():
+    wanted = {column: value for column, value in (("season", season), ("provider", provider)) if value is not None}
+    for column, value in wanted.items():
+        rows = rows.where(F.col(column) == value)
+    # The folders alone tell whether a partition is there; no row is read for it.
+    if not _partitions(spark, root, wanted):
         raise StoreError(f"no actions for season={season} provider={provider} under {root}")
     return rows
 
 
+def _partitions(spark: SparkSession, root: str, wanted: dict) -> bool:
+    files, top = _files(spark, root)
+    pattern = "/".join(f"{column}={wanted.get(column, '*')}" for column in ("season", "provider"))
+    return bool(len(files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, f"{pattern}/*.parquet")) or []))
+
+
 def upsert_by_provider(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of rebuilt providers replaced, other providers kept."""
     rebuilt = fresh.select("provider").distinct()
@@ -78,20 +194,61 @@ def upsert_by_provider(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_games(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """Rewrite a match index. The new index is written beside the old one and then takes its place,
-    so a failure loses neither; an index that cannot be read raises and stays as it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(target):
-        fresh.write.parquet(path)
-        return
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    upsert_by_provider(spark.read.parquet(path), fresh).write.parquet(beside)
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}-old")
-    files.rename(target, old)
-    files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target)
-    files.delete(old, True)
-    spark.catalog.refreshByPath(path)
+    """Rewrite a match index below ``path``, in which every version has its own folder.
+
+    The new version is written whole; then a pointer to it is put down under the next number, in one
+    rename that fails if that number is taken. Until then readers see the old version, after it the
+    new one. Versions before the last two are removed at the end.
+    """
+    path = path.rstrip("/")
+    number = _current(spark, path)
+    if number is None and _exists(spark, path):
+        files, target = _files(spark, path)
+        names = [status.getPath().getName() for status in files.listStatus(target)]
+        # Versions without a pointer are what a failed first write leaves behind.
+        if any(not name.startswith(("version-", "draft-", ".")) for name in names):
+            raise StoreError(f"{path} holds files that are no match index")
+    rows = fresh if number is None else upsert_by_provider(read_games_index(spark, path), fresh)
+    version = f"version-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    nxt = 0 if number is None else number + 1
+    draft = f"{path}/draft-{version}"
+    files, target = _files(spark, draft)
+    out = files.create(target)
+    out.write(bytearray(version.encode()))
+    out.close()
+    pointer = f"{path}/current-{nxt:09d}"
+    if _exists(spark, pointer):
+        raise StoreError(f"another writer has put down {pointer}")
+    _move(spark, draft, pointer)
+    for old in _pointers(spark, path)[:-2]:
+        _remove(spark, f"{path}/{_pointed(spark, path, old)}")
+        _remove(spark, f"{path}/current-{old:09d}")
+
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    files, target = _files(spark, path)
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(target, "current-*")) or []
+    return sorted(int(status.getPath().getName().removeprefix("current-")) for status in found)
+
+
+def _current(spark: SparkSession, path: str) -> int | None:
+    numbers = _pointers(spark, path)
+    return numbers[-1] if numbers else None
+
+
+def _pointed(spark: SparkSession, path: str, number: int) -> str:
+    """The folder name in a pointer file: one short line."""
+    return spark.read.text(f"{path}/current-{number:09d}").first()["value"]
+
+
+def read_games_index(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a match index."""
+    path = path.rstrip("/")
+    number = _current(spark, path)
+    if number is None:
+        raise StoreError(f"no match index under {path}")
+    return spark.read.parquet(f"{path}/{_pointed(spark, path, number)}")
 
 
 def inventory(actions: DataFrame) -> DataFrame:

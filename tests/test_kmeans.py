@@ -62,3 +62,38 @@ def test_few_and_equal_rows(spark):
     assert fits.cost[4] == 0.0 and len(fits.centroids[4]) == 4
     with pytest.raises(ValueError):
         KM.fit_runs(df.where("false"), "v", (2,))
+
+
+def test_neighbours_of_every_row(spark, monkeypatch):
+    """All rows of one bucket are exact; many buckets find nine in ten at least."""
+    from pitchloom.operators import similarity as V
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8)) + 2 * rng.normal(size=(30, 8))[rng.integers(0, 30, 900)]
+    x[5] = x[6] = x[7]
+    rows = [(i, f"g{i % 3}", [float(v) for v in x[i]]) for i in range(900)] + [(900, "g0", None), (901, "g1", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>")
+    u = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((2, 8))])
+    cosine = np.round(u @ u.T, V.COSINE_DIGITS)
+    group = np.array([r[1] for r in rows])
+
+    def want(other):
+        out = {}
+        for i in range(len(u)):
+            allowed = [j for j in range(len(u)) if j != i and (not other or group[i] != group[j])]
+            out[i] = sorted(allowed, key=lambda j: (-cosine[i, j], j))[:4]
+        return out
+
+    def found(**options):
+        out = {}
+        for r in V.nearest_all(df, "id", "v", 4, scale=False, **options).orderBy("id", "place").collect():
+            out.setdefault(r["id"], []).append(r["neighbour"])
+        return out
+
+    monkeypatch.setattr(V, "BUCKET_ROWS", 1000)
+    monkeypatch.setattr(V, "CHUNK_ROWS", 300)
+    df = df.na.drop(subset=["v"]).unionByName(df.where("v IS NULL").selectExpr("id", "g", "array_repeat(0D, 8) AS v"))
+    assert found() == want(False) and found(other="g") == want(True)
+    monkeypatch.setattr(V, "BUCKET_ROWS", 60)
+    got, exact = found(), want(False)
+    assert np.mean([len(set(got[i]) & set(exact[i])) / 4 for i in range(900)]) >= 0.9

@@ -29,4 +29,4 @@ def test_unreadable_index_is_kept(spark, tmp_path):
     assert (folder / "notes.txt").read_text() == "not parquet"
     store.upsert_games(spark, str(tmp_path / "new"), fresh)
     store.upsert_games(spark, str(tmp_path / "new"), fresh.withColumn("game_id", F.lit(2).cast("long")))
-    assert [r[0] for r in spark.read.parquet(str(tmp_path / "new")).select("game_id").collect()] == [2]
+    assert [r[0] for r in store.read_games_index(spark, str(tmp_path / "new")).select("game_id").collect()] == [2]

@@ -179,7 +179,74 @@ def test_store_round_trip(spark, tmp_path, sf):
     games = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "game_id long, provider string, v int")
     A.upsert_games(spark, str(tmp_path / "games"), games)
     A.upsert_games(spark, str(tmp_path / "games"), spark.createDataFrame([(3, "b", 9)], games.schema))
-    assert sorted(r["game_id"] for r in spark.read.parquet(str(tmp_path / "games")).collect()) == [1, 3]
+    assert sorted(r["game_id"] for r in A.read_games_index(spark, str(tmp_path / "games")).collect()) == [1, 3]
+
+
+def test_a_failed_index_write_leaves_the_old_or_the_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "games")
+    one = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "game_id long, provider string, v int")
+    two = spark.createDataFrame([(3, "b", 2)], one.schema)
+    read = lambda: sorted(r["game_id"] for r in A.read_games_index(spark, path).collect())
+    A.upsert_games(spark, path, one)
+
+    def refuse(*_):
+        raise A.StoreError("refused")
+
+    # While the new version is written, and when its pointer is put down: the old one stays.
+    with monkeypatch.context() as m:
+        m.setattr(A, "upsert_by_provider", refuse)
+        with pytest.raises(A.StoreError):
+            A.upsert_games(spark, path, two)
+    assert read() == [1, 2]
+    with monkeypatch.context() as m:
+        m.setattr(A, "_move", refuse)
+        with pytest.raises(A.StoreError):
+            A.upsert_games(spark, path, two)
+    assert read() == [1, 2]
+    A.upsert_games(spark, path, two)
+    assert read() == [1, 3]
+    # While old versions are removed: the new one is in place.
+    with monkeypatch.context() as m:
+        m.setattr(A, "_remove", refuse)
+        with pytest.raises(A.StoreError):
+            A.upsert_games(spark, path, spark.createDataFrame([(9, "a", 2)], one.schema))
+    assert read() == [3, 9]
+    for i in range(3):
+        A.upsert_games(spark, path, two)
+    assert read() == [3, 9]
+
+
+def test_unsound_rows_do_not_reach_the_store(spark, tmp_path, sf):
+    from pitchloom.plans.stream_plans import chained
+
+    root, rows = str(tmp_path / "store"), chained(spark, sf)
+    A.write_actions(rows, root)
+    before = A.scan_actions(spark, root).count()
+    with pytest.raises(A.StoreError, match="start_x"):
+        A.write_actions(rows.withColumn("start_x", F.lit(300.0)), root)
+    assert A.scan_actions(spark, root).count() == before
+    # A rewrite of one match's season replaces that season's partition only.
+    season = rows.select("season").first()["season"]
+    part = rows.where(F.col("season") == season).limit(10)
+    A.write_actions(part, root)
+    assert A.scan_actions(spark, root, season=season).count() == 10
+    assert A.scan_actions(spark, root).count() == before - rows.where(F.col("season") == season).count() + 10
+    with pytest.raises(A.StoreError, match="start_x"):
+        A.write_streams(rows.withColumn("start_x", F.lit(300.0)), str(tmp_path / "bad"), 2)
+
+
+def test_streams_are_read_where_they_lie(spark, tmp_path, sf):
+    from pitchloom.operators import chains as C, network as N, sequence as Q
+    from pitchloom.sources.event_actions import read_actions
+
+    root = str(tmp_path / "streams")
+    A.write_streams(read_actions(spark, sf), root, buckets=3)
+    rows = A.scan_streams(spark, root)
+    assert rows.count() == read_actions(spark, sf).count()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for table in (Q.infer_recipients(rows), Q.annotate_actions(rows), *N.windowed_networks(Q.infer_recipients(rows)),
+                  C.chain_table(Q.annotate_actions(rows))):
+        assert "Exchange" not in plan(table)
 
 
 def test_weights_and_alignment(spark):

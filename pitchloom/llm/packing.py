@@ -10,9 +10,11 @@ Sequences of one size are dealt to step groups of equal numbers of tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -29,63 +31,115 @@ LONGEST = TIERS[-1]
 # Tokens of a step group: so many sequences of a size make a step.
 STEP_TOKENS = 1 << 16
 END_ID = 2
-# Tokens of documents that a task packs together, and words whose ids it keeps.
+# Tokens of documents that a task packs together, and words whose ids a worker keeps (about 200 bytes each).
 POOL_TOKENS = 1 << 21
-CACHE_WORDS = 500_000
-MARK = b"~"
+CACHE_WORDS = 690_000
+MARK, SPECIAL = b"~", b"<|"
+# Words of printable ASCII, and how the vocabulary's own pattern (a fixed value of its file) cuts them.
+ASCII_WORD = re.compile(rb"[\x21-\x7e]+")
+PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 TOKENIZER = "word_bpe_49k.json"
 
 
 class WordTokenizer:
     """Ids of whole texts. The vocabulary never merges over white space, so each word between
-    ASCII white space is looked up by itself, and the ids of the first ``CACHE_WORDS`` are kept."""
+    ASCII white space is looked up by itself, in lower case (A-Z), as the vocabulary has it. The ids of
+    words seen lie end to end in one buffer, which is begun anew when it holds ``most`` words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-        # One number object for each id, which all words that hold the id share.
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))
+        self.model = self.tokenizer.model
         self.mark = self._encode(MARK.decode())[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held, self.starts = array("I"), array("q", [0])
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _fresh(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of words, many in one call: a mark, which is one id, stands between them."""
-        found = {w: self._encode(w.decode("utf-8", "replace")) for w in words if MARK in w}
-        words = [w for w in words if w not in found]
-        for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            ids = self._encode((b" " + MARK + b" ").join(some).decode("utf-8", "replace"))
-            cuts = np.flatnonzero(np.array(ids) == self.mark).tolist()
-            found.update(zip(some, (ids[a + 1:b] for a, b in zip([-1, *cuts], [*cuts, len(ids)]))))
-        return found
+    def _hold(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep words whose ids lie end to end in ``ids``, each up to its end."""
+        had = len(self.starts) - 1
+        self.known.update(zip(words, range(had, had + len(words))))
+        self.starts.frombytes((len(self.held) + ends.astype(np.int64)).tobytes())
+        self.held.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Hold the ids of words. Printable ASCII ones are cut into the vocabulary's pieces, whose ids are
+        looked up or worked out one by one; the others go through the tokenizer, many in one call, with a
+        mark, which is one id, between them."""
+        fresh: dict[bytes, list[int]] = {}
+        other = []
+        for word in words:
+            if SPECIAL in word or not ASCII_WORD.fullmatch(word):
+                other.append(word)
+                continue
+            ids: list[int] = []
+            for piece in PIECE.findall(word.lower()):
+                if piece not in fresh:
+                    at = self.known.get(piece)
+                    fresh[piece] = (
+                        [token.id for token in self.model.tokenize(piece.decode())] if at is None
+                        else self.held[self.starts[at]:self.starts[at + 1]].tolist())
+                ids += fresh[piece]
+            fresh[word] = ids
+        new = [word for word in fresh if word not in self.known]
+        if new:
+            self._hold(new, np.array([i for w in new for i in fresh[w]], np.uint32),
+                       np.cumsum([len(fresh[w]) for w in new]))
+        for word in other:
+            if MARK in word:
+                ids = np.array(self._encode(word.decode("utf-8", "replace")), np.uint32)
+                self._hold([word], ids, np.array([len(ids)]))
+        other = [w for w in other if MARK not in w]
+        for at in range(0, len(other), 2000):
+            some = other[at:at + 2000]
+            ids = np.array(self._encode((b" " + MARK + b" ").join(some).decode("utf-8", "replace")), np.uint32)
+            between = ids == self.mark
+            cuts = np.append(np.flatnonzero(between), len(ids))
+            self._hold(some, ids[~between], cuts - np.arange(len(cuts)))
 
     def ids(self, data: bytes) -> np.ndarray:
         parts = []
-        for words in word_slices(data):
-            known = self.known
-            fresh = [w for w in set(words) if w not in known]
-            if fresh:
-                found = self._fresh(fresh)
-                if len(known) + len(found) <= CACHE_WORDS:
-                    numbers = self.numbers
-                    known.update((w, [numbers[i] for i in ids]) for w, ids in found.items())
-                else:
-                    known = {w: found[w] if w in found else known[w] for w in set(words)}
-            parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32))
+        # Special tokens are told apart by case.
+        for words in word_slices(data if SPECIAL in data else data.lower()):
+            which = self._places(words)
+            unknown = np.flatnonzero(which < 0).tolist()
+            if unknown:
+                fresh = {words[at] for at in unknown}
+                if len(self.known) + len(fresh) > self.most:
+                    self._forget()
+                    fresh = set(words)
+                self._learn(list(fresh))
+                which = self._places(words)
+            parts.append(np.frombuffer(self.held, np.uint32)[_spans(np.frombuffer(self.starts, np.int64), which)])
         parts.append(np.array([END_ID], np.uint32))
         return np.concatenate(parts)
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word among those held, -1 for others."""
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
+
+def _spans(starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the ids of words, one word after the other."""
+    first = starts[which]
+    sizes = starts[which + 1] - first
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process; a task frees the ids that it kept when it ends."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def _tokenizer(path: str, most: int) -> WordTokenizer:
+    """One for each worker process, which keeps the ids of words from task to task."""
+    if (path, most) not in _TOKENIZERS:
+        _TOKENIZERS[path, most] = WordTokenizer(path, most)
+    return _TOKENIZERS[path, most]
 
 
 class Packer:
@@ -180,20 +234,22 @@ SCHEMA = (
 )
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = False,
+         cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, text, any others).
 
     start, length: the piece among its document's ids (which end in id 2); offset: its place in the
     sequence; context: the sequence's length; step_id: its step group; with ``with_ids`` also
     the piece's ids, which are the training data. A null or empty text is one end id. Repeated rows
     are packed each. Ids of sequences and steps hold the number of the split that made them.
+    ``cache_words`` bounds the words whose ids a worker keeps between tasks; it changes no result.
     """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     kind = docs.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, {SCHEMA}" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, cache_words)
         first = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         steps: dict[int, list[int]] = {}
@@ -235,7 +291,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
                 if len(rows) > 5_000:
                     yield from flush()
         packer.finish()
-        tokenizer.known.clear()
         yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

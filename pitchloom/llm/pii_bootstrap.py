@@ -281,11 +281,12 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate("_all", start, step, lambda held: F.concat(
         held["out"], F.substring(F.col("text"), held["at"] + 1, F.length("text") - held["at"])))
-    found = find(docs)
+    # The row travels whole, so no column of it can clash with those that are found.
+    found = find(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
     clean = found.withColumn("_clean", F.when(F.size("_all") > 0, text).otherwise(F.col("text")))
     columns = [
         F.col("_clean").alias("text") if c == "text"
-        else F.when(F.size("_all") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-        if c == "n_chars" else F.col(c) for c in docs.columns
+        else F.when(F.size("_all") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")).alias("n_chars")
+        if c == "n_chars" else F.col("_row").getField(c).alias(c) for c in docs.columns
     ]
     return clean.select(*columns)

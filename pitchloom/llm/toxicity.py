@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on hashed character n-grams scaled by naive Bayes ratios.
 
 An n-gram's value in a text is its naive Bayes log-count ratio if the text holds it, else zero, and
-a logistic model weighs these values. The ratios are counted over the labelled texts of the fit. N-grams whose
-ratio is within chance are left out of the model, and texts that repeat count once, so a large group
-of copies cannot pass for evidence.
+a logistic model weighs these values: ratios above zero speak for toxic texts, those below for clean ones.
+The ratios are counted over the labelled texts of the fit. N-grams whose ratio is within chance are left
+out of the model, and texts that repeat count once, so a large group of copies cannot pass for evidence.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pitchloom.llm.common import byte_values, remainder
 from pitchloom.runtime import staged
 
-# Lengths in bytes of the n-grams, and how many hash slots they share.
+# Lengths in code points of the n-grams, and how many hash slots they share.
 LENGTHS = (4, 5, 6)
 SLOTS = 1 << 20
 # Features of the linear model, and the least |ratio| in standard deviations that a feature needs.
@@ -33,7 +33,7 @@ MOST_ROWS, SEED = 40_000, 5
 # Rows of the table of partial counts.
 BLOCKS = 64
 THRESHOLD = 0.7
-# Bytes of text whose n-grams are hashed at once.
+# Characters of text whose n-grams are hashed at once.
 PIECE = 1 << 20
 
 
@@ -51,11 +51,12 @@ def present(data: bytes, wanted: np.ndarray) -> np.ndarray:
 
     White space runs count as one space, and the text's ends as a space.
     """
-    text = b" " + b" ".join(data.lower().split()) + b" "
+    text = (b" " + b" ".join(data.lower().split()) + b" ").decode("utf-8", "replace")
     found = []
     for at in range(0, len(text), PIECE):
         # Neighbouring pieces share what an n-gram over the cut needs.
-        chars = np.frombuffer(text[at:at + PIECE + max(LENGTHS) - 1], np.uint8).astype(np.uint64)
+        part = text[at:at + PIECE + max(LENGTHS) - 1].encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(part, "<u4").astype(np.uint64)
         for n in LENGTHS:
             if len(chars) < n:
                 continue
@@ -100,6 +101,16 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return result.reshape(2, SLOTS)
 
 
+def log_ratios(counts: np.ndarray, clean: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log-count ratio, its size in standard deviations) of each slot, from the texts of both classes that
+    hold it; a slot of fewer than two texts is within chance."""
+    of_clean, of_toxic = counts + SMOOTHING
+    ratio = np.log(of_toxic / (toxic + 2 * SMOOTHING)) - np.log(of_clean / (clean + 2 * SMOOTHING))
+    sigma = np.abs(ratio) / np.sqrt(1 / of_toxic + 1 / of_clean)
+    sigma[counts.sum(axis=0) < 2] = 0
+    return ratio, sigma
+
+
 def fit(labelled: DataFrame) -> Model:
     """A model from (text, toxic 0 or 1). Null labels are left out, equal texts count once.
 
@@ -119,10 +130,7 @@ def fit(labelled: DataFrame) -> Model:
     if not clean or not toxic:
         return Model(np.empty(0, np.int64), np.empty(0), prior)
     counts = _counts(texts)
-    of_clean, of_toxic = counts + SMOOTHING
-    ratio = np.log(of_toxic / (toxic + 2 * SMOOTHING)) - np.log(of_clean / (clean + 2 * SMOOTHING))
-    sigma = np.abs(ratio) / np.sqrt(1 / of_toxic + 1 / of_clean)
-    sigma[(counts.sum(axis=0) < 2) | (ratio <= 0)] = 0
+    ratio, sigma = log_ratios(counts, clean, toxic)
     best = np.argsort(-sigma, kind="stable")[:FEATURES]
     slots = np.sort(best[sigma[best] >= LEAST_SIGMA])
     if not len(slots):
@@ -142,8 +150,8 @@ def fit(labelled: DataFrame) -> Model:
     return Model(slots, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` and ``_score`` in 0 to 1, from ``text`` alone; null reads as empty."""
+def score(docs: DataFrame, model: Model, out: str = "_score") -> DataFrame:
+    """The columns of ``docs`` and ``out`` in 0 to 1, from ``text`` alone; null reads as empty."""
     wanted = np.zeros(SLOTS, bool)
     wanted[model.slots] = True
     shared = docs.sparkSession.sparkContext.broadcast((wanted, model.slots, model.weights, model.bias))
@@ -157,7 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         ]
         return pd.Series(out, dtype="float64")
 
-    return docs.withColumn("_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin("text"))))
+    return docs.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-margin("text"))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:

@@ -32,6 +32,8 @@ BATCH_SLOTS = 1 << 16
 POWER = 0.7
 # Buckets of the order in which a source's documents are placed, and rows aimed at in each.
 LEAST_BUCKETS, BUCKET_ROWS = 256, 20_000
+# Characters aimed at in a file of mixed documents.
+FILE_CHARS = 64 << 20
 # Passes of a document that one step lists.
 PASSES = 4_096
 SEED = 11
@@ -215,11 +217,23 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
 def mixed_documents(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """``docs`` in the order of the mixture, a document once for each pass, with its own columns only.
 
-    Rows are ranged by slot, so each file holds a stretch of the mixture in its order.
+    Rows are placed by two hashes of all their columns; equal rows share them, and one of them then meets
+    all of their places. So texts move twice: to their places, and into the stretch of the
+    mixture that a file holds, in its order.
     """
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    placed = mix(whole, weights, carry=("_row",))
-    ordered = placed.repartitionByRange("slot").sortWithinPartitions("slot", "offset")
+    spark = docs.sparkSession
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text").withColumns(
+        {"_k1": F.xxhash64("_row"), "_k2": F.xxhash64(F.lit(SEED), "_row")})
+    placed = staged(mix(keyed, weights, carry=("_k1", "_k2")).select("_k1", "_k2", "slot", "offset"))
+    slots = (placed.agg(F.max("slot")).first()[0] or 0) + 1
+    files = max(spark.sparkContext.defaultParallelism, slots * BLOCK_CHARS // FILE_CHARS)
+    one = Window.partitionBy("_k1", "_k2").orderBy("_k1")
+    texts = keyed.select("_k1", "_k2", "_row").withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
+    ordered = (
+        texts.hint("merge").join(placed, ["_k1", "_k2"])
+        .repartitionById(files, F.expr(f"CAST(slot * {files} div {slots} AS INT)"))
+        .sortWithinPartitions("slot", "offset")
+    )
     return ordered.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -163,7 +163,7 @@ def test_packing_covers_every_id_once(spark, edges, none):
 
 def test_tokens_by_word_are_those_of_the_text():
     tokenizer = packing.WordTokenizer(packing.public_tokenizers.path(packing.TOKENIZER))
-    for text in ("", "don't <|endoftext|> stop", "Σίσυφος ΣΑΣ.", "a b c\x85d", "é ́x İ ǅ ﬁ", "日本語 12345 ½", "~ a~b ~~", "x  \x00 z​q"):
+    for text in ("", "don't <|endoftext|> stop", "Σίσυφος ΣΑΣ.", "a b c\x85d", "é ́x İ ǅ ﬁ", "日本語 12345 ½", "~ a~b ~~", "x  \x00 z​q", "<|ENDOFTEXT|> A'S 'S's I'LL <|startoftext|>, Don'T"):
         assert tokenizer.ids(text.encode()).tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
@@ -422,6 +422,45 @@ def test_toxicity_on_held_out_labels(spark, sf, edges, none):
     assert toxicity.scored_documents(none, labels).count() == 0
 
 
+def test_toxicity_ratios_match_naive_counts():
+    """Code points, whatever their bytes, and both signs."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abé中😀  "), int(rng.integers(0, 30)))) for _ in range(60)]
+    labels = [int("é" in t and "b" in t) for t in texts]
+
+    def slots_of(text):
+        text = " " + " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), text).split()) + " "
+        out = set()
+        for n in toxicity.LENGTHS:
+            for at in range(len(text) - n + 1):
+                value = n
+                for c in text[at:at + n]:
+                    value = (value * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                out.add((value * 0xD6E8FEB86659FD93 % 2**64) >> 44)
+        return out
+
+    every = np.ones(toxicity.SLOTS, bool)
+    counts = np.zeros((2, toxicity.SLOTS), np.int64)
+    for text, label in zip(texts, labels):
+        assert set(toxicity.present(text.encode(), every).tolist()) == slots_of(text)
+        counts[label, list(slots_of(text))] += 1
+    clean, toxic = labels.count(0), labels.count(1)
+    ratio, sigma = toxicity.log_ratios(counts, clean, toxic)
+    for slot in np.flatnonzero(counts.sum(axis=0))[:200]:
+        want = math.log((counts[1, slot] + 0.5) / (toxic + 1)) - math.log((counts[0, slot] + 0.5) / (clean + 1))
+        assert ratio[slot] == pytest.approx(want)
+        assert (sigma[slot] > 0) == (counts[:, slot].sum() > 1 and want != 0)
+    assert (ratio[sigma > 0] < 0).any() and (ratio[sigma > 0] > 0).any()
+
+
+def test_clean_and_toxic_words_both_weigh(spark):
+    rows = [(f"{'goodword kindly' if i % 2 else 'vilewretch badly'} filler{i % 9} more{i % 7}", 1 - i % 2) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    scores = {r["text"]: r["_score"] for r in toxicity.score(
+        spark.createDataFrame([("goodword",), ("vilewretch",), ("neither",)], "text string"), model).collect()}
+    assert scores["goodword"] < scores["neither"] < scores["vilewretch"]
+
+
 def test_secrets_and_false_positives(spark, edges, none):
     rng = np.random.default_rng(2)
     rows = []
@@ -439,13 +478,69 @@ def test_secrets_and_false_positives(spark, edges, none):
     assert secret_scan.scan(none).count() == 0
 
 
-def test_pipeline_stages_keep_columns_and_take_effect(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    step = pipeline_stages.near_dedup(spark, docs, sf)
-    roots = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert {r["doc_id"] for r in step.collect()} == roots and step.columns == docs.columns
+def planted(spark, folder):
+    """Clean, toxic, copied and personal documents, nulls, and columns with the stages' own names."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(240):
+        words = rng.choice(vocabulary, 60).tolist()
+        toxic = i % 6 == 0
+        rows.append((i, " ".join(words + ["vilewretch scum"] * toxic), "en", f"s{i % 3}"))
+        if i >= 30:
+            labels.append((i, 1, int(toxic)))
+    rows += [(1000 + i, rows[1][1], "en", "s1") for i in range(3)]
+    rows += [(2000, "write to jo.doe@mail.example.org " + " ".join(f"own{i}" for i in range(50)), "en", "s2"), (2001, None, None, None), (2001, None, None, None),
+             (2002, "", "en", "s0"), (2003, "é " * 30_000, "fr", "s0")]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, _score string, _base string, _all string, _row string"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "a", "b", "c", "d") for r in rows], names)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return rows
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    rows = planted(spark, str(tmp_path))
+    texts = {i: t for i, t, *_ in rows}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "personal_data", "mix_sources", "pack_sequences"]
-    packed = corpus_pipeline.run(spark, sf)
-    ids = {r["doc_id"] for r in packed.select("doc_id").distinct().collect()}
-    assert ids and ids <= roots | {r["doc_id"] for r in docs.collect()}
+    kept = pipeline_stages.reject_toxic(spark, docs, str(tmp_path))
+    toxic = {i for i in range(0, 240, 6)}
+    assert kept.columns == names and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in rows if i not in toxic)
+    single = pipeline_stages.near_dedup(spark, common.staged(kept), str(tmp_path))
+    ids = Counter(r["doc_id"] for r in single.collect())
+    # Empty texts share the zero fingerprint, so the smallest of their ids stays, twice.
+    gone = {1000, 1001, 1002, 2002}
+    assert single.columns == names and ids == Counter(i for i, *_ in rows if i not in toxic and i not in gone)
+    clean = pipeline_stages.redact_personal_data(spark, common.staged(single), str(tmp_path))
+    found = {r["doc_id"]: r for r in clean.collect()}
+    assert found[2000]["text"] == texts[2000].replace("jo.doe@mail.example.org", "<EMAIL>")
+    assert found[2000]["n_chars"] == len(found[2000]["text"]) and found[2001]["text"] is None
+    assert all(r["text"] == texts[i] and tuple(r)[5:] == ("a", "b", "c", "d") for i, r in found.items() if i != 2000)
+    mixed = pipeline_stages.mix_sources(spark, common.staged(clean), str(tmp_path))
+    placed = Counter(r["doc_id"] for r in mixed.collect())
+    assert mixed.columns == names and set(placed) == set(ids) and all(placed[i] >= n for i, n in ids.items())
+    assert {(r["doc_id"], r["text"], r["_score"]) for r in mixed.collect()} == {(i, r["text"], "a") for i, r in found.items()}
+    packed = pipeline_stages.pack_sequences(spark, common.staged(mixed), str(tmp_path)).collect()
+    whole = Counter()
+    for r in packed:
+        whole[r["doc_id"]] += r["length"]
+    lengths = {r["doc_id"]: r["doc_tokens"] for r in packed}
+    assert whole == Counter({i: placed[i] * lengths[i] for i in placed})
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == set(ids)
+
+
+def test_pipeline_of_an_empty_table(spark, sf, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_that_are_equal_keep_all_their_places(spark, edges):
+    twice = edges.unionByName(edges)
+    placed = Counter(r["doc_id"] for r in mixing.mix(twice, block_chars=1000).collect())
+    mixed = mixing.mixed_documents(twice)
+    assert Counter(r["doc_id"] for r in mixed.collect()).keys() == placed.keys()
+    assert mixed.columns == edges.columns and mixed.count() >= 2 * edges.count()

@@ -253,10 +253,12 @@ def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``docs``."""
     found = find(docs.select("doc_id", "text")).drop("text")
-    counts = [
-        F.size(F.filter("_base", lambda x, k=number: x["k"] == k)).cast("long").alias(f"n_{kind}")
-        for number, kind in enumerate(KINDS)
-    ]
+
+    def count(number):
+        # One parameter only: a second one would be handed the place in the array.
+        return F.size(F.filter("_base", lambda x: x["k"] == number)).cast("long")
+
+    counts = [count(number).alias(f"n_{kind}") for number, kind in enumerate(KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"),
         _listed(F.col("_all")).alias("spans"))

@@ -18,7 +18,6 @@ from pitchloom.operators.similarity import standardise, sum_vectors
 from pitchloom.runtime import staged
 
 STARTS = 10
-STEPS = 300
 # A run has settled when the squared moves of its centroids are at most this share of the mean variance.
 TOLERANCE = 1e-4
 # Rows, chosen by a hash, among which first centroids are looked for.
@@ -76,7 +75,8 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
              tolerance: float = TOLERANCE) -> Clusterings:
     """Best of several starts for each k on the vectors in ``column`` (no unknown values).
 
-    Every run ends when it has settled, after 300 steps at most. A centroid that loses all rows stays. First
+    Every run ends when it has settled, however many steps that takes: each lowers the cost of the run, and
+    with a tolerance of 0 the last one leaves every row where it is. A centroid that loses all rows stays. First
     centroids come from at most ``SEED_ROWS`` rows; all rows move them. Fewer rows than k repeat some.
     """
     vectors = staged(rows.select(F.col(column).cast("array<double>").alias("x")))
@@ -91,8 +91,9 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
         for k in k_values for start in range(starts)
     ]
     spread = float(sample.var(axis=0).mean())
-    active = list(range(len(runs)))
-    for step in range(STEPS):
+    active, step = list(range(len(runs))), -1
+    while active:
+        step += 1
         stacks = [runs[r]["c"] for r in active]
         ends = np.cumsum([0] + [len(c) for c in stacks])
 
@@ -128,8 +129,6 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
             if moved > tolerance * spread:
                 still.append(r)
         active = still
-        if not active:
-            break
     best = {}
     for run in runs:
         if run["k"] not in best or run["cost"] < best[run["k"]]["cost"]:

@@ -2,7 +2,16 @@
 
 import numpy as np
 
-from pitchloom.operators import similarity as V
+from pitchloom.operators import kmeans as KM, similarity as V
+
+
+def test_runs_are_not_cut_before_they_settle(spark, monkeypatch):
+    monkeypatch.setattr(KM, "STEPS", 1, raising=False)
+    x = np.random.default_rng(3).uniform(size=(200, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    fits = KM.fit_runs(df, "v", (6,), starts=1, tolerance=0.0)
+    label = ((x[:, None] - fits.centroids[6][None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(fits.centroids[6], [x[label == c].mean(axis=0) for c in range(6)])
 
 
 def test_exact_neighbours_miss_nobody(spark, monkeypatch):

@@ -55,6 +55,17 @@ def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum(flat, 0.0)
 
 
+def _whole_distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distances to full precision: where the short way loses digits they are taken again from differences."""
+    size, far = (rows**2).sum(axis=1)[:, None], (others**2).sum(axis=1)
+    square = size - 2 * rows @ others.T + far
+    a, b = np.nonzero(square < 1e-4 * (size + far))
+    for start in range(0, len(a), 50_000):
+        i, j = a[start:start + 50_000], b[start:start + 50_000]
+        square[i, j] = ((rows[i] - others[j]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
 def _first_centroids(sample: np.ndarray, k: int, rng) -> np.ndarray:
     """Rows of the sample, each drawn with a chance that grows with its squared distance to those before."""
     chosen = [sample[rng.integers(len(sample))]]
@@ -150,8 +161,8 @@ def silhouettes(rows: DataFrame, vector: str, clusters: str, sizes: list[int]) -
     """(place, silhouette): mean silhouette of each of the clusterings in an array column.
 
     ``sizes`` gives the number of clusters of each. Exact over all rows: rows are dealt into blocks
-    of about ``BLOCK_ROWS``, and pairs of blocks leave sums of distances from each row to each
-    cluster. A row alone in its cluster has 0; a clustering with fewer than two filled clusters null.
+    of about ``BLOCK_ROWS``, and each pair of blocks leaves sums of distances from each of its rows to each
+    cluster of the other block. A row alone in its cluster has 0; a clustering with fewer than two filled clusters null.
     """
     ends = np.cumsum([0, *sizes]).tolist()
     numbered = staged(rows.select(
@@ -161,27 +172,43 @@ def silhouettes(rows: DataFrame, vector: str, clusters: str, sizes: list[int]) -
     packed = numbered.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list(F.struct("id", "x", "l")).alias("rows"))
     packed = staged(packed)
-    # Each block meets every block once; its rows are written for each of the others.
+    # Each pair of blocks meets once, for the rows of both; a block is written for each one up to it.
     others = packed.select(
-        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.col("rows").alias("others"))
+        F.col("block").alias("other"), F.explode(F.expr("sequence(0L, block)")).alias("block"),
+        F.col("rows").alias("others"))
+
+    def member(rows):
+        label = np.asarray(rows.field("l").flatten().to_numpy(zero_copy_only=False)).reshape(len(rows), -1)
+        out = np.zeros((len(rows), ends[-1]))
+        for place, at in enumerate(ends[:-1]):
+            out[np.arange(len(rows)), at + label[:, place]] = 1.0
+        return out
 
     def sums(batches):
         for batch in batches:
-            for mine, others in zip(batch.column(0), batch.column(1)):
-                mine, others = mine.values, others.values
+            for mine, others, same in zip(batch.column(0), batch.column(1), batch.column(2)):
+                mine, others, same = mine.values, others.values, same.as_py()
                 x, y = _matrix(mine.field("x")), _matrix(others.field("x"))
-                label = np.asarray(others.field("l").flatten().to_numpy(zero_copy_only=False)).reshape(len(y), -1)
-                member = np.zeros((len(y), ends[-1]))
-                for place, at in enumerate(ends[:-1]):
-                    member[np.arange(len(y)), at + label[:, place]] = 1.0
-                apart = np.empty((len(x), ends[-1]))
-                for start in range(0, len(x), 64):
-                    part = x[start:start + 64]
-                    apart[start:start + 64] = np.sqrt(((part[:, None, :] - y[None]) ** 2).sum(axis=2)) @ member
-                yield pa.RecordBatch.from_arrays(
-                    [mine.field("id"), pa.array(list(apart), pa.list_(pa.float64()))], names=["id", "d"])
-
-    reached = packed.join(others, "block").select("rows", "others").mapInArrow(sums, "id bigint, d array<double>")
+                here, there = member(mine), member(others)
+                near, far = np.empty((len(x), ends[-1])), np.zeros((len(y), ends[-1]))
+                for start in range(0, len(x), 256):
+                    some = slice(start, start + 256)
+                    apart = _whole_distances(x[some], y)
+                    near[some] = apart @ there
+                    far += apart.T @ here[some]
+                yield mine.field("id"), near
+                if not same:
+                    yield others.field("id"), far
+
+    def records(batches):
+        for ids, d in sums(batches):
+            flat = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, d.size + 1, ends[-1], dtype=np.int32)), pa.array(d.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, flat], names=["id", "d"])
+
+    reached = packed.join(others, "block").select(
+        "rows", "others", (F.col("block") == F.col("other")).alias("same")).mapInArrow(
+        records, "id bigint, d array<double>")
     total = sum_vectors(reached, ["id"], "d", "d").drop("n")
     counts = numbered.select(F.posexplode("l").alias("place", "c")).groupBy("place", "c").count()
     filled = counts.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("c", "count"))).alias("n"))

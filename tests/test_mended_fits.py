@@ -27,3 +27,11 @@ def test_exact_neighbours_miss_nobody(spark, monkeypatch):
     assert found == {
         (i, place + 1): j for i in range(300) for place, j in enumerate(
             sorted((j for j in range(300) if j != i), key=lambda j: (-cosine[i, j], j))[:4])}
+
+
+def test_whole_distances_keep_their_digits():
+    x = np.random.default_rng(2).normal(1000.0, 1.0, size=(50, 5))
+    x[1] = x[0]
+    x[2] = x[0] + 1e-6
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(KM._whole_distances(x, x), want, rtol=1e-9, atol=0.0)

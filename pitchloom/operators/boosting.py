@@ -4,7 +4,8 @@ Features are binned once, at quantiles of the training rows. A round grows one t
 each class of the softmax. A level is one pass over the rows: every task adds up gradients, second
 derivatives and counts by (fit, class, node, feature, bin) in one array of fixed size, and the sum of
 these arrays chooses the best splits of the level. Several fits on subsets of the same rows share
-each pass. Scores of the rows are written out every few rounds; between, they follow from
+each pass. Rows travel in blocks of some thousands, with one array for each feature, so a pass costs array
+operations only. Scores of the rows are written out every few rounds; between, they follow from
 the trees grown since, so no lineage builds up and a lost executor repeats a few rounds at most.
 """
 
@@ -13,7 +14,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,14 +50,19 @@ def bin_edges(train: DataFrame, names, bins: int = BINS) -> list[list[float]]:
 
 
 def codes_of(values: np.ndarray, edges) -> np.ndarray:
-    """Bin number of each value: how many thresholds lie below it. Unknown values get bin 0."""
-    out = np.zeros(values.shape, np.uint8)
+    """Bin number of each value, by (feature, row): how many thresholds lie below it. Unknown values get bin 0."""
+    out = np.zeros(values.shape[::-1], np.uint8)
     for k, cuts in enumerate(edges):
         column = values[:, k]
-        out[:, k] = np.where(np.isnan(column), 0, np.searchsorted(np.array(cuts), column, side="left"))
+        out[k] = np.where(np.isnan(column), 0, np.searchsorted(np.array(cuts), column, side="left"))
     return out
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of an array column; null values are unknown."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
 @dataclass
 class Ensemble:
     """Trees of all fits: split feature and bin of 7 nodes and value of 8 leaves, by (round, fit, class)."""
@@ -71,16 +76,16 @@ class Ensemble:
 
     def scores(self, codes: np.ndarray, fit: int, upto=(None,)) -> list[np.ndarray]:
         """Raw class scores of one fit after each of the given numbers of rounds (rising)."""
-        score = np.tile(self.base[fit], (len(codes), 1))
+        score = np.repeat(self.base[fit][:, None], codes.shape[1], axis=1)
         out, done = [], 0
         for rounds in upto:
             rounds = len(self.feature) if rounds is None else rounds
             for step in range(done, rounds):
-                for c in range(score.shape[1]):
+                for c in range(len(score)):
                     leaf = _nodes(codes, self.feature[step, fit, c], self.cut[step, fit, c], DEPTH)
-                    score[:, c] += self.value[step, fit, c][leaf]
+                    score[c] += self.value[step, fit, c][leaf]
             done = max(done, rounds)
-            out.append(score.copy())
+            out.append(score.T.copy())
         return out
 
     def predict(self, df: DataFrame, out: str = "probabilities", rounds: int | None = None, fit: int = 0) -> DataFrame:
@@ -90,31 +95,47 @@ class Ensemble:
 
     def predict_stages(self, df: DataFrame, upto, out: str = "stages", fit: int = 0) -> DataFrame:
         """``df`` with an array of class probabilities, one for each number of rounds, in one pass."""
-        model, upto = self, tuple(upto)
-
-        @F.pandas_udf("array<array<double>>")
-        def run(values: pd.Series) -> pd.Series:
-            if not len(values):
-                return pd.Series([], dtype=object)
-            matrix = np.stack([np.array(v, np.float64) for v in values])
-            stages = [softmax(s) for s in model.scores(codes_of(matrix, model.edges), fit, upto)]
-            return pd.Series([[list(s[i]) for s in stages] for i in range(len(matrix))])
+        upto = tuple(upto)
+        return self._arrays(df, out, len(upto), lambda model, codes: model.scores(codes, fit, upto))
+
+    def predict_fits(self, df: DataFrame, out: str = "fits") -> DataFrame:
+        """``df`` with an array of class probabilities, one for each fit, in one pass."""
+        fits = len(self.base)
+        return self._arrays(df, out, fits, lambda model, codes: [model.scores(codes, f)[0] for f in range(fits)])
+
+    def _arrays(self, df: DataFrame, out: str, number: int, scores) -> DataFrame:
+        model, classes = self, self.base.shape[1]
+
+        @F.arrow_udf("array<array<double>>")
+        def run(values: pa.Array) -> pa.Array:
+            n = len(values)
+            codes = codes_of(_matrix(values, len(model.names)), model.edges)
+            chance = softmax(np.stack(scores(model, codes), axis=1))
+            inner = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, n * number * classes + 1, classes, dtype=np.int32)), pa.array(chance.ravel()))
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, n * number + 1, number, dtype=np.int32)), inner)
 
         return df.withColumn(out, run(_double_array(self.names)))
 
 
-def softmax(score: np.ndarray) -> np.ndarray:
-    power = np.exp(score - score.max(axis=-1, keepdims=True))
-    return power / power.sum(axis=-1, keepdims=True)
+def softmax(score: np.ndarray, axis: int = -1) -> np.ndarray:
+    power = np.exp(score - score.max(axis=axis, keepdims=True))
+    return power / power.sum(axis=axis, keepdims=True)
 
 
 def _nodes(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """Node of each row after so many levels, counted from the left."""
-    at = np.zeros(len(codes), np.int64)
-    rows = np.arange(len(codes))
+    """Node of each row after so many levels, counted from the left; ``codes`` by (feature, row).
+
+    Every split of a level is asked of all rows at once, and the bits of a row's node pick its answer.
+    """
+    at = np.zeros(codes.shape[1], np.uint8)
     for level in range(levels):
-        node = (1 << level) - 1 + at
-        at = 2 * at + (codes[rows, feature[node]] > cut[node])
+        first = (1 << level) - 1
+        answers = [codes[feature[node]] > cut[node] for node in range(first, 2 * first + 1)]
+        for bit in range(level):
+            right = (at >> bit & 1).astype(bool)
+            answers = [(right & b) | (~right & a) for a, b in zip(answers[::2], answers[1::2])]
+        at = 2 * at + answers[0]
     return at
 
 
@@ -171,11 +192,10 @@ def fit_boosted(
 
     def encode(batches):
         for batch in batches:
-            values = np.array(batch.column(0).values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-            codes = codes_of(values, edges)
+            codes = codes_of(_matrix(batch.column(0), width), edges)
             owner = batch.column(2)
             yield pa.RecordBatch.from_arrays([
-                pa.array([row.tobytes() for row in codes], pa.binary()), batch.column(1),
+                pa.array([row.tobytes() for row in codes.T], pa.binary()), batch.column(1),
                 pa.array([np.array(o.as_py(), np.uint8).tobytes() for o in owner], pa.binary()),
             ], names=["codes", "y", "members"])
 
@@ -200,24 +220,37 @@ def fit_boosted(
         names, edges, base, np.zeros((rounds, fits, classes, 7), np.int64),
         np.full((rounds, fits, classes, 7), NO_SPLIT, np.int64), np.zeros((rounds, fits, classes, 8)))
 
+    def pack(batches):
+        """One record for each batch of rows: codes by (feature, row), labels, memberships by (fit, row)."""
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes, owner = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1).T for k in (0, 2))
+            parts = (codes.tobytes(), batch.column(1).to_numpy().astype(np.int32).tobytes(), owner.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["codes", "y", "members"])
+
     def load(batch, cut_at, upto):
-        """(codes, labels, memberships, scores) of a batch, with the trees since the last cut."""
-        n = batch.num_rows
-        codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, width)
-        y = batch.column(1).to_numpy()
-        owner = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, fits)
-        if cut_at:
-            score = np.frombuffer(b"".join(batch.column(3).to_pylist())).reshape(n, fits, classes).copy()
-        else:
-            score = np.tile(base, (n, 1, 1))
-        for step in range(upto - cut_at):
-            for f in range(fits):
-                for c in range(classes):
-                    leaf = _nodes(codes, recent[0][step, f, c], recent[1][step, f, c], DEPTH)
-                    score[:, f, c] += recent[2][step, f, c][leaf]
-        return codes, y, owner, score
-
-    rows, cut_at, recent = coded.repartition(tasks), 0, None
+        """(record, codes, labels, memberships, scores by (fit, class, row)) of each block of rows, with the
+        trees since the last cut."""
+        for record in range(batch.num_rows):
+            parts = [np.frombuffer(column[record].as_buffer(), kind) for column, kind in zip(
+                batch.columns, (np.uint8, np.int32, np.uint8, np.float64))]
+            y = parts[1]
+            codes, owner = parts[0].reshape(width, len(y)), parts[2].reshape(fits, len(y))
+            if cut_at:
+                score = parts[3].reshape(fits, classes, len(y)).copy()
+            else:
+                score = np.repeat(base[:, :, None], len(y), axis=2)
+            for step in range(upto - cut_at):
+                for f in range(fits):
+                    for c in range(classes):
+                        leaf = _nodes(codes, recent[0][step, f, c], recent[1][step, f, c], DEPTH)
+                        score[f, c] += recent[2][step, f, c][leaf]
+            yield record, codes, y, owner, score
+
+    rows, cut_at, recent = coded.repartition(tasks).mapInArrow(pack, "codes binary, y binary, members binary"), 0, None
     rows = staged(rows)
     rows = rows.coalesce(tasks)
     for step in range(rounds):
@@ -226,12 +259,13 @@ def fit_boosted(
 
             def rescore(batches, since=cut_at, now=step):
                 for batch in batches:
-                    score = load(batch, since, now)[3]
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:3], pa.array([s.tobytes() for s in score], pa.binary())],
-                        names=["codes", "y", "members", "score"])
+                    for record, *_, score in load(batch, since, now):
+                        yield pa.RecordBatch.from_arrays(
+                            [*(c.slice(record, 1) for c in batch.columns[:3]), pa.array([score.tobytes()], pa.binary())],
+                            names=["codes", "y", "members", "score"])
 
-            rows = staged(rows.mapInArrow(rescore, "codes binary, y int, members binary, score binary")).coalesce(tasks)
+            rows = staged(
+                rows.mapInArrow(rescore, "codes binary, y binary, members binary, score binary")).coalesce(tasks)
             cut_at = step
         recent = (model.feature[cut_at:step], model.cut[cut_at:step], model.value[cut_at:step])
         sums = None
@@ -240,22 +274,21 @@ def fit_boosted(
 
             def histogram(batches, since=cut_at, now=step, level=level, nodes=nodes, tree=tree):
                 total = np.zeros((fits, classes, nodes * width * bins, 3))
-                offset = np.arange(width) * bins
+                offset = (np.arange(width) * bins)[:, None]
                 for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    codes, y, owner, score = load(batch, since, now)
-                    chance = softmax(score)
-                    for f in range(fits):
-                        mine = owner[:, f] > 0
-                        own = codes[mine]
-                        for c in range(classes):
-                            p = chance[mine, f, c]
-                            node = _nodes(own, tree[0][f, c], tree[1][f, c], level)
-                            cell = ((node * width * bins)[:, None] + offset + own).ravel()
-                            for k, part in enumerate((p - (y[mine] == c), p * (1 - p), None)):
-                                weights = None if part is None else np.repeat(part, width)
-                                total[f, c, :, k] += np.bincount(cell, weights, minlength=nodes * width * bins)
+                    for _, codes, y, owner, score in load(batch, since, now):
+                        chance = softmax(score, axis=1)
+                        for f in range(fits):
+                            mine = np.flatnonzero(owner[f])
+                            own = codes[:, mine]
+                            cells = own + offset
+                            for c in range(classes):
+                                p = chance[f, c, mine]
+                                node = _nodes(own, tree[0][f, c], tree[1][f, c], level)
+                                cell = (cells + node.astype(np.int64) * (width * bins)).ravel()
+                                for k, part in enumerate((p - (y[mine] == c), p * (1 - p), None)):
+                                    weights = None if part is None else np.tile(part, width)
+                                    total[f, c, :, k] += np.bincount(cell, weights, minlength=nodes * width * bins)
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
             found = rows.mapInArrow(histogram, "sums binary").collect()

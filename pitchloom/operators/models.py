@@ -250,19 +250,27 @@ def learning_curve(
     test = durable(test.withColumn("test_fold", F.col(test_column) if test_column else F.lit("test")))
     members, subsets = match_subsets(train, fractions, draws, seed, least)
     part = durable(train.join(members, "game_id"))
+    table = part.sparkSession.createDataFrame(
+        [(number, *subset) for number, subset in enumerate(subsets)],
+        "subset int, fraction double, draw int, n_matches long")
     out = None
     for rung in rungs:
         names = S.FEATURE_LADDER[rung]
-        model = fit_boosted(part, names, rounds=rounds, members="subsets") if rung == "B2" else None
-        for number, (fraction, draw, matches) in enumerate(subsets):
-            if model is not None:
-                rows = model.predict(test, fit=number)
-            else:
+        if rung == "B2":
+            rows = fit_boosted(part, names, rounds=rounds, members="subsets").predict_fits(test).select(
+                "test_fold", F.col("outcome_index").alias("y"), F.posexplode("fits").alias("subset", "probabilities"))
+            losses = staged(score(rows, ["subset", "test_fold"]))
+        else:
+            losses = None
+            for number in range(len(subsets)):
                 rows = fit_logistic(part.where(F.col("subsets")[number] == 1), names)(test)
-            losses = score(rows.withColumnRenamed("outcome_index", "y"), ["test_fold"]).select(
-                F.lit(rung).alias("model"), "test_fold", F.lit(fraction).alias("fraction"), F.lit(draw).alias("draw"),
-                F.lit(matches).cast("long").alias("n_matches"), "n", "log_loss")
-            out = losses if out is None else out.unionByName(losses)
+                # Written out, so the plans of the fits do not pile up in one.
+                one = staged(score(rows.withColumnRenamed("outcome_index", "y"), ["test_fold"]).withColumn(
+                    "subset", F.lit(number)))
+                losses = one if losses is None else losses.unionByName(one)
+        losses = losses.join(table, "subset").select(
+            F.lit(rung).alias("model"), "test_fold", "fraction", "draw", "n_matches", "n", "log_loss")
+        out = losses if out is None else out.unionByName(losses)
     return out
 
 

@@ -1,8 +1,10 @@
 """Faults of fits and searches found in review, each with a small case."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pitchloom.operators import kmeans as KM, similarity as V
+from pitchloom import schema as S
+from pitchloom.operators import kmeans as KM, models as M, similarity as V
 
 
 def test_runs_are_not_cut_before_they_settle(spark, monkeypatch):
@@ -35,3 +37,22 @@ def test_whole_distances_keep_their_digits():
     x[2] = x[0] + 1e-6
     want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert np.allclose(KM._whole_distances(x, x), want, rtol=1e-9, atol=0.0)
+
+
+def test_learning_curve_is_one_short_plan(spark):
+    """Losses of the boosted rung equal those of each fit by itself, and no fitted model is left in the plan."""
+    rng = np.random.default_rng(0)
+    names = S.FEATURE_LADDER["B2"]
+    rows = [(i // 2, "train" if i < 120 else "test", int(rng.integers(0, 3)), [float(v) for v in rng.normal(size=len(names))])
+            for i in range(160)]
+    states = spark.createDataFrame(rows, "game_id long, fold string, outcome_index int, x array<double>").select(
+        "game_id", "fold", "outcome_index", *(F.col("x")[i].alias(n) for i, n in enumerate(names)))
+    curve = M.learning_curve(states, (0.5, 1.0), draws=2, rungs=("B0", "B2"), rounds=2)
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "EvalPython" not in plan and "probabilities" not in plan
+    assert sorted((r["model"], r["fraction"], r["draw"], r["n"]) for r in curve.collect()) == sorted(
+        (m, f, d, 40) for m in ("B0", "B2") for f, d in ((0.5, 0), (0.5, 1), (1.0, 0)))
+    full = curve.where("model = 'B2' AND fraction = 1").first()["log_loss"]
+    model = M.fit_boosted(states.where("fold = 'train'"), names, rounds=2)
+    alone = M.score(model.predict(states.where("fold = 'test'")).withColumnRenamed("outcome_index", "y")).first()
+    assert abs(full - alone["log_loss"]) < 1e-12

@@ -14,6 +14,7 @@ from pitchloom.plans.graph_plans import directory, networks
 from pitchloom.plans.sqlkit import CTES, NK, r, with_sql
 from pitchloom.plans.threat_plans import rated
 from pitchloom.runtime import durable, staged
+from pitchloom.sources import event_actions as E
 
 BOOK = Book()
 q = BOOK.add
@@ -48,11 +49,71 @@ def weighted_networks(spark, sf):
     return staged(nodes), staged(TH.attach_threat(edges, rows))
 
 
-@q("centrality_weightings_e11", with_sql("both_central", f"""
-SELECT {NK}, player_id, {', '.join(r(m, m) for m in (*METRICS[5:], *THREAT))} FROM both_central"""))
+# Betweenness by the rule of ``path_credit``: lanes are relaxed one by one, path counts follow the lanes that are
+# tight as seen from a source, and each target's unit flows back over these same lanes. Where costs hold a
+# worthless lane's 1e12, ties are wide, and counts from a middle player's own view would be others.
+_HOPS = E.SQUAD - 1
+_TIE = "<= 1e-9 + 1e-14 * p.d"
+CTES["xt_legs"] = (("xt_links",), f"""
+SELECT 1 AS h, game_id, team_id, source AS a, target AS b, d FROM xt_links
+UNION ALL
+SELECT h + 1, game_id, team_id, a, b, min(d) FROM (
+  SELECT s.h, s.game_id, s.team_id, s.a, l.target AS b, s.d + l.d AS d FROM xt_legs s
+  JOIN xt_links l ON l.game_id = s.game_id AND l.team_id = s.team_id AND l.source = s.b AND l.target <> s.a
+  WHERE s.h < {_HOPS}) GROUP BY h, game_id, team_id, a, b""")
+CTES["xt_least"] = (("xt_legs",), "SELECT game_id, team_id, a, b, min(d) AS d FROM xt_legs GROUP BY 1, 2, 3, 4")
+CTES["xt_tight"] = (("xt_links", "xt_least"), f"""
+SELECT l.game_id, l.team_id, l.source AS a, l.source AS u, l.target AS v FROM xt_links l
+JOIN xt_least p ON p.game_id = l.game_id AND p.team_id = l.team_id AND p.a = l.source AND p.b = l.target
+  AND abs(l.d - p.d) {_TIE}
+UNION ALL
+SELECT x.game_id, x.team_id, x.a, x.b, l.target FROM xt_least x
+JOIN xt_links l ON l.game_id = x.game_id AND l.team_id = x.team_id AND l.source = x.b AND l.target <> x.a
+JOIN xt_least p ON p.game_id = x.game_id AND p.team_id = x.team_id AND p.a = x.a AND p.b = l.target
+  AND abs(x.d + l.d - p.d) {_TIE} AND x.d < p.d""")
+CTES["xt_steps"] = (("xt_tight",), f"""
+SELECT 1 AS h, game_id, team_id, a, v, 1e0 AS c FROM xt_tight WHERE u = a
+UNION ALL
+SELECT h + 1, game_id, team_id, a, v, sum(c) FROM (
+  SELECT s.h, s.game_id, s.team_id, s.a, t.v, s.c FROM xt_steps s
+  JOIN xt_tight t ON t.game_id = s.game_id AND t.team_id = s.team_id AND t.a = s.a AND t.u = s.v
+  WHERE s.h < {_HOPS}) GROUP BY h, game_id, team_id, a, v""")
+CTES["xt_counts"] = (("xt_steps",), "SELECT game_id, team_id, a, v, sum(c) AS c FROM xt_steps GROUP BY 1, 2, 3, 4")
+CTES["xt_flows"] = (("xt_tight", "xt_counts"), f"""
+SELECT 0 AS h, game_id, team_id, a, v, 1e0 AS m FROM xt_counts
+UNION ALL
+SELECT h + 1, game_id, team_id, a, v, sum(m) FROM (
+  SELECT f.h, f.game_id, f.team_id, f.a, t.u AS v, f.m * x.c / y.c AS m FROM xt_flows f
+  JOIN xt_tight t ON t.game_id = f.game_id AND t.team_id = f.team_id AND t.a = f.a AND t.v = f.v AND t.u <> t.a
+  JOIN xt_counts x ON x.game_id = f.game_id AND x.team_id = f.team_id AND x.a = f.a AND x.v = t.u
+  JOIN xt_counts y ON y.game_id = f.game_id AND y.team_id = f.team_id AND y.a = f.a AND y.v = f.v
+  WHERE f.h < {_HOPS}) GROUP BY h, game_id, team_id, a, v""")
+CTES["xt_shares"] = (("xt_flows",), """
+SELECT game_id, team_id, v AS player_id, sum(m) AS credit FROM xt_flows WHERE h > 0 GROUP BY 1, 2, 3""")
+_needs, _body = CTES["xt_central"]
+CTES["xt_central_shares"] = (
+    tuple(n.replace("xt_credits", "xt_shares") for n in _needs), _body.replace("xt_credits", "xt_shares"))
+CTES["both_central_shares"] = (("central", "xt_central_shares"), CTES["both_central"][1].replace("xt_central", "xt_central_shares"))
+
+
+# Shares such as 243 / 640 lie half-way between two values of six digits, and rounding noise would decide: ten
+# digits take the noise away first, and a decimal keeps what is half-way exactly there.
+def _settled_sql(name):
+    return f"CAST(round(CAST({name} AS DECIMAL(28, 10)), 6) AS DOUBLE) + 0 AS {name}"
+
+
+def settled_report(df):
+    """Every floating column rounded to ten digits and then, half-way cases up, to six."""
+    return df.select(*(
+        (F.round(F.col(name).cast("decimal(28,10)"), 6).cast("double") + 0.0).alias(name) if kind == "double" else F.col(name)
+        for name, kind in df.dtypes))
+
+
+@q("centrality_weightings_e11", with_sql("both_central_shares", f"""
+SELECT {NK}, player_id, {', '.join(map(_settled_sql, (*METRICS[5:], *THREAT)))} FROM both_central_shares"""))
 def centrality_weightings(spark, sf):
     table = G.both_weightings(*weighted_networks(spark, sf))
-    return X.round_report(table.select(*S.NETWORK_KEYS, "player_id", *METRICS[5:], *THREAT))
+    return settled_report(table.select(*S.NETWORK_KEYS, "player_id", *METRICS[5:], *THREAT))
 
 
 # --- the season table --------------------------------------------------------------------

@@ -5,7 +5,7 @@ Fits are always made on the training fold only, and scaling uses population mome
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +16,7 @@ from pitchloom.operators.boosting import Ensemble, fit_boosted
 from pitchloom.operators.features import neighbour_means
 from pitchloom.operators.kmeans import STARTS, TOLERANCE, fit_clusterings, silhouettes
 from pitchloom.operators.ordering import POSITION, global_position
+from pitchloom.operators.perceptron import fit_perceptrons
 from pitchloom.operators.scores import agreement, score, shot_lift
 from pitchloom.operators.similarity import standardise
 from pitchloom.operators.splits import LeakageError, assert_no_enrichment
@@ -317,21 +318,6 @@ def pool_corpora(tables: dict[str, DataFrame]) -> DataFrame:
 # --- roles -------------------------------------------------------------------------------
 
 
-def fit_perceptron(train: DataFrame, names, label: str, classes: int, hidden: int = 32, max_iter: int = 200, seed: int = 0):
-    """One hidden layer on standardised features; returns a function adding a probability array."""
-    prepared = durable(scaled_features(train, train, names).select("features", F.col(label).cast("double").alias("_y")))
-    model = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="_y", layers=[len(names), hidden, classes], maxIter=max_iter, seed=seed,
-        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-    ).fit(prepared)
-
-    def predict(df: DataFrame, out: str = "probabilities") -> DataFrame:
-        scored = model.transform(scaled_features(df, train, names))
-        return scored.withColumn(out, vector_to_array("_prob")).drop("features", "_prob", "_raw", "_pred")
-
-    return predict
-
-
 def role_ablation(
     features: DataFrame, edges: DataFrame, sets=None, label: str = "role_index", hops: int = 2,
     hidden: int = 32, max_iter: int = 200, seed: int = 0,
@@ -346,20 +332,16 @@ def role_ablation(
     on = [*S.NETWORK_KEYS, "player_id"]
     every = sorted({name for columns in sets.values() for name in columns})
     assert_no_enrichment(features.select(*every), "role features")
-    # One propagation serves all sets.
+    # One propagation serves all sets, and so do the passes of their fits.
     carried = durable(features.select(*on, "fold", label).join(
         neighbour_means(features, edges, every, hops=hops), on))
-    train = carried.where(F.col("fold") == "train")
-    out = None
-    for name, columns in sets.items():
-        wide = [*columns, *(f"{c}_hop{hop}" for hop in range(1, hops + 1) for c in columns)]
-        predict = fit_perceptron(train, wide, label, len(S.COARSE_ROLES), hidden, max_iter, seed)
-        rows = predict(carried).select("fold", F.col(label).alias("y"), "probabilities")
-        result = score(rows, ["fold"]).select(
-            F.lit(name).alias("feature_set"), "fold", "n", "accuracy", "log_loss"
-        )
-        out = result if out is None else out.unionByName(result)
-    return out
+    wide = [[*columns, *(f"{c}_hop{hop}" for hop in range(1, hops + 1) for c in columns)] for columns in sets.values()]
+    model = fit_perceptrons(
+        carried.where(F.col("fold") == "train"), wide, label, len(S.COARSE_ROLES), hidden, max_iter, seed)
+    rows = model.predict_fits(carried).select(
+        "fold", F.col(label).alias("y"), F.posexplode("fits").alias("_set", "probabilities"))
+    name = F.element_at(F.array(*map(F.lit, sets)), F.col("_set") + 1)
+    return score(rows, ["_set", "fold"]).select(name.alias("feature_set"), "fold", "n", "accuracy", "log_loss")
 
 
 # --- clustering --------------------------------------------------------------------------

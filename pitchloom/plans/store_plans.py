@@ -509,10 +509,10 @@ SELECT unnest([{_SETS}]) AS feature_set, fold, n, TRUE AS fits_train, TRUE AS sc
   SELECT fold, count(*) AS n FROM nodes JOIN lineup USING (season, provider, player_id) JOIN folds USING (game_id)
   WHERE fold <> 'unused' GROUP BY 1)"""))
 def role_ablation(spark, sf):
-    from pitchloom.plans.threat_plans import full_features
+    from pitchloom.plans.threat_plans import full_network
 
-    rows = FE.role_features(full_features(spark, sf), directory(spark, sf)).drop("fine_position")
-    edges = N.match_networks(passes(spark, sf))[1]
+    features, edges = full_network(spark, sf)
+    rows = FE.role_features(features, directory(spark, sf)).drop("fine_position")
     table = M.role_ablation(SP.assign_fold(rows, split(spark, sf)), edges)
     # Trained on four classes: better than a coin of four sides on its own rows.
     return table.select(

@@ -251,11 +251,17 @@ LEFT JOIN (SELECT {NK}, source AS player_id, sum(xt_weight) AS x FROM xt_edges G
 _THREAT = (*S.THREAT_FEATURES, *S.CONVERSION_FEATURES)
 
 
-def full_features(spark, sf):
+def full_network(spark, sf):
+    """(node features with threat, edges with threat) of every network; the edges are worked out once."""
     rows = staged(rated(spark, sf))
     nodes, edges = N.match_networks(rows)
+    edges = staged(TH.attach_threat(edges, rows, check=False))
     threat = C.node_threat_table(TH.player_threat(rows), C.shot_chain_involvement(rows))
-    return FE.node_features(nodes, TH.attach_threat(edges, rows, check=False), node_threat=threat, check=False)
+    return FE.node_features(nodes, edges, node_threat=threat, check=False), edges
+
+
+def full_features(spark, sf):
+    return full_network(spark, sf)[0]
 
 
 @q("threat_features_f13", with_sql("threat_shares", f"SELECT {NK}, player_id, {', '.join(r(c, c) for c in _THREAT)} FROM threat_shares"))

@@ -56,3 +56,32 @@ def test_learning_curve_is_one_short_plan(spark):
     model = M.fit_boosted(states.where("fold = 'train'"), names, rounds=2)
     alone = M.score(model.predict(states.where("fold = 'test'")).withColumnRenamed("outcome_index", "y")).first()
     assert abs(full - alone["log_loss"]) < 1e-12
+
+
+def test_role_fits_share_their_passes(spark):
+    """Three feature sets cost the jobs of one, and each fit is as good as Spark's own perceptron."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from test_plans import jobs_of
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] > 0) * 2 + (x[:, 1] * x[:, 2] > 0)
+    rows = [(i, 1, "s", "p", i % 40, "train" if i % 4 else "test", int(c), *(float(v) for v in row))
+            for i, (row, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(
+        rows, "game_id long, team_id long, season string, provider string, player_id long, fold string, role_index int, "
+        "a double, b double, c double")
+    edges = spark.createDataFrame([], "game_id long, team_id long, season string, provider string, source long, target long")
+    sets = {"one": ("a",), "two": ("a", "b"), "three": ("a", "b", "c")}
+    found = {}
+    many = jobs_of(spark, "many", lambda: found.update(
+        {(r["feature_set"], r["fold"]): r for r in M.role_ablation(df, edges, sets, hops=0, max_iter=60).collect()}))
+    single = jobs_of(spark, "single", lambda: M.role_ablation(df, edges, {"three": sets["three"]}, hops=0, max_iter=60).collect())
+    assert many < 1.5 * single
+    train = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df.where("fold = 'train'"))
+    theirs = MultilayerPerceptronClassifier(featuresCol="f", labelCol="role_index", layers=[3, 32, 4], maxIter=60, seed=0).fit(
+        train).transform(train).where("prediction = role_index").count() / 300
+    assert found["three", "train"]["n"] == 300 and found["three", "train"]["accuracy"] >= theirs - 0.02
+    assert found["one", "train"]["accuracy"] < found["two", "train"]["accuracy"] + 0.05 < found["three", "train"]["accuracy"] + 0.1
+    assert found["three", "train"]["accuracy"] > 0.9 and found["three", "test"]["n"] == 100

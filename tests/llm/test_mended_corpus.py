@@ -1,6 +1,8 @@
 """Faults of corpus operators found in review, each with a small case."""
 
-from pitchloom.llm import pii_bootstrap
+import numpy as np
+
+from pitchloom.llm import maxent_lm, pii_bootstrap
 
 
 def test_counts_go_by_kind_not_by_place(spark):
@@ -12,3 +14,42 @@ def test_counts_go_by_kind_not_by_place(spark):
     found = {r["doc_id"]: tuple(r[f"n_{kind}"] for kind in pii_bootstrap.KINDS)
              for r in pii_bootstrap.report(docs).collect()}
     assert found == {0: (0, 2, 0, 0), 1: (3, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 0, 2), 4: (0,) * 4, 5: (0,) * 4}
+
+
+def test_a_gradient_step_is_the_plain_one():
+    """Sums over runs, short and long, and a whole step against plain numpy in double precision."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(500, 3))
+    runs = np.sort(np.concatenate([rng.integers(0, 90, 300), np.full(200, 7)]))
+    starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    source = rng.permutation(500)
+    found = maxent_lm._sums(values, source, starts, np.diff(starts, append=500))
+    assert np.allclose(found, np.add.reduceat(values[source], starts, axis=0))
+
+    words = maxent_lm.Words([b"%d" % i for i in range(1100)], np.arange(1200, 100, -1))
+    ids = rng.integers(0, 1101, 700)
+    mine = maxent_lm.Trainer(words, None)
+    mine.add(ids)
+    mine.flush()
+    weights, squares = np.zeros((maxent_lm.ROWS, maxent_lm.MEMBERS)), np.full((maxent_lm.ROWS, maxent_lm.MEMBERS), 1e-2)
+    hashes, classes = maxent_lm.contexts(ids, words.begin), np.minimum(ids // 32, 31)
+    head = classes < 31
+    for rows, bias, wanted in (
+        (maxent_lm.class_rows(hashes), words.bias_class[None], classes),
+        (maxent_lm.member_rows(hashes[head], classes[head]), words.bias_member[classes[head]], ids[head] % 32),
+    ):
+        logits = weights[rows].sum(axis=1) + bias
+        slope = np.exp(logits - logits.max(axis=1, keepdims=True))
+        slope /= slope.sum(axis=1, keepdims=True)
+        slope[np.arange(len(wanted)), wanted] -= 1
+        total = np.zeros_like(weights)
+        np.add.at(total, rows.ravel(), np.repeat(slope, rows.shape[1], axis=0))
+        at = np.unique(rows)
+        squares[at] += total[at] ** 2
+        weights[at] -= maxent_lm.RATE * total[at] / np.sqrt(squares[at])
+    assert np.allclose(mine.weights, weights, atol=1e-4)
+    scores = maxent_lm.log10_head(words, mine.weights, ids, hashes)
+    logits = mine.weights[maxent_lm.class_rows(hashes)].sum(axis=1) + words.bias_class
+    chance = np.exp(logits.astype(float)) / np.exp(logits.astype(float)).sum(axis=1, keepdims=True)
+    tail = ~head
+    assert np.allclose(scores[tail], np.log10(chance[tail, 31]), atol=1e-4)

@@ -32,7 +32,7 @@ def _store(spark, sf):
     import uuid
 
     root = f"{checkpoint_dir(spark)}/actions-{uuid.uuid4().hex}"
-    A.write_actions(chained(spark, sf), root)
+    A.write_actions(A.by_partition(chained(spark, sf)), root)
     return root
 
 

@@ -91,12 +91,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def by_partition(actions: DataFrame) -> DataFrame:
+    """Rows dealt by season and provider, large partitions in several parts: files then number about as many as
+    partitions, not tasks times partitions."""
+    return actions.hint("rebalance", F.col("season"), F.col("provider"))
+
+
 def write_actions(actions: DataFrame, root: str) -> None:
     """Validate, then replace only the season/provider partitions that are present.
 
     One job: the rules are counted while the rows are written beside the store. Rows that break a rule
     are discarded with the error, and the store stays as it was; otherwise each partition takes the
-    place of the old one, which is removed last.
+    place of the old one, which is removed last. Every task writes a file for each partition it has rows of;
+    ``by_partition`` deals the rows so that these are few.
     """
     _require_columns(actions, "actions")
     spark = actions.sparkSession

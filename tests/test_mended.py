@@ -30,3 +30,13 @@ def test_unreadable_index_is_kept(spark, tmp_path):
     store.upsert_games(spark, str(tmp_path / "new"), fresh)
     store.upsert_games(spark, str(tmp_path / "new"), fresh.withColumn("game_id", F.lit(2).cast("long")))
     assert [r[0] for r in store.read_games_index(spark, str(tmp_path / "new")).select("game_id").collect()] == [2]
+
+
+def test_a_store_has_few_files(spark, tmp_path):
+    """Rows dealt by partition make one file of each small partition, however many tasks there were."""
+    from pitchloom.plans.store_plans import _store
+
+    root = _store(spark, "/root/testdata/sf0.01")
+    rows = store.scan_actions(spark, root)
+    parts = rows.select("season", "provider").distinct().count()
+    assert parts > 1 and len(rows.inputFiles()) == parts and rows.count() == 10_000

@@ -53,3 +53,34 @@ def test_a_gradient_step_is_the_plain_one():
     chance = np.exp(logits.astype(float)) / np.exp(logits.astype(float)).sum(axis=1, keepdims=True)
     tail = ~head
     assert np.allclose(scores[tail], np.log10(chance[tail, 31]), atol=1e-4)
+
+
+def test_words_of_the_last_class_have_a_softmax(monkeypatch):
+    """After a context all words, those beyond the 31 classes too, add up to one, and the tail learns from it."""
+    known = 3_000
+    counts = np.arange(known, 0, -1) + 5
+    words = maxent_lm.Words([b"%d" % i for i in range(known)], counts, 700.0)
+    trainer = maxent_lm.Trainer(words, None)
+    rng = np.random.default_rng(2)
+    ids = rng.choice(known + 1, 30_000, p=np.append(counts, 700) / (counts.sum() + 700))
+    # A frequent word is always followed by the same one of the tail.
+    ids[1::2][ids[::2] < 300] = 2_345
+    trainer.add(ids)
+    trainer.flush()
+    every = np.append(np.arange(known), words.rare)
+    for last in (5, 1_500, words.rare):
+        hashes = np.repeat(maxent_lm.contexts(np.array([9, 8, last, 1]), words.begin)[-1:], len(every), axis=0)
+        scores = maxent_lm.log10_head(words, trainer.weights, every, hashes)
+        inside = maxent_lm.log10_tail(words, trainer.everything, every, hashes)
+        assert (inside[:maxent_lm.HEAD] == 0).all() and (inside[maxent_lm.HEAD:] < 0).all()
+        assert abs((10 ** inside[maxent_lm.HEAD:]).sum() - 1) < 1e-4
+        assert abs((10 ** (scores + inside)).sum() - 1) < 1e-4
+        if last == 5:
+            plain = np.log10((counts[2_345] + 1) / ((counts[maxent_lm.HEAD:] + 1).sum() + 700))
+            assert inside[2_345] > plain + 0.8
+    # Words that no branch tells apart share their leaf by their counts.
+    monkeypatch.setattr(maxent_lm, "TAIL_FEATURES", (3,))
+    words = maxent_lm.Words([b"%d" % i for i in range(known)], counts, 700.0)
+    inside = maxent_lm.log10_tail(words, np.zeros((maxent_lm.ALL_ROWS, 32), np.float32), every, hashes)
+    sizes = np.append(counts[maxent_lm.HEAD:] + 1, 700)
+    assert np.allclose(inside[maxent_lm.HEAD:], np.log10(sizes / sizes.sum()), atol=1e-4)

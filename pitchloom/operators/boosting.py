@@ -6,7 +6,8 @@ derivatives and counts by (fit, class, node, feature, bin) in one array of fixed
 these arrays chooses the best splits of the level. Several fits on subsets of the same rows share
 each pass. Rows travel in blocks of some thousands, with one array for each feature, so a pass costs array
 operations only. Scores of the rows are written out every few rounds; between, they follow from
-the trees grown since, so no lineage builds up and a lost executor repeats a few rounds at most.
+the trees grown since, so no lineage builds up and a lost executor repeats a few rounds at most. Up to a
+fixed number of rows a fit needs no passes: one task holds its rows and grows all its trees the same way.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ROUNDS = 200
 CUT_ROUNDS = 25
 # Tasks of a training pass and rows aimed at in each: the driver adds up one array a task.
 MOST_TASKS, TASK_ROWS = 64, 50_000
+# Training rows up to which each fit is grown by one task, and rows added up at once there.
+WHOLE_ROWS, BLOCK_ROWS = 400_000, 16_384
 NO_SPLIT = 255
 
 
@@ -139,6 +142,51 @@ def _nodes(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int)
     return at
 
 
+def _histograms(codes, y, chance, feature, cut, level: int, bins: int) -> np.ndarray:
+    """(class, node x feature x bin, 3): gradients, second derivatives and counts of rows by the nodes of a level.
+    ``codes`` by (feature, row), ``chance`` by (class, row), splits so far by class."""
+    width, nodes = len(codes), 1 << level
+    total = np.zeros((len(chance), nodes * width * bins, 3))
+    cells = codes + (np.arange(width) * bins)[:, None]
+    for c, p in enumerate(chance):
+        node = _nodes(codes, feature[c], cut[c], level)
+        cell = (cells + node.astype(np.int64) * (width * bins)).ravel()
+        for k, part in enumerate((p - (y == c), p * (1 - p), None)):
+            weights = None if part is None else np.tile(part, width)
+            total[c, :, k] = np.bincount(cell, weights, minlength=nodes * width * bins)
+    return total
+
+
+def _leaves(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    ends = np.stack([lefts, rights], axis=-2)
+    ends = ends.reshape(*ends.shape[:-3], 1 << DEPTH, 3)
+    return -RATE * ends[..., 0] / (ends[..., 1] + L2)
+
+
+def _grow(codes: np.ndarray, y: np.ndarray, share: np.ndarray, base: np.ndarray, rounds: int, bins: int):
+    """(split features, split bins, leaf values) by (round, class) of one fit whose rows are all here."""
+    classes, width = len(base), len(codes)
+    trees = (np.zeros((rounds, classes, 7), np.int64), np.full((rounds, classes, 7), NO_SPLIT, np.int64),
+             np.zeros((rounds, classes, 8)))
+    feature, cut, value = trees
+    parts = [slice(at, at + BLOCK_ROWS) for at in range(0, len(y), BLOCK_ROWS)]
+    score = np.repeat(base[:, None], len(y), axis=1)
+    for step in range(rounds):
+        chance = softmax(score, axis=0)
+        for level in range(DEPTH):
+            first = (1 << level) - 1
+            sums = sum(_histograms(codes[:, p], y[p], chance[:, p], feature[step], cut[step], level, bins) for p in parts)
+            places = slice(first, 2 * first + 1)
+            feature[step][:, places], cut[step][:, places], lefts, rights = _best_splits(
+                sums.reshape(classes, 1 << level, width, bins, 3))
+        value[step] = _leaves(lefts, rights)
+        # Classes that a fit has never seen stay where they are.
+        value[step][share == 0] = 0.0
+        for c in range(classes):
+            score[c] += value[step, c][_nodes(codes, feature[step, c], cut[step, c], DEPTH)]
+    return trees
+
+
 def _best_splits(sums: np.ndarray):
     """For histograms (..., feature, bin, 3): (feature, bin, left sums, right sums); no gain: all left."""
     total = sums.sum(axis=-2)[..., :1, :]
@@ -252,6 +300,38 @@ def fit_boosted(
 
     rows, cut_at, recent = coded.repartition(tasks).mapInArrow(pack, "codes binary, y binary, members binary"), 0, None
     rows = staged(rows)
+    if n_rows <= WHOLE_ROWS:
+        def deal(batches):
+            """The rows of each fit, in the blocks they travel in."""
+            for batch in batches:
+                for codes, y, owner in zip(*(c.to_pylist() for c in batch.columns)):
+                    y, owner = np.frombuffer(y, np.int32), np.frombuffer(owner, np.uint8).reshape(fits, -1).astype(bool)
+                    codes = np.frombuffer(codes, np.uint8).reshape(width, len(y))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(fits, dtype=np.int32)),
+                        pa.array([codes[:, mine].tobytes() for mine in owner], pa.binary()),
+                        pa.array([y[mine].tobytes() for mine in owner], pa.binary())], names=["fit", "codes", "y"])
+
+        def whole(batches):
+            held: dict = {}
+            for batch in batches:
+                for f, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                    held.setdefault(f, []).append(parts)
+            for f, blocks in held.items():
+                own = np.concatenate([np.frombuffer(codes, np.uint8).reshape(width, -1) for codes, _ in blocks], axis=1)
+                labels = np.concatenate([np.frombuffer(y, np.int32) for _, y in blocks])
+                trees = _grow(own, labels, share[f], base[f], rounds, bins)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f], pa.int32()), *(pa.array([t.tobytes()], pa.binary()) for t in trees)],
+                    names=["fit", "feature", "cut", "value"])
+
+        # As many blocks for each fit, so a range of the fits' numbers is one fit.
+        grown = rows.mapInArrow(deal, "fit int, codes binary, y binary").repartitionByRange(fits, "fit").mapInArrow(
+            whole, "fit int, feature binary, cut binary, value binary")
+        for row in grown.collect():
+            for out, name, kind in ((model.feature, "feature", np.int64), (model.cut, "cut", np.int64), (model.value, "value", float)):
+                out[:, row["fit"]] = np.frombuffer(row[name], kind).reshape(rounds, classes, -1)
+        return model
     rows = rows.coalesce(tasks)
     for step in range(rounds):
         if step and step % CUT_ROUNDS == 0:
@@ -274,21 +354,13 @@ def fit_boosted(
 
             def histogram(batches, since=cut_at, now=step, level=level, nodes=nodes, tree=tree):
                 total = np.zeros((fits, classes, nodes * width * bins, 3))
-                offset = (np.arange(width) * bins)[:, None]
                 for batch in batches:
                     for _, codes, y, owner, score in load(batch, since, now):
                         chance = softmax(score, axis=1)
                         for f in range(fits):
                             mine = np.flatnonzero(owner[f])
-                            own = codes[:, mine]
-                            cells = own + offset
-                            for c in range(classes):
-                                p = chance[f, c, mine]
-                                node = _nodes(own, tree[0][f, c], tree[1][f, c], level)
-                                cell = (cells + node.astype(np.int64) * (width * bins)).ravel()
-                                for k, part in enumerate((p - (y[mine] == c), p * (1 - p), None)):
-                                    weights = None if part is None else np.tile(part, width)
-                                    total[f, c, :, k] += np.bincount(cell, weights, minlength=nodes * width * bins)
+                            total[f] += _histograms(
+                                codes[:, mine], y[mine], chance[f][:, mine], tree[0][f], tree[1][f], level, bins)
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
             found = rows.mapInArrow(histogram, "sums binary").collect()
@@ -297,8 +369,7 @@ def fit_boosted(
             first = nodes - 1
             model.feature[step][:, :, first:first + nodes] = feature
             model.cut[step][:, :, first:first + nodes] = cut
-        ends = np.stack([lefts, rights], axis=-2).reshape(fits, classes, 1 << DEPTH, 3)
-        model.value[step] = -RATE * ends[..., 0] / (ends[..., 1] + L2)
+        model.value[step] = _leaves(lefts, rights)
         # Classes that a fit has never seen stay where they are.
         model.value[step][share == 0] = 0.0
     return model

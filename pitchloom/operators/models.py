@@ -15,6 +15,7 @@ from pitchloom.functions.hashing import mix
 from pitchloom.operators.boosting import Ensemble, fit_boosted
 from pitchloom.operators.features import neighbour_means
 from pitchloom.operators.kmeans import STARTS, TOLERANCE, fit_clusterings, silhouettes
+from pitchloom.operators.logistic import fit_logistics
 from pitchloom.operators.ordering import POSITION, global_position
 from pitchloom.operators.perceptron import fit_perceptrons
 from pitchloom.operators.scores import agreement, score, shot_lift
@@ -243,7 +244,7 @@ def learning_curve(
 ) -> DataFrame:
     """Test log-loss of refits on growing random subsets of training matches.
 
-    The boosted rung fits all subsets in shared passes. With ``test_column`` each of its values is a
+    Each rung fits all subsets together. With ``test_column`` each of its values is a
     test fold of its own.
     """
     states = durable(states)
@@ -257,19 +258,12 @@ def learning_curve(
     out = None
     for rung in rungs:
         names = S.FEATURE_LADDER[rung]
-        if rung == "B2":
-            rows = fit_boosted(part, names, rounds=rounds, members="subsets").predict_fits(test).select(
-                "test_fold", F.col("outcome_index").alias("y"), F.posexplode("fits").alias("subset", "probabilities"))
-            losses = staged(score(rows, ["subset", "test_fold"]))
-        else:
-            losses = None
-            for number in range(len(subsets)):
-                rows = fit_logistic(part.where(F.col("subsets")[number] == 1), names)(test)
-                # Written out, so the plans of the fits do not pile up in one.
-                one = staged(score(rows.withColumnRenamed("outcome_index", "y"), ["test_fold"]).withColumn(
-                    "subset", F.lit(number)))
-                losses = one if losses is None else losses.unionByName(one)
-        losses = losses.join(table, "subset").select(
+        model = fit_boosted(part, names, rounds=rounds, members="subsets") if rung == "B2" else fit_logistics(
+            part, names, "subsets")
+        rows = model.predict_fits(test).select(
+            "test_fold", F.col("outcome_index").alias("y"), F.posexplode("fits").alias("subset", "probabilities"))
+        # Written out, so the fitted models do not pile up in one plan.
+        losses = staged(score(rows, ["subset", "test_fold"])).join(table, "subset").select(
             F.lit(rung).alias("model"), "test_fold", "fraction", "draw", "n_matches", "n", "log_loss")
         out = losses if out is None else out.unionByName(losses)
     return out

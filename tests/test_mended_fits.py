@@ -85,3 +85,50 @@ def test_role_fits_share_their_passes(spark):
     assert found["three", "train"]["n"] == 300 and found["three", "train"]["accuracy"] >= theirs - 0.02
     assert found["one", "train"]["accuracy"] < found["two", "train"]["accuracy"] + 0.05 < found["three", "train"]["accuracy"] + 0.1
     assert found["three", "train"]["accuracy"] > 0.9 and found["three", "test"]["n"] == 100
+
+
+def test_logistic_fits_of_all_subsets_share_their_passes(spark):
+    """Losses equal those of Spark's own model on each subset, at the cost of some thirty jobs in all."""
+    from test_plans import jobs_of
+
+    rng = np.random.default_rng(7)
+    names = S.FEATURE_LADDER["B0"]
+    x = rng.normal(size=(400, len(names))) * 3 + 1
+    y = np.argmax(x[:, :1] @ [[0.4, 0.0, -0.4]] + rng.gumbel(size=(400, 3)), axis=1)
+    rows = [(i // 2, "train" if i < 300 else "test", int(c), [float(v) for v in row]) for i, (row, c) in enumerate(zip(x, y))]
+    states = spark.createDataFrame(rows, "game_id long, fold string, outcome_index int, x array<double>").select(
+        "game_id", "fold", "outcome_index", *(F.col("x")[i].alias(n) for i, n in enumerate(names)))
+    train, test = (states.where(f"fold = '{fold}'") for fold in ("train", "test"))
+    members, subsets = M.match_subsets(train, (0.3, 1.0), 2)
+    part = train.join(members, "game_id")
+    # The last subset never sees the draw.
+    part = M.durable(part.withColumn("subsets", F.concat("subsets", F.array((F.col("outcome_index") != 1).cast("int")))))
+    found = {(r["f"], r["n"]): r["log_loss"] for r in M.score(M.fit_logistics(part, names, "subsets").predict_fits(test).select(
+        F.col("outcome_index").alias("y"), F.posexplode("fits").alias("f", "probabilities")), ["f"]).collect()}
+    for number in range(len(subsets)):
+        alone = M.fit_logistic(part.where(F.col("subsets")[number] == 1), names)(test)
+        want = M.score(alone.withColumnRenamed("outcome_index", "y")).first()["log_loss"]
+        assert abs(found[number, 100] - want) < 1e-6
+    assert found[len(subsets), 100] > 5
+    assert len(subsets) == 3 and jobs_of(spark, "fits", lambda: M.fit_logistics(part, names, "subsets")) < 30
+
+
+def test_trees_grown_by_one_task_are_those_of_passes(spark, monkeypatch):
+    from pitchloom.operators import boosting as B
+    from test_plans import jobs_of
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(500, 3)), 2)
+    y = np.argmax(np.stack([x[:, 0], x[:, 1] * x[:, 0], x[:, 2]], axis=1) + rng.gumbel(size=(500, 3)), axis=1)
+    rows = [(*map(float, row), int(c), [1, int(i % 3 > 0), int(c != 2)]) for i, (row, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, outcome_index int, m array<int>")
+    fits = {}
+    monkeypatch.setattr(B, "BLOCK_ROWS", 130)
+    for name, most in (("task", 500), ("passes", 499)):
+        monkeypatch.setattr(B, "WHOLE_ROWS", most)
+        fits[name, "jobs"] = jobs_of(spark, name, lambda: fits.update(
+            {name: B.fit_boosted(df, ("a", "b", "c"), rounds=6, members="m")}))
+    one, other = fits["task"], fits["passes"]
+    assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.cut < 64).any()
+    assert np.allclose(one.value, other.value, atol=1e-12) and (one.value[:, 2, 2] == 0).all()
+    assert fits["task", "jobs"] < 15 < fits["passes", "jobs"]

@@ -132,3 +132,29 @@ def test_trees_grown_by_one_task_are_those_of_passes(spark, monkeypatch):
     assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.cut < 64).any()
     assert np.allclose(one.value, other.value, atol=1e-12) and (one.value[:, 2, 2] == 0).all()
     assert fits["task", "jobs"] < 15 < fits["passes", "jobs"]
+
+
+def test_exact_neighbours_move_no_table_twice(spark, monkeypatch):
+    """All pairs of blocks meet without a shuffle of copies: what is exchanged holds each vector once."""
+    monkeypatch.setattr(V, "PAIR_ROWS", 40)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(330, 5)).astype(np.float32)
+    x[200:290] = x[200]
+    x[300] = 0
+    rows = [(f"k{i:03d}", f"g{i % 4}" if i % 7 else None, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(None, "g0", [1.0] * 5), ("none", "g0", None)]
+    df = spark.createDataFrame(rows, "id string, g string, v array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-9)
+    cosine = np.round(u @ u.T, V.COSINE_DIGITS) + 0.0
+    for other in (None, "g"):
+        found = V.nearest_all(df, "id", "v", 3, other=other, scale=False, exact=True)
+        want = {}
+        for i in range(330):
+            allowed = [j for j in range(330) if j != i and not (other and rows[i][1] == rows[j][1])]
+            want[rows[i][0]] = [rows[j][0] for j in sorted(allowed, key=lambda j: (-cosine[i, j], j))[:3]]
+        got = {}
+        for r in found.orderBy("id", "place").collect():
+            got.setdefault(r["id"], []).append(r["neighbour"])
+        assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange hashpartitioning(table" not in plan and "BroadcastNestedLoop" not in plan

@@ -2,7 +2,7 @@
 
 The centroids of all runs are stacked, so one pass over the rows moves every run that has not settled: a
 task adds up vectors and counts for each centroid in one array of fixed size. Silhouettes use whole
-Euclidean distances between blocks of rows; a pair of blocks leaves one sum for each row and cluster.
+Euclidean distances between all blocks of rows; a block's task keeps one sum for each of its rows and cluster.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pitchloom.operators.similarity import standardise, sum_vectors
-from pitchloom.runtime import staged
+from pitchloom.operators.similarity import standardise
+from pitchloom.runtime import blocks_for, durable, every_pair, staged
 
 STARTS = 10
 # A run has settled when the squared moves of its centroids are at most this share of the mean variance.
@@ -23,7 +23,7 @@ TOLERANCE = 1e-4
 # Rows, chosen by a hash, among which first centroids are looked for.
 SEED_ROWS = 4_096
 MOST_TASKS, TASK_ROWS = 64, 50_000
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 8_192
 
 
 @dataclass
@@ -58,12 +58,17 @@ def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def _whole_distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Distances to full precision: where the short way loses digits they are taken again from differences."""
     size, far = (rows**2).sum(axis=1)[:, None], (others**2).sum(axis=1)
-    square = size - 2 * rows @ others.T + far
-    a, b = np.nonzero(square < 1e-4 * (size + far))
+    square = rows @ (-2 * others.T)
+    square += size
+    square += far
+    # Rows that are close to another one are few.
+    close = np.flatnonzero(square.min(axis=1) < 1e-4 * (size[:, 0] + far.max()))
+    a, b = np.nonzero(square[close] < 1e-4 * (size[close] + far))
+    a = close[a]
     for start in range(0, len(a), 50_000):
         i, j = a[start:start + 50_000], b[start:start + 50_000]
         square[i, j] = ((rows[i] - others[j]) ** 2).sum(axis=1)
-    return np.sqrt(square)
+    return np.sqrt(square, out=square)
 
 
 def _first_centroids(sample: np.ndarray, k: int, rng) -> np.ndarray:
@@ -160,66 +165,86 @@ def fit_clusterings(df: DataFrame, column: str, k_values, seed: int = 0, starts:
 def silhouettes(rows: DataFrame, vector: str, clusters: str, sizes: list[int]) -> DataFrame:
     """(place, silhouette): mean silhouette of each of the clusterings in an array column.
 
-    ``sizes`` gives the number of clusters of each. Exact over all rows: rows are dealt into blocks
-    of about ``BLOCK_ROWS``, and each pair of blocks leaves sums of distances from each of its rows to each
-    cluster of the other block. A row alone in its cluster has 0; a clustering with fewer than two filled clusters null.
+    ``sizes`` gives the number of clusters of each. Exact over all rows: a task keeps a block of rows with their sums
+    of distances to each cluster and reads all rows, block by block, from a checkpoint; it leaves one sum for each
+    clustering. A row alone in its cluster has 0; a clustering with fewer than two filled clusters null.
     """
     ends = np.cumsum([0, *sizes]).tolist()
-    numbered = staged(rows.select(
-        F.monotonically_increasing_id().alias("id"), F.col(vector).cast("array<double>").alias("x"),
-        F.col(clusters).alias("l")))
-    blocks = max(1, -(-numbered.count() // BLOCK_ROWS))
-    packed = numbered.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("id", "x", "l")).alias("rows"))
-    packed = staged(packed)
-    # Each pair of blocks meets once, for the rows of both; a block is written for each one up to it.
-    others = packed.select(
-        F.col("block").alias("other"), F.explode(F.expr("sequence(0L, block)")).alias("block"),
-        F.col("rows").alias("others"))
-
-    def member(rows):
-        label = np.asarray(rows.field("l").flatten().to_numpy(zero_copy_only=False)).reshape(len(rows), -1)
-        out = np.zeros((len(rows), ends[-1]))
+    numbered = rows.select(F.col(vector).cast("array<double>").alias("x"), F.col(clusters).alias("l"))
+
+    def pack(batches):
+        """One record for each task: vectors by row, clusters by (row, clustering)."""
+        vectors, labels = [], []
+        for batch in batches:
+            if batch.num_rows:
+                vectors.append(_matrix(batch.column(0)))
+                labels.append(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+        if vectors:
+            parts = (np.concatenate(vectors).tobytes(), np.concatenate(labels).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["x", "l"])
+
+    number = blocks_for(rows.sparkSession, rows.count(), BLOCK_ROWS)
+    blocks = durable(numbered.repartition(number).mapInArrow(pack, "x binary, l binary").withColumn(
+        "block", F.spark_partition_id()))
+    # Rows of each cluster: one short array from each block.
+    counts = np.zeros(ends[-1])
+
+    def labels_of(value):
+        return np.frombuffer(value.as_buffer(), np.int32).reshape(-1, len(sizes))
+
+    def member(label):
+        out = np.zeros((len(label), ends[-1]))
         for place, at in enumerate(ends[:-1]):
-            out[np.arange(len(rows)), at + label[:, place]] = 1.0
+            out[np.arange(len(label)), at + label[:, place]] = 1.0
         return out
 
+    def count(batches):
+        total = np.zeros(ends[-1])
+        for batch in batches:
+            for value in batch.column(0):
+                total += member(labels_of(value)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    for row in blocks.select("l").mapInArrow(count, "n binary").coalesce(1).toLocalIterator():
+        counts += np.frombuffer(row["n"])
+    filled = [int((counts[at:end] > 0).sum()) for at, end in zip(ends, ends[1:])]
+
     def sums(batches):
+        held: dict = {}
         for batch in batches:
-            for mine, others, same in zip(batch.column(0), batch.column(1), batch.column(2)):
-                mine, others, same = mine.values, others.values, same.as_py()
-                x, y = _matrix(mine.field("x")), _matrix(others.field("x"))
-                here, there = member(mine), member(others)
-                near, far = np.empty((len(x), ends[-1])), np.zeros((len(y), ends[-1]))
-                for start in range(0, len(x), 256):
-                    some = slice(start, start + 256)
-                    apart = _whole_distances(x[some], y)
-                    near[some] = apart @ there
-                    far += apart.T @ here[some]
-                yield mine.field("id"), near
-                if not same:
-                    yield others.field("id"), far
-
-    def records(batches):
-        for ids, d in sums(batches):
-            flat = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, d.size + 1, ends[-1], dtype=np.int32)), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, flat], names=["id", "d"])
-
-    reached = packed.join(others, "block").select(
-        "rows", "others", (F.col("block") == F.col("other")).alias("same")).mapInArrow(
-        records, "id bigint, d array<double>")
-    total = sum_vectors(reached, ["id"], "d", "d").drop("n")
-    counts = numbered.select(F.posexplode("l").alias("place", "c")).groupBy("place", "c").count()
-    filled = counts.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("c", "count"))).alias("n"))
-    start = F.element_at(F.array(*map(F.lit, ends[:-1])), F.col("place") + 1)
-    # A few dozen clusters for each clustering.
-    each = total.join(numbered.select("id", "l"), "id").select("d", F.posexplode("l").alias("place", "own")).join(
-        F.broadcast(filled), "place").withColumn("at", start)
-    own_n = F.col("n")[F.col("own")]
-    means = F.expr("transform(filter(map_keys(n), c -> c <> own), c -> d[at + c] / n[c])")
-    a = F.element_at("d", F.col("at") + F.col("own") + 1) / F.nullif(own_n - 1, F.lit(0))
-    scored = each.select(
-        "place", a.alias("a"), F.array_min(means).alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return scored.groupBy("place").agg(F.avg(F.when(F.col("b").isNotNull(), value)).alias("silhouette"))
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for at in range(batch.num_rows):
+                block = columns["block"][at].as_py()
+                if block not in held:
+                    label = labels_of(columns["l"][at])
+                    x = np.frombuffer(columns["x"][at].as_buffer(), np.float64).reshape(len(label), -1)
+                    held[block] = (x, label, np.zeros((len(label), ends[-1])))
+                x, _, d = held[block]
+                there = labels_of(columns["l_there"][at])
+                y = np.frombuffer(columns["x_there"][at].as_buffer(), np.float64).reshape(len(there), -1)
+                near = member(there)
+                for far in range(0, len(y), 2048):
+                    for start in range(0, len(x), 256):
+                        d[start:start + 256] += _whole_distances(x[start:start + 256], y[far:far + 2048]) @ near[far:far + 2048]
+        for _, label, d in held.values():
+            for place, (at, end) in enumerate(zip(ends, ends[1:])):
+                if filled[place] > 1:
+                    yield _silhouette_sum(place, d[:, at:end], label[:, place], counts[at:end])
+
+    def _silhouette_sum(place, d, own, n):
+        rows = np.arange(len(own))
+        inner = d[rows, own] / np.maximum(n[own] - 1, 1)
+        means = np.where(n > 0, d / np.maximum(n, 1), np.inf)
+        means[rows, own] = np.inf
+        outer = means.min(axis=1)
+        most = np.maximum(inner, outer)
+        value = np.where((n[own] > 1) & (most > 0), (outer - inner) / np.where(most > 0, most, 1.0), 0.0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([place], pa.int32()), pa.array([float(value.sum())]), pa.array([len(own)], pa.int64())],
+            names=["place", "total", "n"])
+
+    found = every_pair(blocks).mapInArrow(sums, "place int, total double, n long")
+    places = rows.sparkSession.createDataFrame([(place,) for place, n in enumerate(filled) if n], "place int")
+    return places.join(
+        found.groupBy("place").agg((F.sum("total") / F.sum("n")).alias("silhouette")), "place", "left").select(
+        "place", "silhouette")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitchloom.operators import kmeans as KM
 
@@ -97,3 +98,19 @@ def test_neighbours_of_every_row(spark, monkeypatch):
     monkeypatch.setattr(V, "BUCKET_ROWS", 60)
     got, exact = found(), want(False)
     assert np.mean([len(set(got[i]) & set(exact[i])) / 4 for i in range(900)]) >= 0.9
+
+
+def test_silhouettes_exchange_no_sums_of_rows(spark, monkeypatch):
+    """Blocks meet without a shuffle of copies, and what a task leaves does not grow with its rows."""
+    monkeypatch.setattr(KM, "BLOCK_ROWS", 20)
+    df, x = points(spark, 90, seed=6)
+    table = KM.fit_runs(df, "v", (2, 3), starts=1).assign(df, "v").drop("id")
+    found = KM.silhouettes(table, "v", "clusters", [2, 3])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange hashpartitioning(block" not in plan and "id" not in found.columns
+    label = np.array([r["clusters"] for r in table.select("v", "clusters").collect()])
+    rows = np.array([r["v"] for r in table.select("v", "clusters").collect()])
+    got = {r["place"]: r["silhouette"] for r in found.collect()}
+    assert [got[0], got[1]] == pytest.approx([plain_silhouette(rows, label[:, k]) for k in (0, 1)], abs=1e-9)
+    single = KM.silhouettes(table.withColumn("clusters", F.array(F.lit(0))), "v", "clusters", [3])
+    assert [tuple(r) for r in single.collect()] == [(0, None)]

@@ -6,6 +6,9 @@ shares being proportional to dimensions. Each block is range-joined on a grid ov
 dimensions: a vector is listed in every cell that a box of half the block's distance around it meets,
 so near vectors share a cell. Inside a cell, matrix products find the pairs within the block's budget,
 and the union of these candidates is verified on the whole vectors in double precision.
+
+Vectors move once: those of a label are dealt into bundles, and a task that holds two bundles lists
+both in the cells of every block, so neither lists of cells nor whole vectors are shuffled by cell.
 """
 
 from __future__ import annotations
@@ -15,22 +18,21 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pitchloom.llm.common import components, union_labels
-from pitchloom.runtime import staged
+from pitchloom.runtime import blocks_for, durable, every_pair, staged
 
 LEAST_COSINE = 0.98
 BLOCKS = 4
 # Dimensions of the grid in each block, and a cell's width in block distances.
 GRID, CELL_WIDTH = 3, 2.5
-# Vectors in a part of a cell; larger cells are compared part against part.
-PART = 1024
-# Rows that a task gathers before it looks at the cells among them.
-STEP_ROWS = 8_192
+# Vectors of a label in a bundle at most, and of a cell compared with the others at once.
+BUNDLE, PART = 8_192, 1024
 # Above rounding, so that no pair is lost at a block's border.
 SLACK = 1e-9
-CELL = ["label", "dims", "block", *(f"c{k}" for k in range(GRID))]
 
 
 @lru_cache(maxsize=8)
@@ -58,132 +60,131 @@ def _lowest(turned: np.ndarray, block, reach: float) -> np.ndarray:
     return cells
 
 
-def cells(distinct: DataFrame, least_cosine: float) -> DataFrame:
-    """The cells of every vector of ``distinct`` (node, label, embedding, copies)."""
+def _listed(turned: np.ndarray, block, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, rows): every cell that the box around a vector meets."""
+    low, high = _lowest(turned, block, reach), _lowest(turned + reach, block, reach)
+    cells, rows = [], []
+    for step in product((0, 1), repeat=GRID):
+        cell = low + np.array(step)
+        at = np.flatnonzero((cell <= high).all(axis=1))
+        cells.append(cell[at])
+        rows.append(at)
+    return np.concatenate(cells), np.concatenate(rows)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, same: bool, least_cosine: float):
+    """Pairs (i, j) of rows of the turned vectors ``x`` and ``y`` that link, each once and in pieces; in one
+    bundle (``same``) with i < j. A pair counts in the first block that has it, in the lowest cell of both."""
+    dims = x.shape[1]
+    spans = blocks_of(dims)
+    for number, block in enumerate(spans):
+        begin, end = block
+        budget = _budget(dims, block, least_cosine) + SLACK
+        reach = np.sqrt(_budget(dims, block, least_cosine)) + SLACK
+        low_x, low_y = _lowest(x, block, reach), _lowest(y, block, reach)
+        (cells_x, rows_x), (cells_y, rows_y) = _listed(x, block, reach), _listed(y, block, reach)
+        _, of = np.unique(np.concatenate([cells_x, cells_y]), axis=0, return_inverse=True)
+        of_x, of_y = of[:len(rows_x)], of[len(rows_x):]
+        order_x, order_y = np.argsort(of_x, kind="stable"), np.argsort(of_y, kind="stable")
+        ends = np.arange(int(of.max(initial=-1)) + 2)
+        cuts_x, cuts_y = (np.searchsorted(o[r], ends) for o, r in ((of_x, order_x), (of_y, order_y)))
+        for cell in np.flatnonzero((np.diff(cuts_x) > 0) & (np.diff(cuts_y) > 0)):
+            places = order_x[cuts_x[cell]:cuts_x[cell + 1]]
+            here, there = rows_x[places], rows_y[order_y[cuts_y[cell]:cuts_y[cell + 1]]]
+            own, far = x[here, begin:end], y[there, begin:end]
+            far_size = (far * far).sum(axis=1)
+            for at in range(0, len(here), PART):
+                part = own[at:at + PART]
+                apart = (part * part).sum(axis=1)[:, None] + far_size - 2 * (part @ far.T)
+                i, j = np.nonzero(apart <= budget + SLACK)
+                i, j = here[at:at + PART][i], there[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                lowest = np.maximum(low_x[i], low_y[j]) == cells_x[places[0]]
+                i, j = i[lowest.all(axis=1)], j[lowest.all(axis=1)]
+                for some in range(0, len(i), 65_536):
+                    yield _verified(x, y, i[some:some + 65_536], j[some:some + 65_536], number, least_cosine)
+
+
+def _verified(x, y, i, j, number: int, least_cosine: float):
+    dims = x.shape[1]
+    inside = [((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1) <= _budget(dims, (a, b), least_cosine) + SLACK
+              for a, b in blocks_of(dims)[:number + 1]]
+    some = inside[-1] & ~np.any(inside[:-1], axis=0) if number else inside[-1]
+    some &= (x[i] * y[j]).sum(axis=1) >= least_cosine
+    return i[some], j[some]
+
+
+def bundles(distinct: DataFrame, number: int) -> DataFrame:
+    """(label, dims, bundle, nodes, copies, x): the vectors of ``distinct`` (node, label, embedding, copies) in bundles
+    of one label and length, as they are stored."""
+    kind = "f4" if distinct.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
 
     def run(batches):
+        held: dict = {}
+        task, sent = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                yield from listed(batch.slice(at, 1_000))
-
-    def listed(batch):
-        nodes, labels, vectors, copies = (batch.column(i) for i in range(4))
-        nodes, copies = nodes.to_numpy(), copies.to_numpy()
-        labels = labels.to_numpy(zero_copy_only=False)
-        lengths = np.array([len(v) for v in vectors])
-        for dims in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == dims)
-            x = np.array([vectors[int(i)].as_py() for i in rows], np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            turned = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dims)
-            packed = np.array([v.tobytes() for v in turned], object)
-            for number, block in enumerate(blocks_of(dims)):
-                reach = np.sqrt(_budget(dims, block, least_cosine)) + SLACK
-                low = _lowest(turned, block, reach)
-                high = _lowest(turned + reach, block, reach)
-                for step in product((0, 1), repeat=GRID):
-                    cell = low + np.array(step)
-                    at = np.flatnonzero((cell <= high).all(axis=1))
-                    if not len(at):
-                        continue
-                    columns = [labels[rows[at]], np.full(len(at), dims), np.full(len(at), number),
-                               *cell[at].T, nodes[rows[at]], copies[rows[at]]]
-                    arrays = [pa.array(c.astype(np.int64)) for c in columns]
-                    arrays.append(pa.array(packed[at].tolist(), pa.binary()))
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*CELL, "node", "copies", "turned"])
-
-    schema = ", ".join(f"{c} bigint" for c in [*CELL, "node", "copies"]) + ", turned binary"
-    return distinct.select("node", F.col("label").cast("long"), "embedding", "copies").mapInArrow(run, schema)
-
-
-def verified(listed: DataFrame, least_cosine: float) -> DataFrame:
-    """(node, links, root): in a unit, the copies a vector links to, and its linked set's vector.
-
-    Cells beyond ``PART`` vectors are cut into parts by hash and each pair of parts is a unit. A pair
-    counts in one unit alone: in the first block that has it, and in the lowest cell of both.
-    """
-    counts = (
-        listed.groupBy(*CELL).agg(F.count("node").alias("n")).where("n > 1")
-        .select(*CELL, F.ceil(F.col("n") / PART).cast("long").alias("parts"))
-    )
-    units = (
-        listed.join(counts, CELL)
-        .withColumn("own", F.expr("pmod(xxhash64(node), parts)"))
-        .withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-        .select(*CELL, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                "own", "node", "copies", "turned")
-    )
-    unit = [*CELL, "low", "high"]
-    placed = units.repartition(*unit).sortWithinPartitions(*unit, "node")
-    n_keys = len(unit)
+            nodes, labels, vectors, copies = (batch.column(i) for i in range(4))
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum([0, *pc.list_value_length(vectors).to_pylist()])
+            for at, (node, label, n) in enumerate(zip(nodes.to_pylist(), labels.to_pylist(), copies.to_pylist())):
+                key = label, int(ends[at + 1] - ends[at])
+                rows = held.setdefault(key, [])
+                rows.append((node, n, flat[ends[at]:ends[at + 1]].tobytes()))
+                if len(rows) == BUNDLE:
+                    yield record(key, held.pop(key), task + sent)
+                    sent += 1
+        for key, rows in held.items():
+            yield record(key, rows, task + sent)
+            sent += 1
+
+    def record(key, rows, bundle):
+        nodes, copies, vectors = zip(*rows)
+        parts = [np.array(part, np.int64).tobytes() for part in (nodes, copies)] + [b"".join(vectors)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.int64()) for v in (*key, bundle)] + [pa.array([p], pa.binary()) for p in parts],
+            names=["label", "dims", "bundle", "nodes", "copies", "x"])
+
+    # Labels in one range after the other, so that a task has few of them and their bundles are full.
+    dealt = distinct.select("node", F.col("label").cast("long").alias("label"), "embedding", "copies").repartitionByRange(
+        number, "label", F.size("embedding"), F.xxhash64("node"))
+    return dealt.mapInArrow(
+        run, "label bigint, dims bigint, bundle bigint, nodes binary, copies binary, x binary").withColumn("kind", F.lit(kind))
+
+
+def verified(packed: DataFrame, least_cosine: float) -> DataFrame:
+    """(node, links, root): in a pair of bundles, the copies a vector links to, and its linked set's vector."""
+    pairs = every_pair(packed).where(
+        "label <= label_there AND label >= label_there AND dims <= dims_there AND dims >= dims_there AND bundle <= bundle_there")
+
+    def turned(record, suffix):
+        kind, dims = record["kind"].as_py(), record["dims"].as_py()
+        x = np.frombuffer(record["x" + suffix].as_buffer(), kind).reshape(-1, dims).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        nodes, copies = (np.frombuffer(record[c + suffix].as_buffer(), np.int64) for c in ("nodes", "copies"))
+        return x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dims), nodes, copies
 
     def run(batches):
-        held, rows = [], 0
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= STEP_ROWS:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                bounds = _bounds(whole, n_keys)
-                for a, b in zip(bounds[:-2], bounds[1:-1]):
-                    yield from compare(whole.slice(a, b - a))
-                rest = whole.slice(bounds[-2])
-                held, rows = rest.to_batches(), rest.num_rows
-        if rows:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            bounds = _bounds(whole, n_keys)
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                yield from compare(whole.slice(a, b - a))
-
-    def compare(part):
-        if part.num_rows < 2:
-            return
-        first = {name: part.column(name)[0].as_py() for name in unit}
-        dims, number = first["dims"], first["block"]
-        own, node, copies = (part.column(n).to_numpy() for n in ("own", "node", "copies"))
-        x = np.frombuffer(b"".join(part.column("turned").to_pylist()), np.float64).reshape(-1, dims)
-        spans = blocks_of(dims)
-        begin, end = spans[number]
-        budget = _budget(dims, spans[number], least_cosine) + SLACK
-        y = x[:, begin:end]
-        norms = (y * y).sum(axis=1)
-        label, links = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for at in range(0, len(x), 512):
-            far = norms[at:at + 512, None] + norms[None, :] - 2 * (y[at:at + 512] @ y.T)
-            i, j = np.nonzero(far <= budget + SLACK)
-            i += at
-            # In a unit of two parts only pairs between them count.
-            some = (i < j) & ((own[i] != own[j]) if first["low"] != first["high"] else True)
-            i, j = i[some], j[some]
-            if not len(i):
-                continue
-            inside = [((x[i, a:b] - x[j, a:b]) ** 2).sum(axis=1) <= _budget(dims, (a, b), least_cosine) + SLACK
-                      for a, b in spans[:number + 1]]
-            some = inside[-1] & ~np.any(inside[:-1], axis=0) if number else inside[-1]
-            reach = np.sqrt(_budget(dims, spans[number], least_cosine)) + SLACK
-            low = np.maximum(_lowest(x[i], spans[number], reach), _lowest(x[j], spans[number], reach))
-            some &= (low == [first[f"c{k}"] for k in range(GRID)]).all(axis=1)
-            some &= (x[i] * x[j]).sum(axis=1) >= least_cosine
-            i, j = i[some], j[some]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            union_labels(label, i, j)
-        hit = np.flatnonzero(links)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[hit]), pa.array(links[hit]), pa.array(node[label[hit]])],
-                names=["node", "links", "root"])
-
-    return placed.mapInArrow(run, "node bigint, links bigint, root bigint")
-
-
-def _bounds(table: pa.Table, n_keys: int) -> list[int]:
-    """Where units begin, and the end."""
-    new = np.zeros(table.num_rows - 1, bool)
-    for k in range(n_keys):
-        column = table.column(k).to_numpy()
-        new |= column[1:] != column[:-1]
-    return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+            for at in range(batch.num_rows):
+                record = {name: batch.column(k)[at] for k, name in enumerate(batch.schema.names)}
+                same = record["bundle"].as_py() == record["bundle_there"].as_py()
+                x, nodes, copies = turned(record, "")
+                y, far_nodes, far_copies = (x, nodes, copies) if same else turned(record, "_there")
+                # Rows of both bundles in one line; in one bundle the two lines are one.
+                off = 0 if same else len(x)
+                node = nodes if same else np.concatenate([nodes, far_nodes])
+                label, links = np.arange(len(node)), np.zeros(len(node), np.int64)
+                for i, j in _linked(x, y, same, least_cosine):
+                    np.add.at(links, i, far_copies[j])
+                    np.add.at(links, off + j, copies[i])
+                    union_labels(label, i, off + j)
+                hit = np.flatnonzero(links)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[hit]), pa.array(links[hit]), pa.array(node[label[hit]])],
+                        names=["node", "links", "root"])
+
+    return pairs.mapInArrow(run, "node bigint, links bigint, root bigint")
 
 
 def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -204,18 +205,21 @@ def near_vectors(rows: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFra
         .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    found = staged(verified(cells(distinct, least_cosine), least_cosine))
+    number = blocks_for(rows.sparkSession, distinct.count(), BUNDLE)
+    found = staged(verified(durable(bundles(distinct, number)), least_cosine))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = (
-        distinct.join(links, "node", "left").join(roots, "node", "left")
+        distinct.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(least, "root").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         "component_id")
-    linked = valid.join(nodes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    # Vectors go along with the first of these joins only.
+    named = valid.join(distinct.select("label", "embedding", "node"), ["label", "embedding"]).select("vec_id", "node")
+    linked = named.join(nodes, "node").select("vec_id", "n_links", "component_id")
     alone = rows.where("not _good").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn(

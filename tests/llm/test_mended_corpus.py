@@ -84,3 +84,27 @@ def test_words_of_the_last_class_have_a_softmax(monkeypatch):
     inside = maxent_lm.log10_tail(words, np.zeros((maxent_lm.ALL_ROWS, 32), np.float32), every, hashes)
     sizes = np.append(counts[maxent_lm.HEAD:] + 1, 700)
     assert np.allclose(inside[maxent_lm.HEAD:], np.log10(sizes / sizes.sum()), atol=1e-4)
+
+
+def test_vectors_of_a_label_meet_without_a_shuffle_by_cell(spark, monkeypatch):
+    """Bundles of a few vectors find the links of brute force, also of double vectors and of several lengths."""
+    from pitchloom.llm import subspace_join
+    from pitchloom.runtime import durable
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(subspace_join, "BUNDLE", 9)
+    monkeypatch.setattr(subspace_join, "PART", 4)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((20, 12)), 6, axis=0)
+    x += 0.04 * rng.standard_normal(x.shape)
+    rows = [(i, (v if i % 5 else v[:7]).tolist(), i % 3) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [sum(j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98
+                 for j in range(len(rows))) for i in range(len(rows))]
+    assert {r["vec_id"]: r["n_links"] for r in subspace_join.near_vectors(table).collect()} == dict(enumerate(links))
+    assert max(links) > 0
+    distinct = table.withColumn("node", F.col("vec_id")).withColumn("copies", F.lit(1))
+    found = subspace_join.verified(durable(subspace_join.bundles(distinct, 5)), 0.98)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan

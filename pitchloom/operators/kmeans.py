@@ -22,8 +22,11 @@ STARTS = 10
 TOLERANCE = 1e-4
 # Rows, chosen by a hash, among which first centroids are looked for.
 SEED_ROWS = 4_096
-MOST_TASKS, TASK_ROWS = 64, 50_000
+# Tasks of a pass at most, and rows below which it takes no further one.
+MOST_TASKS, TASK_ROWS = 64, 10_000
 BLOCK_ROWS = 8_192
+# Rows whose distances are taken at once in a pass.
+PASS_ROWS = 2_048
 
 
 @dataclass
@@ -99,7 +102,8 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
     n = vectors.count()
     if not n:
         raise ValueError("no rows to cluster")
-    tasks = int(min(MOST_TASKS, max(1, -(-n // TASK_ROWS))))
+    # One wave of tasks: starting a task costs more than thousands of rows.
+    tasks = int(min(MOST_TASKS, rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
     vectors = staged(vectors.repartition(tasks, F.xxhash64("x"))).coalesce(tasks)
     sample = np.array([r["x"] for r in vectors.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(SEED_ROWS).collect()])
     runs = [
@@ -107,6 +111,16 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
         for k in k_values for start in range(starts)
     ]
     spread = float(sample.var(axis=0).mean())
+
+    def pack(batches):
+        """One record for some thousands of rows."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, PASS_ROWS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_matrix(batch.column(0).slice(at, PASS_ROWS)).tobytes()], pa.binary())], names=["x"])
+
+    # A checkpoint keeps its number of parts, so that every pass uses all tasks.
+    packed = durable(vectors.mapInArrow(pack, "x binary"))
     active, step = list(range(len(runs))), -1
     while active:
         step += 1
@@ -114,24 +128,27 @@ def fit_runs(rows: DataFrame, column: str, k_values, starts: int = STARTS, seed:
         ends = np.cumsum([0] + [len(c) for c in stacks])
 
         def move(batches, stacks=stacks, ends=ends):
-            sums, counts, cost = np.zeros((ends[-1], stacks[0].shape[1])), np.zeros(ends[-1]), np.zeros(len(stacks))
+            every = np.concatenate(stacks)
+            width, size = every.shape[1], (every**2).sum(axis=1)
+            sums, counts, cost = np.zeros(every.shape), np.zeros(ends[-1]), np.zeros(len(stacks))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(0))
-                for i, c in enumerate(stacks):
-                    apart = _distances(x, c)
-                    own = apart.argmin(axis=1)
-                    cost[i] += apart[np.arange(len(x)), own].sum()
-                    member = np.zeros((len(c), len(x)))
-                    member[own, np.arange(len(x))] = 1.0
-                    sums[ends[i]:ends[i + 1]] += member @ x
-                    counts[ends[i]:ends[i + 1]] += member.sum(axis=1)
+                for value in batch.column(0):
+                    x = np.frombuffer(value.as_buffer()).reshape(-1, width)
+                    # Products with the centroids of all runs at once, and their sums likewise.
+                    apart = x @ (-2 * every.T)
+                    apart += size
+                    member, lines, own_size = np.zeros(apart.shape), np.arange(len(x)), (x * x).sum(axis=1)
+                    for i, (begin, end) in enumerate(zip(ends, ends[1:])):
+                        own = begin + apart[:, begin:end].argmin(axis=1)
+                        cost[i] += np.maximum(apart[lines, own] + own_size, 0.0).sum()
+                        member[lines, own] = 1.0
+                    sums += member.T @ x
+                    counts += member.sum(axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a.tobytes()], pa.binary()) for a in (sums, counts, cost)], names=["sums", "counts", "cost"])
 
         # One array of fixed size from each of at most MOST_TASKS tasks.
-        found = vectors.mapInArrow(move, "sums binary, counts binary, cost binary").collect()
+        found = packed.mapInArrow(move, "sums binary, counts binary, cost binary").collect()
         sums, counts, cost = (sum(np.frombuffer(r[name]) for r in found) for name in ("sums", "counts", "cost"))
         sums = sums.reshape(ends[-1], -1)
         still = []

@@ -114,3 +114,16 @@ def test_silhouettes_exchange_no_sums_of_rows(spark, monkeypatch):
     assert [got[0], got[1]] == pytest.approx([plain_silhouette(rows, label[:, k]) for k in (0, 1)], abs=1e-9)
     single = KM.silhouettes(table.withColumn("clusters", F.array(F.lit(0))), "v", "clusters", [3])
     assert [tuple(r) for r in single.collect()] == [(0, None)]
+
+
+def test_a_pass_uses_every_core(spark):
+    """Some ten thousand rows are a task, so the last pass over 30,000 is not one task's work."""
+    rows = spark.range(30_000).select(F.array(F.rand(1), F.rand(2)).alias("v"))
+    spark.sparkContext.setJobGroup("pass", "pass")
+    try:
+        KM.fit_runs(rows, "v", (2,), starts=1, tolerance=1.0)
+        tracker = spark.sparkContext.statusTracker()
+        last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("pass")))
+        assert max(tracker.getStageInfo(stage).numTasks for stage in last.stageIds) == 3
+    finally:
+        spark.sparkContext.setJobGroup("", "")
